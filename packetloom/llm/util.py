@@ -79,7 +79,8 @@ def ranked(df: DataFrame, order: list, name: str, weight: str | None = None) ->
     for p, k, v in sorted(tuple(r) for r in totals.collect()):
         before[p] = (p, n, w)
         n, w = n + k, w + (v or 0)
-    offsets = spark.createDataFrame(list(before.values()), "_p long, _n long, _w long")
+    values = ", ".join(f"({p}L, {n}L, {w}L)" for p, n, w in before.values()) or "(-1L, 0L, 0L)"
+    offsets = spark.sql(f"SELECT * FROM VALUES {values} AS t(_p, _n, _w)")
     out = placed.join(F.broadcast(offsets), part == F.col("_p"))
     if weight:  # a running sum in each sorted partition
         from pyspark.sql import Window
