@@ -14,7 +14,8 @@ pivots separate nothing, so the space is cut twice:
    distances to the first pivot differ by at most 0.25 (its window), of other components and of sizes within reach; all
    of them are compared. Regions of at most `block` texts compare their pairs at once.
 
-Equal sets are one class throughout (64 bits of a hash of the set name it; unlike sets meet in one name with a chance of
+Before any pair is verified, the counts of both texts' shingles in 256 hash buckets bound their overlap from above;
+pairs that the bound already separates go. Equal sets are one class throughout (64 bits of a hash of the set name it; unlike sets meet in one name with a chance of
 n^2 / 2^65). A pair is verified by intersecting its whole shingle sets. Shingles are 64-bit hashes.
 
 A text with fewer than 5 words has its whole word sequence as its only shingle; null, empty and wordless texts
@@ -35,6 +36,7 @@ from .util import Memo, as_bytes, hashes, stash, table, word_hashes
 U = np.uint64
 WORDS, NUM, DEN = 5, 3, 4
 SKETCH_BITS, CHUNKS = 18, 64
+BUCKETS, FEW_PAIRS = 256, 1_000_000
 MULTIPLIER = U(0x9E3779B97F4A7C15)
 
 
@@ -70,7 +72,7 @@ def name(s: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, cid (null without shingles) for each row, and the count sketch of shingles over all rows."""
+    """doc_id, n, cid (null without shingles), h (shingles by bucket) for each row, and the count sketch of shingles over all rows."""
 
     def rows(batches):
         memo, counts = word_hashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -79,18 +81,18 @@ def profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             for at in range(0, len(sets), 1000):
                 every = np.concatenate(sets[at : at + 1000])
                 counts += np.bincount((every >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": pd.array([len(s) for s in sets], "Int64"), "cid": pd.array([name(s) if len(s) else None for s in sets], "Int64"), "chunk": pd.array([None] * len(sets), "Int64"), "counts": None})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": pd.array([len(s) for s in sets], "Int64"), "cid": pd.array([name(s) if len(s) else None for s in sets], "Int64"), "h": [np.bincount((s & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.int32) if len(s) else None for s in sets], "chunk": pd.array([None] * len(sets), "Int64"), "counts": None})
         if counts.any():
-            yield pd.DataFrame({"doc_id": pd.array([None] * CHUNKS, "Int64"), "n": pd.array([None] * CHUNKS, "Int64"), "cid": pd.array([None] * CHUNKS, "Int64"), "chunk": pd.array(range(CHUNKS), "Int64"), "counts": [x.tobytes() for x in np.split(counts, CHUNKS)]})
+            yield pd.DataFrame({"doc_id": pd.array([None] * CHUNKS, "Int64"), "n": pd.array([None] * CHUNKS, "Int64"), "cid": pd.array([None] * CHUNKS, "Int64"), "h": None, "chunk": pd.array(range(CHUNKS), "Int64"), "counts": [x.tobytes() for x in np.split(counts, CHUNKS)]})
 
     def add(key, pdf):
         return pd.DataFrame({"chunk": [key[0]], "counts": [sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in pdf["counts"]).astype(np.uint64).tobytes()]})
 
-    made = stash(docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, cid long, chunk long, counts binary"), "jaccard-profiles")
+    made = stash(docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, cid long, h array<int>, chunk long, counts binary"), "jaccard-profiles")
     sketch = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint64)
     for r in made.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk long, counts binary").collect():
         sketch[r["chunk"]] = np.frombuffer(r["counts"], np.uint64)
-    return made.where("chunk IS NULL").select("doc_id", "n", "cid"), sketch.ravel()
+    return made.where("chunk IS NULL").select("doc_id", "n", "cid", "h"), sketch.ravel()
 
 
 def prefix(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -121,32 +123,52 @@ def regions(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return stash(several.distinct(), "jaccard-regions")
 
 
-def sets_of(docs: DataFrame, cids: DataFrame, profile: DataFrame, most_broadcast: int = 2_000_000) -> DataFrame:
-    """cid, n, s: the shingles of the classes named; each from one of its documents."""
-    first = profile.join(cids, "cid", "left_semi").groupBy("cid").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 62)))).alias("_id"))
-    first = stash(first, "jaccard-active")
-    ids = first.select("_id").distinct()
-    ids = F.broadcast(ids) if first.count() <= most_broadcast else ids
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(1 << 62))).alias("_id"), "text").join(ids, "_id", "left_semi")
+def sets_of(docs: DataFrame, cids: DataFrame, profile: DataFrame) -> DataFrame:
+    """cid, s: the shingles of the classes named, each from one of its documents (more than once if its id repeats)."""
+    none = F.lit(-(1 << 62))
+    first = stash(profile.select("cid", F.coalesce("doc_id", none).alias("_id")).join(cids, "cid", "left_semi").groupBy("cid").agg(F.min("_id").alias("_id")), "jaccard-active")
+    ids = F.broadcast(first) if first.count() <= FEW_PAIRS else first
+    texts = docs.select(F.coalesce("doc_id", none).alias("_id"), "text").join(ids, "_id").select("cid", "text")
 
     def rows(batches):
-        memo = word_hashes()
+        memo, seen = word_hashes(), set()
         for pdf in batches:
-            made = [s for t in pdf["text"] if len(s := shingles(t, memo))]
-            yield pd.DataFrame({"cid": [name(s) for s in made], "n": [len(s) for s in made], "s": [s.view(np.int64) for s in made]})
+            made = [(c, s.view(np.int64)) for c, t in zip(pdf["cid"], pdf["text"], strict=True) if c not in seen and len(s := shingles(t, memo)) and name(s) == c and not seen.add(c)]
+            yield pd.DataFrame(made, columns=["cid", "s"])
+
+    return stash(texts.mapInPandas(rows, "cid long, s array<long>"), "jaccard-sets")
+
+
+def far_apart(i, t):
+    """Whether an overlap of i (at most) in sets of t shingles together is too little."""
+    return 100 * i < 75 * (t - i)
+
+
+def with_sides(pairs: DataFrame, held: DataFrame, what: str) -> DataFrame:
+    """pairs (a, b) with what_a and what_b of held by cid. A million pairs travel to held; more meet it in a shuffle."""
+    few = pairs.count() <= FEW_PAIRS
+    side = lambda x: held.select(F.col("cid").alias(x), F.col(what).alias(f"{what}_{x}")).join(F.broadcast(pairs) if few else pairs, x)
+    return side("a").join(side("b"), ["a", "b"])
+
+
+def bounded(pairs: DataFrame, profile: DataFrame, why: str) -> DataFrame:
+    """The distinct pairs (a, b) that bucket counts don't separate."""
+    pairs = stash(pairs.select("a", "b").distinct(), f"{why}-pairs")
+    both = with_sides(pairs, profile.where("cid IS NOT NULL").select("cid", "h").join(_named(pairs), "cid", "left_semi").dropDuplicates(["cid"]), "h")
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
+    most = total(F.zip_with("h_a", "h_b", lambda x, y: F.least(x, y))).cast("long")
+    return stash(both.where(~far_apart(most, (total("h_a") + total("h_b")).cast("long"))).select("a", "b"), f"{why}-bounded")
+
 
-    made = texts.select("text").mapInPandas(rows, "cid long, n int, s array<long>").join(first.select("cid"), "cid", "left_semi")
-    return stash(made.dropDuplicates(["cid"]), "jaccard-sets")
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) with d, their exact Jaccard distance, and linked."""
-    left = sets.select(F.col("cid").alias("a"), F.col("s").alias("s_a"))
-    right = sets.select(F.col("cid").alias("b"), F.col("s").alias("s_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    sums = both.select("a", "b", common.alias("i"), (F.size("s_a") + F.size("s_b")).cast("long").alias("t"))
-    return stash(sums.select("a", "b", (1 - F.col("i") / (F.col("t") - F.col("i"))).alias("d"), (100 * F.col("i") >= 75 * (F.col("t") - F.col("i"))).alias("linked")), "jaccard-verified")
+    sums = with_sides(pairs, sets, "s").select("a", "b", common.alias("i"), (F.size("s_a") + F.size("s_b")).cast("long").alias("t"))
+    return stash(sums.select("a", "b", (1 - F.col("i") / (F.col("t") - F.col("i"))).alias("d"), (~far_apart(F.col("i"), F.col("t"))).alias("linked")), "jaccard-verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -177,13 +199,14 @@ def near(a: str, b: str):
 def links(docs: DataFrame, profile: DataFrame, sketch: np.ndarray, block: int = 8, rounds: int = 3) -> DataFrame:
     """a, b: linked pairs of classes, enough of them to connect each component (all of those in small regions)."""
     cells = regions(docs, sketch)
-    sets = sets_of(docs, cells.select("cid").distinct(), profile)
     sized = cells.groupBy("cell").agg(F.count("*").alias("k"))
     cells = stash(cells.join(sized, "cell"), "jaccard-cells")
     small, large = cells.where(F.col("k") <= block), cells.where(F.col("k") > block)
     other = lambda df: df.select("cell", F.col("cid").alias("b"), F.col("n").alias("m"))
     pairs = small.select("cell", F.col("cid").alias("a"), "n").join(other(small), "cell").where(F.col("a") < F.col("b")).where(near("n", "m"))
-    found = verified(pairs.select("a", "b").distinct(), sets).where("linked").select("a", "b")
+    pairs = bounded(pairs, profile, "small")
+    sets = sets_of(docs, _named(pairs).unionByName(large.select("cid")).distinct(), profile)
+    found = verified(pairs, sets).where("linked").select("a", "b")
     first = None
     for k in range(rounds + 1):
         if not large.take(1):
@@ -196,10 +219,10 @@ def links(docs: DataFrame, profile: DataFrame, sketch: np.ndarray, block: int =
         if not pivots.take(1):
             break
         if k == rounds:
-            found = found.unionByName(_rest(stash(now.join(pivots.select("cell"), "cell", "left_semi"), "rest"), first, sets))
+            found = found.unionByName(_rest(stash(now.join(pivots.select("cell"), "cell", "left_semi"), "rest"), first, sets, profile))
             break
         asked = now.join(pivots, "cell").where(F.col("comp") != F.col("pivot_comp")).where(near("n", "m"))
-        done = verified(asked.select(F.col("cid").alias("a"), "b").distinct(), sets)
+        done = verified(bounded(asked.select(F.col("cid").alias("a"), "b"), profile, "pivot"), sets)
         # a pivot has been compared with all of its region: it leaves it
         large = stash(now.select("cell", "cid", "n", "k").join(pivots.select("cell", F.col("b").alias("cid")), ["cell", "cid"], "left_anti"), "jaccard-cells")
         large = large.join(pivots.select("cell"), "cell", "left_semi")
@@ -210,13 +233,13 @@ def links(docs: DataFrame, profile: DataFrame, sketch: np.ndarray, block: int =
     return found
 
 
-def _rest(now: DataFrame, first: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest(now: DataFrame, first: DataFrame, sets: DataFrame, profile: DataFrame) -> DataFrame:
     """The pairs of a region that no pivot has decided: other components, sizes and first-pivot distances within reach."""
     now = now.join(first, ["cell", "cid"], "left")
     other = now.select("cell", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("d").alias("d_b"))
     apart = F.coalesce(F.abs(F.col("d") - F.col("d_b")) > 0.25 + 1e-9, F.lit(False))
     pairs = now.select("cell", F.col("cid").alias("a"), "n", "comp", "d").join(other, "cell").where(F.col("a") < F.col("b")).where(F.col("comp") != F.col("comp_b")).where(near("n", "m")).where(~apart)
-    return verified(pairs.select("a", "b").distinct(), sets).where("linked").select("a", "b")
+    return verified(bounded(pairs, profile, "rest"), sets).where("linked").select("a", "b")
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
