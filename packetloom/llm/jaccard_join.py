@@ -35,7 +35,7 @@ from .util import Memo, as_bytes, hashes, stash, table, word_hashes
 
 U = np.uint64
 WORDS, NUM, DEN = 5, 3, 4
-SKETCH_BITS, CHUNKS = 18, 64
+SKETCH_BITS, CHUNKS = 22, 64
 BUCKETS, FEW_PAIRS = 256, 1_000_000
 MULTIPLIER = U(0x9E3779B97F4A7C15)
 
@@ -78,20 +78,20 @@ def profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         memo, counts = word_hashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for pdf in batches:
             sets = [shingles(t, memo) for t in pdf["text"]]
-            for at in range(0, len(sets), 1000):
-                every = np.concatenate(sets[at : at + 1000])
+            for at in range(0, len(sets), 5000):
+                every = np.concatenate(sets[at : at + 5000])
                 counts += np.bincount((every >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": pd.array([len(s) for s in sets], "Int64"), "cid": pd.array([name(s) if len(s) else None for s in sets], "Int64"), "h": [np.bincount((s & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.int32) if len(s) else None for s in sets], "chunk": pd.array([None] * len(sets), "Int64"), "counts": None})
         if counts.any():
-            yield pd.DataFrame({"doc_id": pd.array([None] * CHUNKS, "Int64"), "n": pd.array([None] * CHUNKS, "Int64"), "cid": pd.array([None] * CHUNKS, "Int64"), "h": None, "chunk": pd.array(range(CHUNKS), "Int64"), "counts": [x.tobytes() for x in np.split(counts, CHUNKS)]})
+            yield pd.DataFrame({"doc_id": pd.array([None] * CHUNKS, "Int64"), "n": pd.array([None] * CHUNKS, "Int64"), "cid": pd.array([None] * CHUNKS, "Int64"), "h": None, "chunk": pd.array(range(CHUNKS), "Int64"), "counts": [x.tobytes() for x in np.split(np.minimum(counts, 65535).astype(np.uint16), CHUNKS)]})
 
     def add(key, pdf):
-        return pd.DataFrame({"chunk": [key[0]], "counts": [sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in pdf["counts"]).astype(np.uint64).tobytes()]})
+        return pd.DataFrame({"chunk": [key[0]], "counts": [np.sum([np.frombuffer(x, np.uint16) for x in pdf["counts"]], axis=0, dtype=np.uint32).tobytes()]})
 
     made = stash(docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, cid long, h array<int>, chunk long, counts binary"), "jaccard-profiles")
-    sketch = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint64)
+    sketch = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint32)
     for r in made.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk long, counts binary").collect():
-        sketch[r["chunk"]] = np.frombuffer(r["counts"], np.uint64)
+        sketch[r["chunk"]] = np.frombuffer(r["counts"], np.uint32)
     return made.where("chunk IS NULL").select("doc_id", "n", "cid", "h"), sketch.ravel()
 
 
@@ -103,7 +103,11 @@ def prefix(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def regions(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """cell, cid, n: the regions of singleton pivots that hold two classes at least."""
+    """cell, cid, n, pos: the regions of singleton pivots that hold two classes at least, and the pivot's place in the text's order.
+
+    If the pivot at place i of n and j of m is the first that two texts share, they share n - i and m - j shingles at
+    most. So of two that link, the smaller has 7 i <= n (n - i >= 3/7 (n + m), m >= n), and the larger 7 (m - j) >= 3 (n + m).
+    """
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def rows(batches):
@@ -117,9 +121,11 @@ def regions(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                     out.append((c, len(s), prefix(s, held.value).view(np.int64)))
             yield pd.DataFrame(out, columns=["cid", "n", "cells"])
 
-    each = docs.select("text").mapInPandas(rows, "cid long, n int, cells array<long>").select(F.explode("cells").alias("cell"), "cid", "n")
+    each = docs.select("text").mapInPandas(rows, "cid long, n int, cells array<long>").select(F.posexplode("cells").alias("pos", "cell"), "cid", "n")
     cell = Window.partitionBy("cell")
-    several = each.withColumn("_a", F.min("cid").over(cell)).withColumn("_b", F.max("cid").over(cell)).where("_a < _b").select("cell", "cid", "n")
+    least = F.min(F.when(F.expr("7 * pos <= n"), F.col("n"))).over(cell)
+    several = each.withColumn("_a", F.min("cid").over(cell)).withColumn("_b", F.max("cid").over(cell)).withColumn("_n", least)
+    several = several.where("_a < _b AND (7 * pos <= n OR 3 * (n + _n) <= 7 * (n - pos))").select("cell", "cid", "n", "pos")
     return stash(several.distinct(), "jaccard-regions")
 
 
@@ -191,19 +197,19 @@ def components(links: DataFrame) -> DataFrame:
     return out if out is not None else links.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0)
 
 
-def near(a: str, b: str):
-    """Sizes within reach of each other."""
-    return (DEN * F.least(a, b) >= NUM * F.greatest(a, b))
+#: Whether sets of n and m shingles may link if a pivot at these places is the first that they share.
+REACH = "3 * (n + m) <= 7 * least(n - pos, m - at)"
 
 
 def links(docs: DataFrame, profile: DataFrame, sketch: np.ndarray, block: int = 8, rounds: int = 3) -> DataFrame:
     """a, b: linked pairs of classes, enough of them to connect each component (all of those in small regions)."""
     cells = regions(docs, sketch)
-    sized = cells.groupBy("cell").agg(F.count("*").alias("k"))
-    cells = stash(cells.join(sized, "cell"), "jaccard-cells")
+    cells = cells.join(cells.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1"), "cell")
+    central = cells.where(F.col("k") > block).groupBy("cid").agg((-F.count("*") / F.first("n")).alias("aside"))
+    cells = stash(cells.join(central, "cid", "left"), "jaccard-cells")
     small, large = cells.where(F.col("k") <= block), cells.where(F.col("k") > block)
-    other = lambda df: df.select("cell", F.col("cid").alias("b"), F.col("n").alias("m"))
-    pairs = small.select("cell", F.col("cid").alias("a"), "n").join(other(small), "cell").where(F.col("a") < F.col("b")).where(near("n", "m"))
+    other = small.select("cell", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"))
+    pairs = small.select("cell", F.col("cid").alias("a"), "n", "pos").join(other, "cell").where(F.col("a") < F.col("b")).where(REACH)
     pairs = bounded(pairs, profile, "small")
     sets = sets_of(docs, _named(pairs).unionByName(large.select("cid")).distinct(), profile)
     found = verified(pairs, sets).where("linked").select("a", "b")
@@ -213,18 +219,18 @@ def links(docs: DataFrame, profile: DataFrame, sketch: np.ndarray, block: int =
             break
         comp = components(found)
         now = large.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        parts = now.groupBy("cell", "comp").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n")).alias("p"))
-        pivots = parts.groupBy("cell").agg(F.count("*").alias("parts"), F.min(F.struct("c", "p", "comp")).alias("x")).where("parts > 1")
-        pivots = stash(pivots.select("cell", F.col("x.p.cid").alias("b"), F.col("x.p.n").alias("m"), F.col("x.comp").alias("pivot_comp")), "pivots")
+        parts = now.groupBy("cell", "comp").agg(F.count("*").alias("c"), F.min(F.struct("aside", F.xxhash64("cid").alias("h"), "cid", "n", "pos")).alias("p"))
+        pivots = parts.groupBy("cell").agg(F.count("*").alias("parts"), F.min(F.struct(F.lit(0).alias("c") if k == 0 else F.col("c"), "p", "comp")).alias("x")).where("parts > 1")
+        pivots = stash(pivots.select("cell", F.col("x.p.cid").alias("b"), F.col("x.p.n").alias("m"), F.col("x.p.pos").alias("at"), F.col("x.comp").alias("pivot_comp")), "pivots")
         if not pivots.take(1):
             break
         if k == rounds:
             found = found.unionByName(_rest(stash(now.join(pivots.select("cell"), "cell", "left_semi"), "rest"), first, sets, profile))
             break
-        asked = now.join(pivots, "cell").where(F.col("comp") != F.col("pivot_comp")).where(near("n", "m"))
+        asked = now.join(pivots, "cell").where(F.col("comp") != F.col("pivot_comp")).where(REACH)
         done = verified(bounded(asked.select(F.col("cid").alias("a"), "b"), profile, "pivot"), sets)
         # a pivot has been compared with all of its region: it leaves it
-        large = stash(now.select("cell", "cid", "n", "k").join(pivots.select("cell", F.col("b").alias("cid")), ["cell", "cid"], "left_anti"), "jaccard-cells")
+        large = stash(now.select("cell", "cid", "n", "pos", "k", "aside").join(pivots.select("cell", F.col("b").alias("cid")), ["cell", "cid"], "left_anti"), "jaccard-cells")
         large = large.join(pivots.select("cell"), "cell", "left_semi")
         near_pivot = done.select(F.col("a").alias("cid"), "b", "d")
         if k == 0:
@@ -236,9 +242,9 @@ def links(docs: DataFrame, profile: DataFrame, sketch: np.ndarray, block: int =
 def _rest(now: DataFrame, first: DataFrame, sets: DataFrame, profile: DataFrame) -> DataFrame:
     """The pairs of a region that no pivot has decided: other components, sizes and first-pivot distances within reach."""
     now = now.join(first, ["cell", "cid"], "left")
-    other = now.select("cell", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("d").alias("d_b"))
+    other = now.select("cell", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("comp_b"), F.col("d").alias("d_b"))
     apart = F.coalesce(F.abs(F.col("d") - F.col("d_b")) > 0.25 + 1e-9, F.lit(False))
-    pairs = now.select("cell", F.col("cid").alias("a"), "n", "comp", "d").join(other, "cell").where(F.col("a") < F.col("b")).where(F.col("comp") != F.col("comp_b")).where(near("n", "m")).where(~apart)
+    pairs = now.select("cell", F.col("cid").alias("a"), "n", "pos", "comp", "d").join(other, "cell").where(F.col("a") < F.col("b")).where(F.col("comp") != F.col("comp_b")).where(REACH).where(~apart)
     return verified(bounded(pairs, profile, "rest"), sets).where("linked").select("a", "b")
 
 
