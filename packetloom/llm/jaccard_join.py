@@ -160,7 +160,8 @@ def with_sides(pairs: DataFrame, held: DataFrame, what: str) -> DataFrame:
 def bounded(pairs: DataFrame, profile: DataFrame, why: str) -> DataFrame:
     """The distinct pairs (a, b) that bucket counts don't separate."""
     pairs = stash(pairs.select("a", "b").distinct(), f"{why}-pairs")
-    both = with_sides(pairs, profile.where("cid IS NOT NULL").select("cid", "h").join(_named(pairs), "cid", "left_semi").dropDuplicates(["cid"]), "h")
+    named = F.broadcast(_named(pairs)) if pairs.count() <= FEW_PAIRS else _named(pairs)  # else all bucket counts would be shuffled
+    both = with_sides(pairs, profile.select("cid", "h").join(named, "cid", "left_semi").dropDuplicates(["cid"]), "h")
     total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
     most = total(F.zip_with("h_a", "h_b", lambda x, y: F.least(x, y))).cast("long")
     return stash(both.where(~far_apart(most, (total("h_a") + total("h_b")).cast("long"))).select("a", "b"), f"{why}-bounded")
