@@ -1,0 +1,192 @@
+"""The training-data operators against brute force on small and awkward tables."""
+
+import hashlib
+import itertools
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from packetloom.llm import balanced_sharding, curve_packing, jaccard_join, line_crf, line_dedup, pii, quality_knn, soft_mixing, tool_calls, vp_search
+
+LONG = " ".join(f"word{i}" for i in range(3000))
+BASE = " ".join(f"tok{i}" for i in range(60))
+TEXTS = [None, "", " \n ", "one two", BASE, BASE, BASE.upper(), BASE.replace("tok3 ", "tik3 "), BASE + " and more at the end", LONG, LONG + " end",
+         "a shared line that repeats\nown line number one here", "a shared line that repeats\nown line number two here", "A SHARED LINE THAT REPEATS  \nshort", "é" * 12 + "\nx", "É" * 12 + "\n" + "é" * 12,
+         "BUY!! NOW!! CHEAP!! " * 20, "mail bob.smith@mail.example.com or +1 (375) 555-4393, card 4111 1111 1111 1111, ip 10.0.0.255 and 10.0.0.256", 'token = "0641917ea4e9feb9cda83477b57ac2654884f485" here', "der die und " * 10]
+
+
+def docs(spark, texts=TEXTS):
+    rows = [(i, t, ["en", "de", None][i % 3], "src0", len(t or ""), "extra") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids string").repartition(3)
+
+
+def labels(spark, n=len(TEXTS)):
+    return spark.createDataFrame([(i, int(i != 16), 0) for i in range(n)] + [(None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
+
+
+def empty(df):
+    return df.limit(0)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, -1])
+def test_lines(spark, limit):
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs(spark), broadcast_bytes=limit).collect()}
+    con = duckdb.connect()
+    con.register("documents", docs(spark).select("doc_id", "text").toPandas())
+    for doc_id, n, dropped, sha in con.execute(line_dedup.SQL).fetchall():
+        assert (got[doc_id]["_lines"], got[doc_id]["_dropped"], hashlib.sha256(got[doc_id]["_kept"].encode()).hexdigest()) == (n, dropped, sha)
+    assert line_dedup.clean(docs(spark)).columns == docs(spark).columns
+
+
+def test_perfect_hash():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 5000).astype(np.uint64))
+    at = line_dedup.PerfectHash.build(keys).find(keys)
+    assert sorted(at.tolist()) == list(range(len(keys)))
+
+
+def brute_sets(texts):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        out.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return out
+
+
+def brute_components(sets):
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            a, b = sorted((root(i), root(j)))
+            up[b] = a
+    return [root(i) for i in range(len(sets))]
+
+
+def test_jaccard(spark):
+    rng = np.random.default_rng(1)
+    near = [" ".join(w if rng.random() > 0.02 else f"x{rng.integers(99)}" for w in BASE.split()) for _ in range(40)]
+    texts = TEXTS + near
+    sets = brute_sets(texts)
+    for options in ({}, {"block": 2, "rounds": 1}):
+        got = {r["doc_id"]: r for r in jaccard_join.classes(docs(spark, texts), **options).collect()}
+        assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+        assert [got[i]["component_id"] for i in range(len(texts))] == brute_components(sets)
+
+
+def test_crf_matches_brute_force():
+    rng = np.random.default_rng(2)
+    x, emit, move = rng.normal(size=(7, line_crf.N_FEATURES)), rng.normal(size=line_crf.N_FEATURES), rng.normal(size=(2, 2))
+    score = lambda y: sum(x[i] @ emit * y[i] for i in range(7)) + sum(move[a, b] for a, b in zip(y, y[1:], strict=False))
+    assert tuple(line_crf.viterbi(x, emit, move)) == max(itertools.product((0, 1), repeat=7), key=score)
+
+
+def test_rules(spark):
+    got = {r["doc_id"]: r for r in line_crf.judge(docs(spark), labels(spark)).collect()}
+    for i, t in enumerate(TEXTS):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        twice = {k + o for k, g in enumerate(grams) if grams.count(g) > 1 for o in range(5)} if len(w) < 500 else set()
+        lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_repeat_words"], got[i]["n_dup_lines"]) == (len(w), sum(map(len, w)), len(twice), len(lines) - len(set(lines)))
+    assert not got[0]["kept"] and not got[16]["kept"] and got[9]["kept"]
+    assert {r["doc_id"] for r in line_crf.keep(docs(spark), labels(spark)).collect()} == {i for i, r in got.items() if r["kept"]}
+
+
+def test_quality(spark):
+    got = quality_knn.score(docs(spark), labels(spark)).collect()
+    assert len(got) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in got)
+    assert quality_knn.score(docs(spark), empty(labels(spark))).first()["score"] == 0.5
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(curve_packing.vocabulary())
+    got = curve_packing.digest(curve_packing.pack(docs(spark), curve_packing.vocabulary(), 64)).toPandas()
+    for i, t in enumerate(TEXTS):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for r in got[got.doc_id == i].sort_values("start").itertuples():
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
+    full = got.groupby("sequence_id").length.sum()
+    assert (full.iloc[:-1] == 64).all() and full.iloc[-1] <= 64
+
+
+def test_hilbert():
+    p = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
+    k = curve_packing.hilbert(p, 3)
+    assert sorted(k) == list(range(512)) and np.abs(np.diff(p[np.argsort(k)], axis=0)).sum(1).max() == 1
+
+
+def test_sharding(spark):
+    texts = TEXTS * 3 + [BASE] * 60
+    got = balanced_sharding.shard(docs(spark, texts), 7).toPandas()
+    n = got.groupby("shard").size()
+    assert len(got) == len(texts) and n.max() - n.min() <= 1
+    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard").slot)
+    assert got.set_index("doc_id")["size"].to_dict() == {i: len((t or "").encode()) + 16 for i, t in enumerate(texts)}
+
+
+def test_search(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 8))
+    x[100:160] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, None), (401, [0.0] * 8), (402, [float("nan")] * 8), (403, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vp_search.search(df, F.col("vec_id") % 50 == 0, per_shard=90).collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 400, 50):
+        c = np.round(u @ u[q], 12)
+        c[q] = -2
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == np.lexsort((np.arange(400), -c))[:5].tolist()
+
+
+def test_pii(spark):
+    got = {r["doc_id"]: r for r in pii.find(docs(spark)).collect()}
+    r = got[17]
+    assert [TEXTS[17][m["s"] : m["e"]] for k in ("email", "ip", "card", "phone") for m in r[k]] == ["bob.smith@mail.example.com", "10.0.0.255", "4111 1111 1111 1111", "+1 (375) 555-4393"]
+    assert len(got[18]["extra"]) == 1 and not got[9]["extra"]
+    digits = "1" * 30000
+    assert pii.find(docs(spark, [digits, "a@" * 20000])).count() == 2
+
+
+def test_mixing(spark):
+    got = soft_mixing.rates(docs(spark), labels(spark), targets={"en": 0.5, "de": 0.5}).collect()
+    assert len(got) == len(TEXTS) and all(r["rate"] >= 1 - 1e-9 and r["copies"] >= 1 for r in got)
+    sums = [sum(r["rate"] * r["n_tokens"] * r["posterior"][d] for r in got) for d in ("en", "de")]
+    assert sums[0] == pytest.approx(sums[1], rel=0.02)
+    assert soft_mixing.mix(docs(spark), labels(spark)).columns == docs(spark).columns
+
+
+def test_tool_calls(spark):
+    call = '{"tool_calls": [{"id": "%s", "name": "%s", "arguments": {"prompt": "p"}, "after": %s}]}'
+    rows = [(1, 0, "assistant", call % ("a", "reply", "null")), (1, 1, "tool", '{"tool_call_id": "a", "content": "fine"}'), (1, 2, "assistant", call % ("b", "reply", '"a"')), (1, 3, "assistant", call % ("c", "other", '"b"')),
+            (2, 0, "assistant", call % ("x", "reply", '"y"')), (2, 1, "assistant", call % ("y", "reply", '"x"')), (3, 0, "user", None), (3, 1, "assistant", "ok"), (3, 2, "user", "again"), (None, 0, "user", "lost"), (4, 0, "assistant", "{broken")]
+    got = {(r["conv_id"], r["call_id"]): r for r in tool_calls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: (r["level"], r["answered"], r["valid"]) for k, r in got.items()} == {(1, "a"): (0, True, True), (1, "b"): (1, False, True), (1, "c"): (2, False, False), (2, "x"): (None, False, False), (2, "y"): (None, False, False), (3, "turn-0"): (0, True, True), (3, "turn-2"): (1, False, True)}
+    assert got[1, "a"]["canonical"] == '{"arguments":{"prompt":"p"},"id":"a","level":0,"name":"reply","result":"fine"}'
+
+
+def test_empty_tables(spark):
+    d, lab = empty(docs(spark)), empty(labels(spark))
+    for out in (quality_knn.score(d, lab), curve_packing.pack(d, curve_packing.vocabulary()), soft_mixing.rates(d, lab), jaccard_join.classes(d), line_crf.judge(d, lab), balanced_sharding.shard(d), line_dedup.dedup_lines(d), pii.find(d)):
+        assert out.count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    assert set(corpus_pipeline.run(spark, str(tmp_path)).columns) >= {"doc_id", "start", "length"}
