@@ -35,7 +35,7 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.known, self.before, self.most = Tokenizer.from_file(path), {}, {}, most
 
     def _learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 20_000):
@@ -44,18 +44,21 @@ class Words:
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known, docs = self.known, [as_bytes(t).lower().split() for t in texts]
-        if len(known) > self.most:
-            known.clear()
+        docs = [as_bytes(t).lower().split() for t in texts]
+        if len(self.known) > self.most:  # words seen since the last time stay known
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         new = {w for words in docs for w in words if w not in known}
+        known.update((w, before[w]) for w in new & before.keys())
+        new -= known.keys()
         parts = {}
         for w in new:
             x = w.rstrip(MARKS)
             if x and len(x) < len(w) and x.decode("utf-8", "replace")[-1].isalpha():
                 parts[w] = (x, w[len(x) :])
-        self._learn(sorted((new - parts.keys()) | {p for pair in parts.values() for p in pair if p not in known}))
+        self._learn(sorted((new - parts.keys()) | {p for pair in parts.values() for p in pair if p not in known and p not in before}))
         for w, (x, marks) in parts.items():
-            known[w] = known[x] + known[marks]
+            known[w] = (known.get(x) or before[x]) + (known.get(marks) or before[marks])
         return [b"".join(map(known.__getitem__, words)) for words in docs]
 
 
