@@ -58,7 +58,7 @@ class Words:
                 parts[w] = (x, w[len(x) :])
         self._learn(sorted((new - parts.keys()) | {p for pair in parts.values() for p in pair if p not in known and p not in before}))
         for w, (x, marks) in parts.items():
-            known[w] = (known.get(x) or before[x]) + (known.get(marks) or before[marks])
+            known[w] = b"".join(known[p] if p in known else before[p] for p in (x, marks))
         return [b"".join(map(known.__getitem__, words)) for words in docs]
 
 

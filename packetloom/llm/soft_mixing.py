@@ -41,7 +41,7 @@ def vectorised(docs: DataFrame, buckets: int) -> DataFrame:
 class Mixer:
     """A fitted classifier with the residuals that make rates."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float], max_labelled: int = 2000, buckets: int = 1024, steps: int = 25, tolerance: float = 1e-3):
+    def __init__(self, docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float], max_labelled: int = 2000, buckets: int = 1024, steps: int = 25, tolerance: float = 1e-3, key: Column | None = None):
         self.buckets, self.model, self.domains, self.residuals, self.scale = buckets, None, [], [], 1.0
         own = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
         learn = docs.select("doc_id", "text", F.col(domain).alias("_domain")).where("_domain IS NOT NULL").join(F.broadcast(own), "doc_id")
@@ -51,13 +51,16 @@ class Mixer:
             number = F.array_position(F.array(*map(F.lit, self.domains)), F.col("_domain")) - 1
             train = vectorised(learn, buckets).select("_v", number.cast("double").alias("_y"))
             self.model = LogisticRegression(featuresCol="_v", labelCol="_y", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_class", family="multinomial", maxIter=30, regParam=1e-4, standardization=False).fit(train)
+        # tokens and posteriors of all documents, computed once; with a key, the rows that `rates` returns
+        made = self.posteriors(docs.select("doc_id", "text"))
+        self.held = stash(made.select("_n", "_p", *([] if key is None else ["doc_id", key.alias("_key")])), "mix-posteriors")
         if self.domains:
-            self._fit(docs, targets, steps, tolerance)
+            self._fit(targets, steps, tolerance)
 
     def posteriors(self, docs: DataFrame) -> DataFrame:
         """docs with _n (tokens) and _p (array of double, by domain)."""
         if self.model is None:
-            return docs.withColumn("_n", F.size(words(F.col("text"))).cast("long")).withColumn("_p", F.array(*[F.lit(1.0) for _ in self.domains]))
+            return docs.withColumn("_n", F.size(words(F.col("text"))).cast("long")).withColumn("_p", F.array(*[F.lit(1.0) for _ in self.domains]).cast("array<double>"))
         out = self.model.transform(vectorised(docs, self.buckets)).withColumn("_n", F.size("_words").cast("long"))
         return out.withColumn("_p", vector_to_array("_p")).drop("_words", "_v", "_raw", "_class")
 
@@ -73,8 +76,8 @@ class Mixer:
         sums = held.agg(*[F.sum(F.col("_r") * F.col("_n") * F.col("_p")[k]).alias(f"s{k}") for k in range(len(self.domains))]).first()
         return [s or 0.0 for s in sums]
 
-    def _fit(self, docs: DataFrame, targets: dict[str, float], steps: int, tolerance: float) -> None:
-        held = stash(self.posteriors(docs.select("text")).select("_n", "_p"), "mix-posteriors")
+    def _fit(self, targets: dict[str, float], steps: int, tolerance: float) -> None:
+        held = self.held
         self.before = self._totals(held.withColumn("_r", F.lit(1.0)))
         known = [max(0.0, targets.get(d, 0.0)) for d in self.domains]
         if not sum(known) or not all(s > 0 for s, w in zip(self.before, known, strict=True) if w):
@@ -94,23 +97,23 @@ class Mixer:
             self.targets = [t * self.scale for t in self.targets]
 
 
-def copies(rate: Column, *key) -> Column:
-    part = F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def copies(rate: Column, key: Column) -> Column:
+    part = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (F.floor(rate) + (part < rate - F.floor(rate)).cast("long")).cast("int")
 
 
 def rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, **options) -> DataFrame:
     """doc_id, n_tokens, posterior (map of domain to chance), rate, copies for each row of docs."""
-    mixer = Mixer(docs, labels, domain, targets or TARGETS, **options)
-    out = mixer.posteriors(docs.select("doc_id", "text")).withColumn("rate", mixer.rate())
+    mixer = Mixer(docs, labels, domain, targets or TARGETS, key=F.xxhash64("doc_id", "text"), **options)
+    out = mixer.held.withColumn("rate", mixer.rate())
     names = F.array(*map(F.lit, mixer.domains)).cast("array<string>")
-    return out.select("doc_id", F.col("_n").alias("n_tokens"), F.map_from_arrays(names, F.col("_p").cast("array<double>")).alias("posterior"), "rate", copies(F.col("rate"), "doc_id", "text").alias("copies"))
+    return out.select("doc_id", F.col("_n").alias("n_tokens"), F.map_from_arrays(names, "_p").alias("posterior"), "rate", copies(F.col("rate"), F.col("_key")).alias("copies"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, **options) -> DataFrame:
     """docs, each row as often as its rate says."""
     mixer = Mixer(docs, labels, domain, targets or TARGETS, **options)
-    out = mixer.posteriors(docs).withColumn("_copies", copies(mixer.rate(), "doc_id", "text"))
+    out = mixer.posteriors(docs).withColumn("_copies", copies(mixer.rate(), F.xxhash64("doc_id", "text")))
     return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
