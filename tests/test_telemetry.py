@@ -30,7 +30,7 @@ def test_sql(spark, con, name):
     a, b = (x[cols].astype(object).sort_values(cols, key=lambda c: c.astype(str)).reset_index(drop=True) for x in (a, b))
     assert len(a) == len(b)
     for c in cols:
-        assert all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a[c], b[c], strict=True)), c
+        assert all(pd.isna(x) and pd.isna(y) or not (pd.isna(x) or pd.isna(y)) and x == y for x, y in zip(a[c], b[c], strict=True)), c
 
 
 def segs(spark, rows):
