@@ -19,11 +19,20 @@ def confusion(scores: DataFrame, threshold: float, by: list[str]) -> DataFrame:
     return c.withColumn("precision", p).withColumn("recall", r).withColumn("f1", ratio(2 * p * r, p + r)).withColumn("fpr", ratio(F.col("fp"), F.col("fp") + F.col("tn")))
 
 
+def cumulated(g: DataFrame, by: list[str], sums: dict[str, str], bins: int = 4096) -> DataFrame:
+    """g with running sums from the best score down. Totals of bins first: a window holds the bins of a group, or the scores of a bin."""
+    g = g.withColumn("_bin", F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * bins))
+    above = Window.partitionBy(*by).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    tops = g.groupBy(*by, "_bin").agg(*[F.sum(c).alias(c) for c in sums])
+    tops = tops.select(*by, "_bin", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in sums])
+    w = Window.partitionBy(*by, "_bin").orderBy(F.desc("score"))
+    return g.join(tops, [*by, "_bin"]).withColumns({name: F.sum(c).over(w) + F.col(f"_{c}") for c, name in sums.items()}).drop("_bin", *[f"_{c}" for c in sums])
+
+
 def ranking(scores: DataFrame, by: list[str]) -> DataFrame:
-    """Average precision and ROC-AUC with ties: distinct scores first, so windows run over bins, not rows."""
+    """Average precision and ROC-AUC with ties, from distinct scores."""
     g = scores.groupBy(*by, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    g = g.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
+    g = cumulated(g, by, {"p": "tp", "n": "fp"})
     pos, neg = F.sum("p"), F.sum("n")
     return g.groupBy(*by).agg(F.when(pos > 0, F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / pos).alias("ap"), F.when((pos > 0) & (neg > 0), F.sum(F.col("n") * (F.col("tp") - F.col("p") + F.col("p") / F.lit(2.0))) / (pos * neg)).alias("auc"))
 
@@ -57,7 +66,7 @@ def lead_times(scored: DataFrame, threshold: float, horizon: int) -> DataFrame:
 def macro_f1(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Macro F1 over the classes present in truth or prediction, and accuracy; columns truth, pred."""
     c = pairs.groupBy(*by, "truth", "pred").agg(F.count("*").alias("n"))
-    sides = c.select(*by, F.explode(F.array(F.struct(F.col("truth").alias("k"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col("pred").alias("k"), F.lit(0).alias("t"), F.lit(1).alias("p")))).alias("s"), "n", (F.col("truth") == F.col("pred")).alias("hit"))
-    per = sides.groupBy(*by, F.col("s.k").alias("k")).agg(F.sum(F.when(F.col("hit") & (F.col("s.t") == 1), F.col("n")).otherwise(0)).alias("tp"), F.sum("n").alias("both"))
+    sides = c.select(*by, F.explode(F.array(F.struct(F.col("truth").alias("_class"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col("pred").alias("_class"), F.lit(0).alias("t"), F.lit(1).alias("p")))).alias("s"), "n", (F.col("truth") == F.col("pred")).alias("hit"))
+    per = sides.groupBy(*by, F.col("s._class").alias("_class")).agg(F.sum(F.when(F.col("hit") & (F.col("s.t") == 1), F.col("n")).otherwise(0)).alias("tp"), F.sum("n").alias("both"))
     acc = c.groupBy(*by).agg((F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"), F.sum("n").alias("n"))
     return per.groupBy(*by).agg(F.avg(2 * F.col("tp") / F.col("both")).alias("macro_f1")).join(acc, by)

@@ -9,7 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.functions import stages
-from packetloom.operators import cells, metrics, registry, risk
+from packetloom.operators import cells, metrics, models, registry, registry_reports, risk, sequences
+from packetloom.sources import files
+from packetloom.streaming import cells as live
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,3 +95,43 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 1727
+
+
+def test_forecasters_rank(spark):
+    for name in registry_reports.FORECASTERS:
+        out = registry.QUERIES[name](spark, SF).toPandas()
+        assert len(out) and out["score"].between(0, 1).all(), name
+
+
+def test_one_class_is_constant(spark):
+    df = spark.createDataFrame([([1.0, 2.0], 0), ([3.0, 4.0], 0)], "x array<double>, y int")
+    assert {r["score"] for r in models.score(models.fit(df, "x", "y", "logistic"), df, "x").collect()} == {0.0}
+
+
+def test_sample_keeps_small_tables(spark):
+    df = spark.createDataFrame([(i, int(i < 3)) for i in range(10)], "k int, y int")
+    assert sequences.balanced_sample(df, "y", 10, ["k"]).count() == 10
+    assert [r["n"] for r in sequences.balanced_sample(df, "y", 6, ["k"]).groupBy("y").agg(F.count("*").alias("n")).orderBy("y").collect()] == [3, 3]
+
+
+def test_csv_scan_and_sink(spark, tmp_path):
+    (tmp_path / "in" / "CTU-13-Dataset" / "7").mkdir(parents=True)
+    (tmp_path / "in" / "CTU-13-Dataset" / "7" / "a.csv").write_text("Timestamp,Dst Port,Protocol,Flow Duration,Label\n01/02/2018 10:00:00,443,TCP,2000000,Benign\nTimestamp,Dst Port,Protocol,Flow Duration,Label\nnot-a-date,1,6,1,Bot\n01/02/2018 10:00:01,Infinity,17,-1,PortScan\n")
+    out = files.from_cic(files.scan(spark, str(tmp_path / "in"))).orderBy("ts").collect()
+    assert [(r["dst_port"], r["proto"], r["duration"], r["stage"], r["capture"]) for r in out] == [(443, 6, 2, 0, "7"), (0, 17, 0, 1, "7")]
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "capture string, x int")
+    for rows in (df.where("capture = 'a'"), df):
+        files.write_cells(rows, str(tmp_path / "cells"))
+    assert spark.read.parquet(str(tmp_path / "cells")).count() == 2
+    with pytest.raises(ValueError):
+        files.of_split(df, "train")
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    f = registry.flows(spark, SF).where("ts IS NOT NULL")
+    f.repartition(5).write.parquet(str(tmp_path / "flows"))
+    stream = live.cells(spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "flows")), registry.W, "400 days")
+    q = stream.writeStream.format("memory").queryName("cells_now").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    cols = ["capture", "src_ip", "wid", "n_flows", F.round("log_bytes", 6)]
+    assert sorted(map(tuple, spark.table("cells_now").select(*cols).collect())) == sorted(map(tuple, live.cells(f, registry.W).select(*cols).collect()))
