@@ -13,6 +13,7 @@ Columns besides doc_id and text are ignored. No documents give no rows.
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -36,32 +37,60 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.before, self.most = Tokenizer.from_file(path), {}, {}, most
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool) if suffix else None  # ids that end a word
+        if suffix:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        """Words of letters alone end in one id that ends a word: many are encoded at once. Others go one by one."""
+        texts = {w: w.decode("utf-8", "replace") for w in words}
+        plain = [w for w, t in texts.items() if self.ends is not None and t.isalpha()]
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            ids = np.array(self._ids([" ".join([texts[w] for w in part])])[0], "<u4")
+            stops, raw, start = 4 * (np.flatnonzero(self.ends[ids]) + 1), ids.tobytes(), 0
+            if len(stops) == len(part):  # else a letter falls apart when normalised
+                for w, stop in zip(part, stops.tolist(), strict=True):
+                    self.known[w] = raw[start:stop]
+                    start = stop
+                    del texts[w]
+        rest = list(texts)
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            for w, ids in zip(part, self._ids([texts[w] for w in part]), strict=True):
+                self.known[w] = np.array(ids, "<u4").tobytes()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        docs = [as_bytes(t).lower().split() for t in texts]
+        raw = [as_bytes(t) for t in texts]
+        docs = [(t if b"<|" in t else t.lower()).split() for t in raw]  # the case of special tokens counts
         if len(self.known) > self.most:  # words seen since the last time stay known
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
-        new = {w for words in docs for w in words if w not in known}
+        new = set().union(*docs).difference(known)
         known.update((w, before[w]) for w in new & before.keys())
-        new -= known.keys()
+        new.difference_update(known)
         parts = {}
         for w in new:
             x = w.rstrip(MARKS)
-            if x and len(x) < len(w) and x.decode("utf-8", "replace")[-1].isalpha():
-                parts[w] = (x, w[len(x) :])
-        self._learn(sorted((new - parts.keys()) | {p for pair in parts.values() for p in pair if p not in known and p not in before}))
-        for w, (x, marks) in parts.items():
-            known[w] = b"".join(known[p] if p in known else before[p] for p in (x, marks))
+            if x and len(x) < len(w) and normal(x.decode("utf-8", "replace")[-1]).isalpha():
+                parts[w] = x
+        pieces = set(parts.values()).union([w[len(x) :] for w, x in parts.items()])
+        self._learn(list(new.difference(parts).union(p for p in pieces if p not in known and p not in before)))
+        for w, x in parts.items():
+            known[w] = b"".join([known[p] if p in known else before[p] for p in (x, w[len(x) :])])
         return [b"".join(map(known.__getitem__, words)) for words in docs]
 
 
+def normal(letter: str) -> str:
+    """The letter as a tokenizer sees it; some fall into a letter and a mark, which is none."""
+    return letter if letter.isascii() else unicodedata.normalize("NFC", letter).lower()
+
+
 def words_of(path: str) -> Words:
     """One for each Python worker: tasks share what it has learned."""
     if path not in _MEMO:

@@ -123,6 +123,16 @@ def test_packing(spark):
     assert (full.iloc[:-1] == 64).all() and full.iloc[-1] <= 64
 
 
+def test_words_match_whole_texts():
+    """Marks that join, letters that fall apart when normalised, special tokens by case: as in the whole text."""
+    words, rng = curve_packing.Words(curve_packing.vocabulary(), most=2000), np.random.default_rng(3)
+    letters = list("aAbzé \u0130\u0915\u0958\u0338\u0307.,!?'stS<|>0\u0663 \t  ßﬁΣς가\u1100")
+    texts = ["<|ENDOFTEXT|> a", "x<|endoftext|>.", "<|EndOfText|>.", "\u0130.", "\u0958.", *TEXTS, *("".join(rng.choice(letters, rng.integers(40))) for _ in range(2000))]
+    for at in range(0, len(texts), 300):
+        for text, ids in zip(texts[at : at + 300], words.encode(texts[at : at + 300]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_hilbert():
     p = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     k = curve_packing.hilbert(p, 3)
