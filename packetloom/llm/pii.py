@@ -28,8 +28,10 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Wide: what the labelers vote on.
-CANDIDATE = r"(?:\G|(?<![A-Za-z0-9_]))(?:[A-Za-z_]{3,24}\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_.-]{6,200}+[\x22']?|(?=[A-Za-z0-9+/_-]*+[A-Za-z])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,200}+|[A-Za-z0-9._-]{2,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z]{2,12}|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]))"
+#: Wide: what the labelers vote on. First what has a form of its own, then long mixed tokens in the text between. No bound
+#: on values; a run of token characters is scanned from its start only.
+FORMED = r"(?:\G|(?<![A-Za-z0-9_]))(?:[A-Za-z_]{3,24}\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_.-]{6,}+[\x22']?|[A-Za-z0-9._-]{2,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z]{2,12}|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]))"
+MIXED = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+"
 #: Gazetteers.
 SECRET_NAMES = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "private_key", "credential"]
 SECRET_PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "AIza", "eyJ"]
@@ -52,6 +54,17 @@ def matches(text: Column, pattern: str, needs: Column) -> Column:
     return F.when(needs, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), zero.alias("out")), add)["out"]).otherwise(zero)
 
 
+def candidates(docs: DataFrame) -> DataFrame:
+    """docs with `wide`: the formed candidates, and the mixed tokens of the text with these blanked, by their place."""
+    text = F.coalesce("text", F.lit(""))
+    needs = text.rlike(r"[=:]|[A-Za-z][0-9]|[0-9][A-Za-z_-]|[\[(](?:at|AT)[\])]")
+    docs = docs.withColumn("formed", matches(text, FORMED, needs))
+    blanks = F.transform("formed", lambda m: F.repeat(F.lit(" "), F.length(m["t"])))
+    left = F.zip_with(F.split(text, FORMED, -1), blanks, lambda b, x: F.concat(b, F.coalesce(x, F.lit(""))))
+    docs = docs.withColumn("left", F.when(text.rlike(MIXED), F.when(F.size("formed") > 0, F.array_join(left, "")).otherwise(text)))
+    return docs.withColumn("wide", F.array_sort(F.concat("formed", matches(F.col("left"), MIXED, F.col("left").isNotNull())))).drop("formed", "left")
+
+
 def digits(t: Column) -> Column:
     return F.translate(t, "+-(). ", "")
 
@@ -136,8 +149,8 @@ def find(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     docs = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     text = F.coalesce("text", F.lit(""))
     base = base_spans(text)
-    needs = text.rlike(r"[=:]|[A-Za-z][0-9]|[0-9][A-Za-z_-]|[\[(](?:at|AT)[\])]")
-    wide = F.transform(matches(text, CANDIDATE, needs), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["t"].alias("t"), F.substring(text, F.greatest(m["s"] - 23, F.lit(1)), F.least(m["s"], F.lit(24))).alias("before")))
+    docs = candidates(docs)
+    wide = F.transform("wide", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["t"].alias("t"), F.substring(text, F.greatest(m["s"] - 23, F.lit(1)), F.least(m["s"], F.lit(24))).alias("before")))
     rows = stash(docs.select("doc_id", "row", *[c.alias(k) for k, c in base.items()], wide.alias("wide")), "pii-spans")
     taken = F.concat(*[F.col(k) for k in base])
     apart = F.filter("wide", lambda m: ~F.exists(taken, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
