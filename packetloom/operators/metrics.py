@@ -37,8 +37,8 @@ def ranking(scores: DataFrame, by: list[str]) -> DataFrame:
     return g.groupBy(*by).agg(F.when(pos > 0, F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / pos).alias("ap"), F.when((pos > 0) & (neg > 0), F.sum(F.col("n") * (F.col("tp") - F.col("p") + F.col("p") / F.lit(2.0))) / (pos * neg)).alias("auc"))
 
 
-def thresholds(scores: DataFrame, max_fpr: float, by: list[str], candidates: int = 101) -> DataFrame:
-    """The threshold of best F1 under a false-positive budget, the least on ties, among quantiles of the scores."""
+def thresholds(scores: DataFrame, max_fpr: float, by: list[str], candidates: int = 501) -> DataFrame:
+    """The threshold of best F1 under a false-positive budget, or of the lowest false-positive rate where none holds it; the least on ties, among quantiles of the scores."""
     q = scores.groupBy(*by).agg(F.array_distinct(F.percentile("score", F.array(*[F.lit(i / (candidates - 1)) for i in range(candidates)]))).alias("q"), F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     bucket = scores.join(F.broadcast(q), by).withColumn("b", F.size(F.filter("q", lambda t: t <= F.col("score"))))
     c = bucket.groupBy(*by, "b").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
@@ -47,8 +47,10 @@ def thresholds(scores: DataFrame, max_fpr: float, by: list[str], candidates: int
     cand = cand.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
     f1 = F.round(ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos")), 9)
     cand = cand.withColumn("f1", f1).withColumn("fpr", ratio(F.col("fp"), F.col("neg")))
-    ok = cand.where(F.col("fpr") <= max_fpr).groupBy(*by).agg(F.max_by(F.struct(F.col("t").alias("threshold"), "f1", "fpr"), F.struct("f1", -F.col("t"))).alias("x"))
-    return ok.select(*by, "x.*")
+    holds = F.col("fpr") <= max_fpr
+    rank = F.struct(holds.alias("holds"), F.when(holds, F.col("f1")).otherwise(-F.col("fpr")).alias("worth"), (-F.col("t")).alias("least"))
+    best = cand.groupBy(*by).agg(F.max_by(F.struct(F.col("t").alias("threshold"), "f1", "fpr"), rank).alias("x"))
+    return best.select(*by, "x.*")
 
 
 def phase_rates(scored: DataFrame, threshold: float) -> DataFrame:

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,20 @@ def test_threshold_holds_budget(spark):
     assert metrics.confusion(df, r["threshold"], ["method"]).first()["f1"] == pytest.approx(r["f1"], abs=1e-6)
 
 
+def test_threshold_whole_job(spark):
+    """All rows of a tied top may be over the budget; rare positives lie between the 1 % steps."""
+    tied = [("tied", int(i % 5 == 0), 0.9 if i % 3 == 0 else i / 1000) for i in range(300)]
+    rare = [("rare", int(i >= 1996), i / 2000) for i in range(2000)]
+    df = spark.createDataFrame(tied + rare, "method string, y int, score double")
+    got = {r["method"]: r for r in metrics.thresholds(df, 0.05, ["method"]).collect()}
+    for rows, want_fpr in ((tied, 80 / 240), (rare, 0.0)):
+        y, x = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        cand = [(t, 2 * y[x >= t].sum() / ((x >= t).sum() + y.sum()), (1 - y[x >= t]).sum() / (1 - y).sum()) for t in np.unique(np.quantile(x, np.linspace(0, 1, 501)))]
+        best = max([c for c in cand if c[2] <= 0.05], key=lambda c: (c[1], -c[0]), default=None) or min(cand, key=lambda c: (c[2], c[0]))
+        r = got[rows[0][0]]
+        assert (r["threshold"], r["f1"], r["fpr"]) == pytest.approx(best, abs=1e-6) and r["fpr"] == pytest.approx(want_fpr)
+
+
 def test_shuffle_invariance(spark):
     f = registry.flows(spark, SF)
     a, b = (cells.build(x, registry.W).orderBy("capture", "src_ip", "wid").select("n_flows", F.round("log_bytes", 6)).collect() for x in (f, f.repartition(13)))
