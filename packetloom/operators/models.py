@@ -26,11 +26,13 @@ def balanced(train: DataFrame, target: str) -> DataFrame:
 
 
 def fit(train: DataFrame, features: str, target: str, kind: str, **options):
-    """A model of MAKERS, classes balanced by weight; a constant where there is one class only."""
+    """A model of MAKERS, classes balanced by weight; a constant where there is one class only. C: the L2 weight is 1 / (C n) for n rows."""
     classes = [r[0] for r in train.select(target).distinct().limit(2).collect()]
     if len(classes) < 2:
         return float(classes[0]) if classes else 0.0
     rows = balanced(train, target).select(array_to_vector(features).alias("_x"), F.col(target).cast("double").alias("_y"), "_w")
+    if "C" in options:
+        options["regParam"] = 1 / (options.pop("C") * train.count())
     return MAKERS[kind](featuresCol="_x", labelCol="_y", weightCol="_w", **options).fit(rows)
 
 

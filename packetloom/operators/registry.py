@@ -9,7 +9,7 @@ from packetloom.functions.stages import STAGES
 from packetloom.operators import cells, metrics, packets, risk
 from packetloom.sources import events
 
-W, GAP, H, PURGE = 21600, 10, 10, 6
+W, GAP, H, PURGE, PARTICLES = 21600, 10, 10, 6, 32
 KEYS = ["capture", "src_ip", "run", "wid"]
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -226,6 +226,15 @@ def _(spark, d):
     return risk.stage_paths(s, risk.matrix(risk.transitions(s)), 2).groupBy("k", "to_stage").agg(F.avg("prob").alias("mean_prob"))
 
 
+# g9_markov_paths stops at step 2 as its SQL does; all H steps here. The mean belief is carried forward in SQL, as the steps are linear.
+@query("g9_markov_horizon", base(*UP_TO_SEGS, MARKOV) + f""", m AS (SELECT i, avg(b) AS b FROM (SELECT unnest(range(7)) AS i, (unnest([cnt_0, cnt_1, cnt_2, cnt_3, cnt_4, cnt_5, cnt_6]) + 0.5::DOUBLE) / (cnt_0 + cnt_1 + cnt_2 + cnt_3 + cnt_4 + cnt_5 + cnt_6 + 3.5::DOUBLE) AS b FROM segs) GROUP BY ALL),
+s AS (WITH RECURSIVE s(k, i, b) AS (SELECT 0::BIGINT, i, b FROM m UNION ALL SELECT k + 1, j, x FROM (SELECT s.k, p.j, sum(s.b * p.p) AS x FROM s JOIN p ON p.i = s.i WHERE s.k < {H} GROUP BY ALL)) SELECT * FROM s WHERE k > 0)
+SELECT k, i AS to_stage, round(b, 6) + 0.0 AS mean_prob FROM s""")
+def _(spark, d):
+    s = segs(spark, d)
+    return risk.stage_paths(s, risk.matrix(risk.transitions(s)), H).groupBy("k", "to_stage").agg(F.avg("prob").alias("mean_prob"))
+
+
 @query("g10_first_passage")
 def _(spark, d):
     s = segs(spark, d)
@@ -235,7 +244,7 @@ def _(spark, d):
 @query("g11_rollout")
 def _(spark, d):
     s = segs(spark, d)
-    return risk.rollout(s, risk.matrix(risk.transitions(s)), 16, 5)
+    return risk.rollout(s, risk.matrix(risk.transitions(s)), PARTICLES, H)
 
 
 METHODS = "SELECT 'a' AS method, y_future AS y, risk AS score FROM scored UNION ALL SELECT 'b', y_future, round(risk * risk, 2) FROM scored"

@@ -95,8 +95,8 @@ def _(spark, d):
     return s.groupBy("score", "exploit_score", "y_future").agg(F.count("*").alias("n"))
 
 
-#: Kind, stacked cells and the rounds that the query trains; the operator's defaults are larger.
-FORECASTERS = {"g2_logistic": ("logistic", 1, {"regParam": 2.0 / 1000}), "g3_logistic_stacked": ("logistic", 8, {"regParam": 10.0 / 1000}), "g4_boosted_stacked": ("boosted", 8, {"maxIter": 10}), "g5_forest_stacked": ("forest", 8, {"numTrees": 20})}
+#: Kind, stacked cells and options beside the operator's defaults.
+FORECASTERS = {"g2_logistic": ("logistic", 1, {"C": 0.5}), "g3_logistic_stacked": ("logistic", 8, {"C": 0.1}), "g4_boosted_stacked": ("boosted", 8, {}), "g5_forest_stacked": ("forest", 8, {})}
 INPUTS = ["log_bytes", "log_pkts", "syn_ratio", "rst_ratio", "small_flow_frac", "udp_frac", "cnt_1", "cnt_2", "cnt_3", "cnt_4", "cnt_5", "cnt_6"]
 for _name, (_kind, _steps, _options) in FORECASTERS.items():
     @query(_name)

@@ -118,6 +118,16 @@ def test_forecasters_rank(spark):
         assert len(out) and out["score"].between(0, 1).all(), name
 
 
+def test_full_settings(spark):
+    """The queries' jobs are the operators': no fewer rounds, trees, particles or steps, and an L2 weight of 1 / (C n)."""
+    assert {k: v[2] for k, v in registry_reports.FORECASTERS.items()} == {"g2_logistic": {"C": 0.5}, "g3_logistic_stacked": {"C": 0.1}, "g4_boosted_stacked": {}, "g5_forest_stacked": {}}
+    df = spark.createDataFrame([([float(i % 7), float(i)], int(i % 5 > 2)) for i in range(40)], "x array<double>, y int")
+    assert models.fit(df, "x", "y", "logistic", C=0.5).getRegParam() == pytest.approx(1 / 20)
+    r = registry.QUERIES["g11_rollout"](spark, SF).agg(F.max("eta"), F.max((F.col("hit_share") * 16 % 1 > 0).cast("int"))).first()
+    assert r[0] > 5 and r[1] == 1
+    assert registry.QUERIES["g9_markov_horizon"](spark, SF).agg(F.max("k")).first()[0] == registry.H
+
+
 def test_one_class_is_constant(spark):
     df = spark.createDataFrame([([1.0, 2.0], 0), ([3.0, 4.0], 0)], "x array<double>, y int")
     assert {r["score"] for r in models.score(models.fit(df, "x", "y", "logistic"), df, "x").collect()} == {0.0}
