@@ -21,12 +21,13 @@ def to_flows(packets: DataFrame, idle_s: float) -> DataFrame:
     p = keyed(packets).withColumn("_new", F.when(F.col("ts") - F.lag("ts").over(w) > idle_s, 1).otherwise(0))
     p = p.withColumn("flow", F.sum("_new").over(w))
     f = Window.partitionBy(*KEY, "flow").orderBy("ts", "event_id")
-    p = p.withColumn("fwd", F.col("src") == F.first("src").over(f)).withColumn("gap", F.greatest(F.col("ts") - F.lag("ts").over(f), F.lit(0.0)))
+    p = p.withColumn("fwd", F.col("src") == F.first("src").over(f)).withColumn("gap", F.col("ts") - F.lag("ts").over(f))
+    p = p.withColumn("gap", F.when(F.col("gap").isNotNull(), F.greatest("gap", F.lit(0.0))))  # the first packet has none
     bit = lambda i: F.count_if(F.col("flags").bitwiseAND(F.lit(1 << i)) > 0)
     seqs = F.when((F.col("payload") > 0), F.struct("fwd", "seq"))
     return p.groupBy(*KEY, "flow").agg(
         F.min("ts").alias("ts"), F.count_if("fwd").alias("fwd_pkts"), F.count_if(~F.col("fwd")).alias("bwd_pkts"), F.sum(F.when(F.col("fwd"), F.col("length")).otherwise(0)).alias("fwd_bytes"), F.sum(F.when(~F.col("fwd"), F.col("length")).otherwise(0)).alias("bwd_bytes"),
-        (F.max("ts") - F.min("ts")).alias("duration"), F.avg("ttl").alias("ttl_mean"), F.stddev_pop("ttl").alias("ttl_std"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("iat_mean"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("iat_max"),
+        (F.max("ts") - F.min("ts")).alias("duration"), F.avg("ttl").alias("ttl_mean"), F.stddev_pop("ttl").alias("ttl_std"), F.coalesce(F.avg("gap"), F.lit(0.0)).alias("iat_mean"), F.coalesce(F.stddev_pop("gap"), F.lit(0.0)).alias("iat_std"), F.coalesce(F.max("gap"), F.lit(0.0)).alias("iat_max"),
         bit(1).alias("syn"), bit(4).alias("ack"), bit(0).alias("fin"), bit(2).alias("rst"), (F.count(seqs) - F.count_distinct(seqs)).alias("retrans"), F.count_if(F.col("ip_flags").bitwiseAND(F.lit(1)) > 0).alias("frag_pkts"), F.count_if(F.col("ip_flags").bitwiseAND(F.lit(2)) > 0).alias("df_pkts"),
-        F.count_if(F.col("payload") <= 64).alias("small_pkts"), F.avg("payload").alias("payload_mean"),
+        F.count_if(F.col("payload") <= 64).alias("small_pkts"), F.avg("payload").alias("payload_mean"), F.stddev_pop("payload").alias("payload_std"),
     )

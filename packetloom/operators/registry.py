@@ -107,7 +107,7 @@ SELECT ip_a, port_a, ip_b, port_b, flow::BIGINT AS flow, round(min(ts), 6) AS ts
  round(avg(ttl), 6) AS ttl_mean, round(stddev_pop(ttl), 6) AS ttl_std, count(*) FILTER (WHERE flags & 2 > 0) AS syn, count(*) FILTER (WHERE flags & 16 > 0) AS ack, count(*) FILTER (WHERE flags & 1 > 0) AS fin, count(*) FILTER (WHERE flags & 4 > 0) AS rst,
  count(*) FILTER (WHERE payload > 0) - count(DISTINCT (fwd, seq)) FILTER (WHERE payload > 0) AS retrans, count(*) FILTER (WHERE ip_flags & 1 > 0) AS frag_pkts, count(*) FILTER (WHERE ip_flags & 2 > 0) AS df_pkts, count(*) FILTER (WHERE payload <= 64) AS small_pkts, round(avg(payload), 6) AS payload_mean FROM p4 GROUP BY ALL""")
 def _(spark, d):
-    return packets.to_flows(events.packets(spark, d), W).drop("proto", "duration", "iat_mean", "iat_max")
+    return packets.to_flows(events.packets(spark, d), W).drop("proto", "duration", "iat_mean", "iat_std", "iat_max", "payload_std")
 
 
 @query("d14_cells", base(FLOWS, CELLS) + f"SELECT capture, src_ip, wid, n_flows, {r6(FEATURE_NAMES)}, ttl_missing::BIGINT AS ttl_missing, {', '.join(f'cnt_{i}' for i in range(7))} FROM cells")

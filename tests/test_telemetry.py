@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.functions import stages
-from packetloom.operators import cells, metrics, models, registry, registry_reports, risk, sequences
+from packetloom.operators import cells, metrics, models, packets, registry, registry_reports, risk, sequences
 from packetloom.sources import files
 from packetloom.streaming import cells as live
 
@@ -100,6 +100,13 @@ def test_threshold_whole_job(spark):
         assert (r["threshold"], r["f1"], r["fpr"]) == pytest.approx(best, abs=1e-6) and r["fpr"] == pytest.approx(want_fpr)
 
 
+def test_flow_deviations(spark):
+    rows = [(i, t, "a", "b", 1, 2, 6, 0, 0, n, 40 + n, 64, 0) for i, (t, n) in enumerate([(0.0, 10), (1.0, 20), (4.0, 60), (500.0, 7)])]
+    df = spark.createDataFrame(rows, "event_id int, ts double, src string, dst string, sport int, dport int, proto int, flags int, seq int, payload int, length int, ttl int, ip_flags int")
+    got = [(r["iat_mean"], r["iat_std"], r["payload_std"]) for r in packets.to_flows(df, 120.0).orderBy("ts").collect()]
+    assert got == [pytest.approx((2.0, 1.0, np.std([10, 20, 60]))), (0.0, 0.0, 0.0)]
+
+
 def test_shuffle_invariance(spark):
     f = registry.flows(spark, SF)
     a, b = (cells.build(x, registry.W).orderBy("capture", "src_ip", "wid").select("n_flows", F.round("log_bytes", 6)).collect() for x in (f, f.repartition(13)))
