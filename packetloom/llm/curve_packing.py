@@ -16,11 +16,11 @@ import os
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import as_bytes, ranked, stash, table
+from .util import as_bytes, of, ranked, record, slices, stash, table
 
 END = 2
 BITS, DIMS, BUCKETS = 10, 3, 256
@@ -139,14 +139,12 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
 
     def rows(batches):
         words, end = words_of(path), np.array([END], "<u4").tobytes()
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                ids = [x + end for x in words.encode(part["text"].tolist())]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "row": part["row"], "key": keys([np.frombuffer(x, "<u4") for x in ids]), "n": [len(x) // 4 for x in ids], "ids": ids})
+        for batch in slices(batches, 1000):
+            ids = [x + end for x in words.encode(batch.column("text").to_pylist())]
+            yield record(doc_id=batch.column("doc_id"), row=batch.column("row"), key=keys([np.frombuffer(x, "<u4") for x in ids]), n=pa.array([len(x) // 4 for x in ids], pa.int64()), ids=pa.array(ids, pa.binary()))
 
     tagged = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    return stash(tagged.mapInPandas(rows, "doc_id long, row long, key long, n long, ids binary"), "pack-ids")
+    return stash(tagged.mapInArrow(rows, f"{of(docs, 'doc_id')}, row long, key long, n long, ids binary"), "pack-ids")
 
 
 def pack(docs: DataFrame, path: str, length: int = 4096) -> DataFrame:
@@ -155,19 +153,21 @@ def pack(docs: DataFrame, path: str, length: int = 4096) -> DataFrame:
     order = ranked(made.select("row", "key", "doc_id", F.col("n").alias("size")), ["key", "doc_id", "row"], "pack-order", "size").select("row", F.col("start").alias("place"))
 
     def pieces(batches):
-        for pdf in batches:
+        for batch in slices(batches, 1000):
             out = []
-            for doc_id, n, ids, place in zip(pdf["doc_id"], pdf["n"], pdf["ids"], pdf["place"], strict=True):
+            for i, (n, ids, place) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "place")), strict=True)):
                 start = 0
                 while start < n:
                     sequence, offset = divmod(place + start, length)
                     k = min(n - start, length - offset)
-                    out.append((doc_id, start, k, ids[4 * start : 4 * (start + k)], n, sequence, offset))
+                    out.append((i, start, k, ids[4 * start : 4 * (start + k)], n, sequence, offset))
                     start += k
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            row, start, size, ids, n, sequence, offset = zip(*out, strict=True)
+            long = lambda x: pa.array(x, pa.int64())
+            yield record(doc_id=batch.column("doc_id").take(long(row)), start=long(start), length=long(size), ids=pa.array(ids, pa.binary()), doc_tokens=long(n), sequence_id=long(sequence), offset=long(offset))
 
     both = made.join(order.hint("shuffle_hash"), "row").select("doc_id", "n", "ids", "place")
-    return both.mapInPandas(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return both.mapInArrow(pieces, f"{of(docs, 'doc_id')}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def digest(pieces: DataFrame) -> DataFrame:

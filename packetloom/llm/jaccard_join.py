@@ -1,42 +1,43 @@
 """N-gram Jaccard join: exact near-duplicate classes in the metric space of Jaccard distance.
 
 Two texts link when 100 * |A & B| >= 75 * |A | B| over their sets of distinct 5-word shingles, a Jaccard
-distance of at most 0.25. Almost all texts lie at distance 1 from almost every other, where whole texts as
-pivots separate nothing, so the space is cut twice:
-
-1. Singleton pivots. In the symmetric-difference metric a text within reach of a set of n shingles lacks at most
-   n - ceil(0.75 n) of them, so it shares one of the first n - ceil(0.75 n) + 1 in any fixed order. Each text
-   is replicated to the regions of these shingles (the triangle-inequality window of the pivots {s}). The order
-   is rarest first by a count sketch of fixed size over all documents, so that passages common to many texts rarely make regions.
-2. Texts as pivots. In a region with more than `block` texts, a pivot text is compared with all others; texts it
-   links share its component and need no comparison with each other. In the next round each region that still spans
-   several components gets a new pivot from its smallest one, and after `rounds` the pairs left over are those whose
-   distances to the first pivot differ by at most 0.25 (its window), of other components and of sizes within reach; all
-   of them are compared. Regions of at most `block` texts compare their pairs at once.
-
-Before any pair is verified, the counts of both texts' shingles in 256 hash buckets bound their overlap from above;
-pairs that the bound already separates go. Equal sets are one class throughout (64 bits of a hash of the set name it; unlike sets meet in one name with a chance of
-n^2 / 2^65). A pair is verified by intersecting its whole shingle sets. Shingles are 64-bit hashes.
+distance of at most 0.25. Equal sets are one class throughout (64 bits of a hash of the set name it; unlike sets meet
+in one name with a chance of n^2 / 2^65); what follows joins classes.
+
+1. Texts without a common shingle lie at distance 1, where whole texts as pivots separate nothing. So the space is
+   first covered by the regions of singleton pivots {s}: to {s} a text is nearer than 1 only if it holds s, all of its
+   shingles tie as its nearest pivots, and a fixed order breaks the tie. Texts within 0.25 of a text of n shingles lack at most
+   n - ceil(0.75 n) of them, so replicating it to its first n - ceil(0.75 n) + 1 pivots makes linked texts meet. The
+   order is rarest first by a count sketch of fixed size over all documents, so that common passages rarely make regions.
+   Regions with the same members are one.
+2. Counts of a text's shingles in 256 hash buckets are a contraction: the weighted Jaccard distance of two such
+   vectors is no more than that of the sets. Members with nobody within 0.25 by the contraction leave their region.
+3. Each region is joined by `join_region`: texts as pivots create Voronoi regions by exact distance, a text goes to every
+   region where it is at most 0.5 (twice 0.25, by the triangle inequality) farther from the pivot than from its nearest, regions
+   join recursively, and small ones compare their pairs. Texts known to be connected need no comparison.
+4. Regions with more than `most` members or `weight` shingles are cut the same way first, by Spark joins (`split`): pivots' distances
+   to all members, nearest pivots, boundary replicas, labels of what is connected. Where pivots don't separate (a cut keeps over
+   0.7 of a region), the region falls into blocks by size, and blocks whose sizes allow a link meet in pairs.
 
 A text with fewer than 5 words has its whole word sequence as its only shingle; null, empty and wordless texts
 have none and are linked with nothing. Repeated rows are copies. A null doc_id has a null component only where no
-document of its component has an id. Columns besides doc_id and text are ignored.
+document of its component has an id. Columns besides doc_id and text are ignored. No documents give no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import Memo, as_bytes, hashes, stash, table, word_hashes
+from .util import Memo, as_bytes, fresh, groups, hashes, of, record, slices, stash, summed, table, word_hashes
 
 U = np.uint64
 WORDS, NUM, DEN = 5, 3, 4
-SKETCH_BITS, CHUNKS = 22, 64
-BUCKETS, FEW_PAIRS = 256, 1_000_000
+SKETCH_BITS, CHUNKS = 22, 16
+BUCKETS, PIVOTS = 256, 4
 MULTIPLIER = U(0x9E3779B97F4A7C15)
 
 
@@ -72,27 +73,28 @@ def name(s: np.ndarray) -> int:
 
 
 def profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, cid (null without shingles), h (shingles by bucket) for each row, and the count sketch of shingles over all rows."""
+    """doc_id, fp (hash of the text), n, cid (null without shingles), h (shingles by bucket) for each row, and the count sketch of shingles over all rows."""
 
     def rows(batches):
-        memo, counts = word_hashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
-        for pdf in batches:
-            sets = [shingles(t, memo) for t in pdf["text"]]
-            for at in range(0, len(sets), 5000):
-                every = np.concatenate(sets[at : at + 5000])
-                counts += np.bincount((every >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n": pd.array([len(s) for s in sets], "Int64"), "cid": pd.array([name(s) if len(s) else None for s in sets], "Int64"), "h": [np.bincount((s & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.int32) if len(s) else None for s in sets], "chunk": pd.array([None] * len(sets), "Int64"), "counts": None})
+        memo, counts, kind = word_hashes(), np.zeros(1 << SKETCH_BITS, np.uint32), None
+        for batch in slices(batches, 2000):
+            kind = batch.column("doc_id").type
+            sets = [shingles(t, memo) for t in batch.column("text").to_pylist()]
+            every = np.concatenate(sets)
+            counts += np.bincount((every >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            h = [np.bincount((s & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes() if len(s) else None for s in sets]
+            cid = pa.array([name(s) if len(s) else None for s in sets], pa.int64())
+            yield record(doc_id=batch.column("doc_id"), fp=batch.column("fp"), n=pa.array([len(s) for s in sets], pa.int64()), cid=cid, h=pa.array(h, pa.binary()), chunk=pa.nulls(len(sets), pa.int32()), counts=pa.nulls(len(sets), pa.binary()))
         if counts.any():
-            yield pd.DataFrame({"doc_id": pd.array([None] * CHUNKS, "Int64"), "n": pd.array([None] * CHUNKS, "Int64"), "cid": pd.array([None] * CHUNKS, "Int64"), "h": None, "chunk": pd.array(range(CHUNKS), "Int64"), "counts": [x.tobytes() for x in np.split(np.minimum(counts, 65535).astype(np.uint16), CHUNKS)]})
+            none = lambda t: pa.nulls(CHUNKS, t)
+            yield record(doc_id=none(kind), fp=none(pa.int64()), n=none(pa.int64()), cid=none(pa.int64()), h=none(pa.binary()), chunk=pa.array(range(CHUNKS), pa.int32()), counts=[np.minimum(x, 65535).astype("<u2").tobytes() for x in np.split(counts, CHUNKS)])
 
-    def add(key, pdf):
-        return pd.DataFrame({"chunk": [key[0]], "counts": [np.sum([np.frombuffer(x, np.uint16) for x in pdf["counts"]], axis=0, dtype=np.uint32).tobytes()]})
-
-    made = stash(docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n long, cid long, h array<int>, chunk long, counts binary"), "jaccard-profiles")
+    schema = f"{of(docs, 'doc_id')}, fp long, n long, cid long, h binary, chunk int, counts binary"
+    made = stash(docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(rows, schema), "jaccard-profiles")
     sketch = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint32)
-    for r in made.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(add, "chunk long, counts binary").collect():
-        sketch[r["chunk"]] = np.frombuffer(r["counts"], np.uint32)
-    return made.where("chunk IS NULL").select("doc_id", "n", "cid", "h"), sketch.ravel()
+    for chunk, counts in summed(made.where("chunk IS NOT NULL").select("chunk", "counts"), "chunk", "counts", "<u2", "<u4").items():
+        sketch[chunk] = counts
+    return made.where("chunk IS NULL").select("doc_id", "fp", "n", "cid", "h"), np.minimum(sketch.ravel(), 65535).astype(np.uint16)
 
 
 def prefix(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -103,46 +105,50 @@ def prefix(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
 
 
 def regions(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """cell, cid, n, pos: the regions of singleton pivots that hold two classes at least, and the pivot's place in the text's order.
+    """region, cid, n, pos: the regions of singleton pivots that hold two classes at least, and the first pivot's place in the text's order.
 
-    If the pivot at place i of n and j of m is the first that two texts share, they share n - i and m - j shingles at
-    most. So of two that link, the smaller has 7 i <= n (n - i >= 3/7 (n + m), m >= n), and the larger 7 (m - j) >= 3 (n + m).
+    Of two texts that link, the smaller has 7 pos <= n at the first pivot they share (n - pos >= 3/7 (n + m), m >= n),
+    and the larger 7 (m - at) >= 3 (n + m). Cells of one set of members are one region, with each member's least place.
     """
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def rows(batches):
         memo, seen = word_hashes(), set()
-        for pdf in batches:
-            out = []
-            for t in pdf["text"]:
+        for batch in slices(batches, 2000):
+            cid, n, cells = [], [], []
+            for t in batch.column("text").to_pylist():
                 s = shingles(t, memo)
                 if len(s) and (c := name(s)) not in seen:
                     seen.add(c)
-                    out.append((c, len(s), prefix(s, held.value).view(np.int64)))
-            yield pd.DataFrame(out, columns=["cid", "n", "cells"])
+                    cid.append(c)
+                    n.append(len(s))
+                    cells.append(prefix(s, held.value).view(np.int64))
+            yield record(cid=pa.array(cid, pa.int64()), n=pa.array(n, pa.int32()), cells=pa.array(cells, pa.list_(pa.int64())))
 
-    each = docs.select("text").mapInPandas(rows, "cid long, n int, cells array<long>").select(F.posexplode("cells").alias("pos", "cell"), "cid", "n")
+    each = docs.select("text").mapInArrow(rows, "cid long, n int, cells array<long>").select(F.posexplode("cells").alias("pos", "cell"), "cid", "n")
     cell = Window.partitionBy("cell")
     least = F.min(F.when(F.expr("7 * pos <= n"), F.col("n"))).over(cell)
     several = each.withColumn("_a", F.min("cid").over(cell)).withColumn("_b", F.max("cid").over(cell)).withColumn("_n", least)
-    several = several.where("_a < _b AND (7 * pos <= n OR 3 * (n + _n) <= 7 * (n - pos))").select("cell", "cid", "n", "pos")
-    return stash(several.distinct(), "jaccard-regions")
+    several = several.where("_a < _b AND (7 * pos <= n OR 3 * (n + _n) <= 7 * (n - pos))").select("cell", "cid", "n", "pos").distinct()
+    several = several.withColumn("_k", F.count("*").over(cell)).withColumn("_x", F.bit_xor(F.xxhash64("cid")).over(cell)).where("_k > 1")
+    out = stash(several.groupBy(F.xxhash64("_x", "_k").alias("region"), "cid").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "jaccard-regions")
+    held.destroy()
+    return out
 
 
 def sets_of(docs: DataFrame, cids: DataFrame, profile: DataFrame) -> DataFrame:
-    """cid, s: the shingles of the classes named, each from one of its documents (more than once if its id repeats)."""
-    none = F.lit(-(1 << 62))
-    first = stash(profile.select("cid", F.coalesce("doc_id", none).alias("_id")).join(cids, "cid", "left_semi").groupBy("cid").agg(F.min("_id").alias("_id")), "jaccard-active")
-    ids = F.broadcast(first) if first.count() <= FEW_PAIRS else first
-    texts = docs.select(F.coalesce("doc_id", none).alias("_id"), "text").join(ids, "_id").select("cid", "text")
+    """cid, s: the shingles of the classes named, each from one of its documents."""
+    first = profile.join(cids, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("x"))
+    first = stash(first.select("cid", F.col("x.doc_id").alias("_id"), F.col("x.fp").alias("_fp")), "jaccard-active")
+    texts = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]) & (F.xxhash64(docs["text"]) == first["_fp"])).select("cid", "text")
 
     def rows(batches):
         memo, seen = word_hashes(), set()
-        for pdf in batches:
-            made = [(c, s.view(np.int64)) for c, t in zip(pdf["cid"], pdf["text"], strict=True) if c not in seen and len(s := shingles(t, memo)) and name(s) == c and not seen.add(c)]
-            yield pd.DataFrame(made, columns=["cid", "s"])
+        for batch in slices(batches, 2000):
+            made = [(c, s.view(np.int64)) for c, t in zip(*(batch.column(x).to_pylist() for x in ("cid", "text")), strict=True) if c not in seen and len(s := shingles(t, memo)) and name(s) == c and not seen.add(c)]
+            yield record(cid=pa.array([c for c, _ in made], pa.int64()), s=pa.array([s for _, s in made], pa.list_(pa.int64())))
 
-    return stash(texts.mapInPandas(rows, "cid long, s array<long>"), "jaccard-sets")
+    return stash(texts.mapInArrow(rows, "cid long, s array<long>").groupBy("cid").agg(F.first("s").alias("s")), "jaccard-sets")
 
 
 def far_apart(i, t):
@@ -150,123 +156,228 @@ def far_apart(i, t):
     return 100 * i < 75 * (t - i)
 
 
-def with_sides(pairs: DataFrame, held: DataFrame, what: str) -> DataFrame:
-    """pairs (a, b) with what_a and what_b of held by cid. A million pairs travel to held; more meet it in a shuffle."""
-    few = pairs.count() <= FEW_PAIRS
-    side = lambda x: held.select(F.col("cid").alias(x), F.col(what).alias(f"{what}_{x}")).join(F.broadcast(pairs) if few else pairs, x)
-    return side("a").join(side("b"), ["a", "b"])
-
-
-def bounded(pairs: DataFrame, profile: DataFrame, why: str) -> DataFrame:
-    """The distinct pairs (a, b) that bucket counts don't separate."""
-    pairs = stash(pairs.select("a", "b").distinct(), f"{why}-pairs")
-    named = F.broadcast(_named(pairs)) if pairs.count() <= FEW_PAIRS else _named(pairs)  # else all bucket counts would be shuffled
-    both = with_sides(pairs, profile.select("cid", "h").join(named, "cid", "left_semi").dropDuplicates(["cid"]), "h")
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
-    most = total(F.zip_with("h_a", "h_b", lambda x, y: F.least(x, y))).cast("long")
-    return stash(both.where(~far_apart(most, (total("h_a") + total("h_b")).cast("long"))).select("a", "b"), f"{why}-bounded")
-
-
-def _named(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with d, their exact Jaccard distance, and linked."""
-    common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    sums = with_sides(pairs, sets, "s").select("a", "b", common.alias("i"), (F.size("s_a") + F.size("s_b")).cast("long").alias("t"))
-    return stash(sums.select("a", "b", (1 - F.col("i") / (F.col("t") - F.col("i"))).alias("d"), (~far_apart(F.col("i"), F.col("t"))).alias("linked")), "jaccard-verified")
+def partnered(n: np.ndarray, pos: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which members have another within 0.25 by the contraction and within reach of their places."""
+    out, left, step = np.zeros(len(n), bool), n - pos, max(1, 4_000_000 // (len(n) * BUCKETS))
+    for at in range(0, len(n), step):
+        part = slice(at, at + step)
+        most, t = np.minimum(h[part, None, :], h[None]).sum(-1, dtype=np.int64), n[part, None] + n[None]
+        near = ~far_apart(most, t) & (3 * t <= 7 * np.minimum(left[part, None], left[None]))
+        near[np.arange(len(near)), np.arange(at, at + len(near))] = False
+        out[part] = near.any(1)
+    return out
+
+
+def promising(rows: DataFrame, profile: DataFrame) -> DataFrame:
+    """region, cid, comp of the members that have a partner in their region."""
+    h = profile.select("cid", "h").join(rows.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+
+    def pick(batches):
+        for g in groups(batches, "region"):
+            h = np.frombuffer(b"".join(g["h"].to_pylist()), "<u4").reshape(-1, BUCKETS)
+            ok = pa.array(partnered(g["n"].to_numpy().astype(np.int64), g["pos"].to_numpy().astype(np.int64), h))
+            yield from g.select(["region", "cid", "comp"]).filter(ok).to_batches()
+
+    by_region = rows.join(h, "cid").repartition("region").sortWithinPartitions("region")
+    return stash(by_region.mapInArrow(pick, "region long, cid long, comp long"), "jaccard-promising")
+
+
+def join_region(ids: list, sets: list[np.ndarray], comp: list, block: int) -> list[tuple]:
+    """Links (a, b) enough to connect what is connected in the region; members of one comp (not None) are connected already."""
+    n = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    ends, by_shingle = np.concatenate([[0], np.cumsum(np.bincount(number))]), owner[order]
+    ends_of, up, out = np.concatenate([[0], np.cumsum(n)]), list(range(len(sets))), []
+
+    def root(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def shared(i):  # with every member
+        mine = number[ends_of[i] : ends_of[i + 1]]
+        first, size = ends[mine], ends[mine + 1] - ends[mine]
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        return np.bincount(by_shingle[at], minlength=len(sets))
+
+    def link(i, members, overlap):
+        for j in members[~far_apart(overlap[members], n[members] + n[i])].tolist():
+            a, b = root(i), root(j)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+                out.append((ids[i], ids[j]))
+
+    seen: dict = {}
+    for i, c in enumerate(comp):
+        if c is not None:
+            up[root(i)] = root(seen.setdefault(c, i))
+    todo = [np.arange(len(sets))]
+    while todo:
+        members = todo.pop()
+        roots = np.array([root(i) for i in members.tolist()])
+        if (roots == roots[:1]).all():
+            continue
+        if len(members) <= block:
+            for k, i in enumerate(members[:-1].tolist()):
+                link(i, members[k + 1 :], shared(i))
+            continue
+        # pivots of different components, spread over the region
+        pivots = members[np.unique(roots, return_index=True)[1]]
+        pivots = pivots[np.linspace(0, len(pivots) - 1, min(PIVOTS, len(pivots))).astype(int)]
+        overlap = np.stack([shared(i) for i in pivots.tolist()])
+        for i, x in zip(pivots.tolist(), overlap, strict=True):
+            link(i, members, x)
+        rest = members[~np.isin(members, pivots)]
+        d = 1 - overlap[:, rest] / (n[pivots][:, None] + n[rest] - overlap[:, rest])
+        nearest = d.argmin(0)
+        for k in range(len(pivots)):
+            home = nearest == k
+            if not home.any():
+                continue
+            inside = (d[k] <= d.min(0) + 0.5 + 1e-9) & (d[k] <= d[k][home].max() + 0.25 + 1e-9) & (d[k] >= d[k][home].min() - 0.25 - 1e-9)
+            if inside.sum() <= 0.7 * len(members):
+                todo.append(rest[inside])
+            else:  # the pivot doesn't separate
+                for i in rest[home].tolist():
+                    link(i, rest[inside], shared(i))
+    return out
+
+
+def joined(rows: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """a, b: links within the regions of rows (region, cid, comp)."""
+
+    def links_(batches):
+        for g in groups(batches, "region"):
+            s = g["s"].combine_chunks()
+            values, ends = s.values.to_numpy().view(U), s.offsets.to_numpy()
+            found = join_region(g["cid"].to_pylist(), [values[a:b] for a, b in zip(ends, ends[1:], strict=False)], g["comp"].to_pylist(), block)
+            yield record(a=pa.array([a for a, _ in found], pa.int64()), b=pa.array([b for _, b in found], pa.int64()))
+
+    by_region = rows.join(sets, "cid").repartition("region").sortWithinPartitions("region", "cid")
+    return stash(by_region.mapInArrow(links_, "a long, b long"), "jaccard-links")
+
+
+def sized(rows: DataFrame, most: int, weight: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of regions within the bounds, and those of the others, with `k`; regions of one component go."""
+    label = F.coalesce("comp", "cid")
+    size = rows.groupBy("region").agg(F.count("*").alias("k"), F.sum("n").alias("_w"), F.min(label).alias("_a"), F.max(label).alias("_b")).where("_a < _b")
+    both = rows.join(size.select("region", "k", "_w"), "region")
+    small = (F.col("k") <= most) & (F.col("_w") <= weight)
+    return both.where(small).drop("k", "_w"), both.where(~small).drop("_w")
+
+
+def split(large: DataFrame, docs: DataFrame, profile: DataFrame, most: int, weight: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) and regions within the bounds, which together decide all pairs of the large regions."""
+    sets = sets_of(docs, large.select("cid").distinct(), profile)
+    found = pieces = None
+    add = lambda x, y: y if x is None else x.unionByName(y)
+    linked = lambda i, t: ~far_apart(i, t)
+    while large.take(1):
+        order = F.struct(F.col("comp").isNotNull().alias("known"), F.xxhash64("cid", "region").alias("h"), "cid")
+        chosen = large.groupBy("region", F.pmod(F.xxhash64("region", "cid"), F.lit(PIVOTS)).alias("slot")).agg(F.min(order).alias("x")).select("region", F.col("x.cid").alias("cid"))
+        pivots = chosen.join(sets, "cid").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("cid", "s"))).alias("p"))
+        # of pivots that link, the least names them all
+        name_of = lambda x: F.array_min(F.transform(F.filter("p", lambda y: linked(F.size(F.array_intersect(x["s"], y["s"])).cast("long"), (F.size(x["s"]) + F.size(y["s"])).cast("long"))), lambda y: y["cid"]))
+        pivots = stash(pivots.withColumn("p", F.transform("p", lambda x: F.struct(x["cid"].alias("cid"), x["s"].alias("s"), name_of(x).alias("name")))), "jaccard-pivots")
+
+        def seen(x):
+            i, t = F.size(F.array_intersect("s", x["s"])).cast("long"), (F.size("s") + F.size(x["s"])).cast("long")
+            return F.struct((1 - i / (t - i)).alias("d"), x["cid"].alias("cid"), x["name"].alias("name"), linked(i, t).alias("linked"))
+
+        near = large.join(sets, "cid").join(pivots, "region").select("region", "cid", "n", "pos", "comp", "k", F.array_sort(F.transform("p", seen)).alias("x"))
+        near = stash(near, "jaccard-distances")
+        found = add(found, near.select(F.col("cid").alias("a"), F.explode(F.filter("x", lambda y: y["linked"])).alias("y")).select("a", F.col("y.cid").alias("b")).where("a <> b"))
+        label = F.coalesce("comp", F.array_min(F.transform(F.filter("x", lambda y: y["linked"]), lambda y: y["name"])))
+        rest = near.where(~F.exists("x", lambda y: y["cid"] == F.col("cid"))).withColumn("comp", label)
+        inside = F.filter("x", lambda y: y["d"] <= F.col("x")[0]["d"] + 0.5 + 1e-9)
+        rest = rest.select(F.col("region").alias("up"), "cid", "n", "pos", "comp", F.col("k").alias("of"), F.explode(inside).alias("y"))
+        small, big = sized(rest.select(F.xxhash64("up", "y.cid").alias("region"), "cid", "n", "pos", "comp", "of"), most, weight)
+        pieces = add(pieces, small.drop("of"))
+        stuck = F.col("k") > 0.7 * F.col("of")
+        big = stash(big, "jaccard-large")
+        pieces = add(pieces, blocks(big.where(stuck), most, weight))
+        large = big.where(~stuck).drop("of")
+    return found, pieces
+
+
+def blocks(rows: DataFrame, most: int, weight: int) -> DataFrame:
+    """Regions cut into blocks of sizes within a factor of 4/3; two blocks of the same or neighbouring sizes make a region, unless one component holds both."""
+    rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(4 / 3)))).withColumn("_c", F.coalesce("comp", F.lit(0)))
+    key = ["region", "band", "_c"]
+    parts = rows.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / (most / 2)), F.ceil(F.sum("n") / (weight / 2))).alias("_parts"))
+    rows = rows.join(parts, key).withColumn("block", F.struct("band", "_c", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("_parts")).alias("i")))
+    each = rows.select("region", "block").distinct()
+    meet = each.join(each.withColumnRenamed("block", "other"), "region").where("block <= other AND abs(block.band - other.band) <= 1 AND (block._c <> other._c OR block._c = 0)")
+    meet = meet.select("region", F.xxhash64("region", "block", "other").alias("to"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+    return rows.join(meet, ["region", "block"]).select(F.col("to").alias("region"), "cid", "n", "pos", "comp")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp: the smallest node that links (a, b) reach. Hooks to the smallest neighbour, then jumps pointers, then contracts."""
+    """node, comp: a node of each component that links (a, b) make. Each node takes the name of its least neighbour and links follow;
+    names are hashes, so that a fair share of the nodes that are left goes in each round."""
     edges = stash(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
-    out = None
+    ups = []
     while edges.take(1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("up")), "hooks")
-        while True:
-            far = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
-            up2 = stash(up.join(far, "up").select("node", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved")), "hooks")
-            up = up2.select("node", "up")
-            if not up2.where("moved").take(1):
-                break
-        out = up.withColumnRenamed("up", "comp") if out is None else out.join(up.select(F.col("node").alias("comp"), "up"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
-        new = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"{c}2"))
+        ups.append(up)
+        new = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"{c}2"))  # noqa: B023, E731
         edges = stash(edges.join(new("a"), "a").join(new("b"), "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a < b").distinct(), "links")
-        out = stash(out, "components")
-    return out if out is not None else links.select(F.col("a").alias("node"), F.col("b").alias("comp")).limit(0)
-
-
-#: Whether sets of n and m shingles may link if a pivot at these places is the first that they share.
-REACH = "3 * (n + m) <= 7 * least(n - pos, m - at)"
-
-
-def links(docs: DataFrame, profile: DataFrame, sketch: np.ndarray, block: int = 8, rounds: int = 3) -> DataFrame:
-    """a, b: linked pairs of classes, enough of them to connect each component (all of those in small regions)."""
-    cells = regions(docs, sketch)
-    cells = cells.join(cells.groupBy("cell").agg(F.count("*").alias("k")).where("k > 1"), "cell")
-    central = cells.where(F.col("k") > block).groupBy("cid").agg((-F.count("*") / F.first("n")).alias("aside"))
-    cells = stash(cells.join(central, "cid", "left"), "jaccard-cells")
-    small, large = cells.where(F.col("k") <= block), cells.where(F.col("k") > block)
-    other = small.select("cell", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"))
-    pairs = small.select("cell", F.col("cid").alias("a"), "n", "pos").join(other, "cell").where(F.col("a") < F.col("b")).where(REACH)
-    pairs = bounded(pairs, profile, "small")
-    sets = sets_of(docs, _named(pairs).unionByName(large.select("cid")).distinct(), profile)
-    found = verified(pairs, sets).where("linked").select("a", "b")
-    first = None
-    for k in range(rounds + 1):
-        if not large.take(1):
-            break
-        comp = components(found)
-        now = large.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        parts = now.groupBy("cell", "comp").agg(F.count("*").alias("c"), F.min(F.struct("aside", F.xxhash64("cid").alias("h"), "cid", "n", "pos")).alias("p"))
-        pivots = parts.groupBy("cell").agg(F.count("*").alias("parts"), F.min(F.struct(F.lit(0).alias("c") if k == 0 else F.col("c"), "p", "comp")).alias("x")).where("parts > 1")
-        pivots = stash(pivots.select("cell", F.col("x.p.cid").alias("b"), F.col("x.p.n").alias("m"), F.col("x.p.pos").alias("at"), F.col("x.comp").alias("pivot_comp")), "pivots")
-        if not pivots.take(1):
-            break
-        if k == rounds:
-            found = found.unionByName(_rest(stash(now.join(pivots.select("cell"), "cell", "left_semi"), "rest"), first, sets, profile))
-            break
-        asked = now.join(pivots, "cell").where(F.col("comp") != F.col("pivot_comp")).where(REACH)
-        done = verified(bounded(asked.select(F.col("cid").alias("a"), "b"), profile, "pivot"), sets)
-        # a pivot has been compared with all of its region: it leaves it
-        large = stash(now.select("cell", "cid", "n", "pos", "k", "aside").join(pivots.select("cell", F.col("b").alias("cid")), ["cell", "cid"], "left_anti"), "jaccard-cells")
-        large = large.join(pivots.select("cell"), "cell", "left_semi")
-        near_pivot = done.select(F.col("a").alias("cid"), "b", "d")
-        if k == 0:
-            first = stash(now.select("cell", "cid").join(pivots.select("cell", "b"), "cell").join(near_pivot, ["cid", "b"]).select("cell", "cid", "d"), "jaccard-windows")
-        found = stash(found.unionByName(done.where("linked").select("a", "b")), "jaccard-links")
-    return found
-
-
-def _rest(now: DataFrame, first: DataFrame, sets: DataFrame, profile: DataFrame) -> DataFrame:
-    """The pairs of a region that no pivot has decided: other components, sizes and first-pivot distances within reach."""
-    now = now.join(first, ["cell", "cid"], "left")
-    other = now.select("cell", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("comp").alias("comp_b"), F.col("d").alias("d_b"))
-    apart = F.coalesce(F.abs(F.col("d") - F.col("d_b")) > 0.25 + 1e-9, F.lit(False))
-    pairs = now.select("cell", F.col("cid").alias("a"), "n", "pos", "comp", "d").join(other, "cell").where(F.col("a") < F.col("b")).where(F.col("comp") != F.col("comp_b")).where(REACH).where(~apart)
-    return verified(bounded(pairs, profile, "rest"), sets).where("linked").select("a", "b")
-
-
-def classes(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
-    docs = docs.select("doc_id", "text")
+    if not ups:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    out = ups[0].withColumnRenamed("up", "comp")
+    for up in ups[1:]:
+        out = out.join(up.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+    return stash(out, "components")
+
+
+def links(docs: DataFrame, profile: DataFrame, sketch: np.ndarray, block: int = 8, most: int = 2048, weight: int = 8_000_000) -> DataFrame:
+    """a, b: linked pairs of classes, enough of them to connect each component."""
+    rows = regions(docs, sketch).withColumn("comp", F.lit(None).cast("long"))
+    small, large = sized(rows, most, weight)
+    large = stash(large, "jaccard-large")
+    found = None
+    if large.take(1):
+        found, pieces = split(large, docs, profile, most, weight)
+        small = small.unionByName(pieces)
+    small = promising(small, profile)
+    own = joined(small, sets_of(docs, small.select("cid").distinct(), profile), block)
+    return own if found is None else own.unionByName(found)
+
+
+def found_classes(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """The profile of each row, and cid, comp (a class of its component), root (its smallest doc_id) of each class."""
     profile, sketch = profiles(docs)
     comp = components(links(docs, profile, sketch, **options))
     ids = profile.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first"))
     ids = ids.join(comp.select(F.col("node").alias("cid"), "comp"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     roots = ids.groupBy("comp").agg(F.min("first").alias("root"))
-    by_class = stash(ids.join(roots, "comp").select("cid", "root"), "jaccard-classes")
+    return profile, stash(ids.join(roots, "comp").select("cid", "comp", "root"), "jaccard-classes")
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs."""
+    profile, by_class = found_classes(docs.select("doc_id", "text"), **options)
     out = profile.join(by_class, "cid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the document that names it, once. Null ids stay."""
-    found = classes(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(stash(found, "jaccard-kept"), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """The rows of docs without near duplicates: of each component the row with the smallest doc_id (null ids come last), then the
+    smallest hash of its text; of rows equal in both any one. Rows without shingles (null, empty, wordless) all stay."""
+    profile, by_class = found_classes(docs.select("doc_id", "text"), **options)
+    rows = profile.join(by_class, "cid").groupBy("comp", "doc_id", "fp").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    least = rows.groupBy("comp").agg(F.min(order).alias("least"))
+    told = stash(rows.join(least, "comp").select("doc_id", "fp", "rows", (order == F.col("least")).alias("kept")), "jaccard-told")
+    same = lambda t: docs["doc_id"].eqNullSafe(t["doc_id"]) & (F.xxhash64(docs["text"]) == t["fp"])
+    gone = told.where("NOT kept OR rows > 1")
+    again, fp = told.where("kept AND rows > 1"), fresh("fp", docs)
+    once = docs.join(again, same(again), "left_semi").withColumn(fp, F.xxhash64("text")).dropDuplicates(["doc_id", fp]).drop(fp)
+    return docs.join(gone, same(gone), "left_anti").unionByName(once)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Quality rules: a linear-chain conditional random field labels the lines content or boilerplate.
 
 `train` fits the field by gradient ascent on its log-likelihood (forward-backward) over the lines of a
-bounded sample of labelled documents: at most `max_docs` of them, chosen by a hash of doc_id. The weak
+bounded sample of labelled documents: at most `max_docs` of them, chosen by a hash of doc_id, and of each at most
+`windows` windows of `lines` lines, evenly spread (documents of up to windows * lines lines are learned from whole). The weak
 label of a line is content in documents of quality 1 and boilerplate in the others; that most lines of a
 document agree is what the transitions learn. `judge` decodes every whole text by Viterbi and keeps a
 document whose content lines hold at least `share` of its characters, unless the base rules reject it.
 
-Null and empty texts have no words and are rejected. Texts without a line of words cannot be decoded and
+Null and empty texts have no words and are rejected. A row comes out for each row of docs, repeated rows and null ids
+included; of rows that repeat a labelled doc_id the least text is learned from. No documents give no rows. Texts without a line of words cannot be decoded and
 are rejected by the base rules as well. Columns besides doc_id and text play no part. Without labels the
 field has only its prior weights (symbols, capitals and repeats speak for boilerplate).
 """
@@ -14,11 +16,11 @@ field has only its prior weights (symbols, capitals and repeats speak for boiler
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import Memo, as_bytes, table, word_hashes
+from .util import Memo, as_bytes, of, record, slices, table, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 U = np.uint64
@@ -115,19 +117,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_docs: int, usable=No
     """doc_id, text, quality of at most max_docs labelled documents, half of either label where there are so many."""
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if usable is None else usable)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picks = [own.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2) for q in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(picks[0].unionByName(picks[1])), "doc_id")
+    return found.groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 600, max_lines: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """The field's weights from at most max_docs labelled documents; of these, longer ones than max_lines are not learned from."""
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 600, windows: int = 4, lines: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """The field's weights from at most max_docs labelled documents, of each at most `windows` windows of `lines` lines."""
 
     def features(batches):
-        for pdf in batches:
-            made = [line_features(as_bytes(t))[0] for t in pdf["text"]]
-            ok = [0 < len(m) <= max_lines for m in made]
-            yield pd.DataFrame({"quality": pdf["quality"], "x": [m.ravel().tolist() for m in made]})[ok]
-
-    rows = labelled_sample(docs, labels, max_docs).mapInPandas(features, "quality int, x array<float>").collect()
+        for batch in slices(batches, 100):
+            out = []
+            for quality, text in zip(*(batch.column(c).to_pylist() for c in ("quality", "text")), strict=True):
+                x = line_features(as_bytes(text))[0]
+                n = -(-len(x) // lines)
+                out += [(quality, x[k * lines : (k + 1) * lines].ravel()) for k in (range(n) if n <= windows else np.linspace(0, n - 1, windows).astype(int))]
+            yield record(quality=pa.array([q for q, _ in out], pa.int32()), x=pa.array([x for _, x in out], pa.list_(pa.float32())))
+
+    rows = labelled_sample(docs, labels, max_docs).mapInArrow(features, "quality int, x array<float>").collect()
     rows.sort(key=lambda r: (r["quality"], r["x"]))  # the sum must not depend on the order of arrival
     return train([((x := np.array(r["x"], float).reshape(-1, N_FEATURES)), np.full(len(x), r["quality"])) for r in rows])
 
@@ -161,26 +167,20 @@ def base_counts(data: bytes, memo: Memo) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeats
 
 
-OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
+OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
 
 
 def judge(docs: DataFrame, labels: DataFrame, share: float = 0.5, **options) -> DataFrame:
     """The base counts, the share of characters in content lines and the verdict, for each row of docs."""
-    return docs.select("doc_id", "text").mapInPandas(_judged(docs, labels, share, **options), OUT)
-
-
-def _judged(docs: DataFrame, labels: DataFrame, share: float, **options):
     emit, move = fit(docs, labels, **options)
 
     def verdicts(batches):
-        memo = word_hashes()
-        for pdf in batches:
-            rows = [verdict(as_bytes(t), memo, emit, move, share) for t in pdf["text"]]
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
+        memo, names = word_hashes(), [c.split()[0] for c in OUT.split(", ")]
+        for batch in slices(batches, 2000):
+            rows = zip(*[verdict(as_bytes(t), memo, emit, move, share) for t in batch.column("text").to_pylist()], strict=True)
+            yield record(doc_id=batch.column("doc_id"), **{c: pa.array(x) for c, x in zip(names, rows, strict=True)})
 
-    return verdicts
+    return docs.select("doc_id", "text").mapInArrow(verdicts, f"{of(docs, 'doc_id')}, {OUT}")
 
 
 def verdict(data: bytes, memo: Memo, emit: np.ndarray, move: np.ndarray, share: float) -> tuple:
@@ -192,15 +192,15 @@ def verdict(data: bytes, memo: Memo, emit: np.ndarray, move: np.ndarray, share:
 
 
 def keep(docs: DataFrame, labels: DataFrame, share: float = 0.5, **options) -> DataFrame:
-    """The rows of docs that the rules keep, as they are."""
+    """The rows of docs that the rules keep, as they are, with all columns; rows that repeat share a verdict."""
     emit, move = fit(docs, labels, **options)
 
     def kept(batches):
         memo = word_hashes()
-        for pdf in batches:
-            yield pdf[[verdict(as_bytes(t), memo, emit, move, share)[-1] for t in pdf["text"]]]
+        for batch in slices(batches, 2000):
+            yield batch.filter(pa.array([verdict(as_bytes(t), memo, emit, move, share)[-1] for t in batch.column("text").to_pylist()]))
 
-    return docs.mapInPandas(kept, docs.schema)
+    return docs.mapInArrow(kept, docs.schema)
 
 
 def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """PII: labelers vote on candidate spans, expectation-maximisation weighs them. DataFrame operations only.
 
-Base kinds (email, ip, card, phone) come from fixed patterns and always stay. The method adds spans of kind
-`secret`: candidates are tokens that a wide pattern finds (key = value pairs, long
-mixed tokens, obfuscated addresses, digit groups) outside base spans. Five labelers, two regexes, two
-gazetteers and one context rule, vote yes, no or nothing on each. The counts of the vote patterns (at most 3^5 rows)
+Base kinds (email, ip, card, phone) come from fixed patterns and always stay. The method adds spans of the kinds
+`secret`, `id` (personal numbers) and `address` (mail addresses in disguise): candidates are tokens that a wide pattern finds (key = value pairs, long
+mixed tokens, obfuscated addresses, digit groups) outside base spans. Six labelers, three regexes, two
+gazetteers and one context rule, vote yes, no or nothing on each. The counts of the vote patterns (at most 3^6 rows)
 feed expectation-maximisation, which estimates each labeler's reliability and the chance of each pattern;
 with these chances as weights a naive Bayes classifier over binned span features (length, digits, case mix,
 entropy) is trained, and a candidate is a span when votes and classifier together give at least `accept`.
 
-Null and empty texts have no spans. Whole texts are scanned once per kind whose needed character occurs in
+Null and empty texts have no spans; repeated rows and null ids are rows like others. Whole texts are scanned once per kind whose needed character occurs in
 them. Columns besides doc_id and text are ignored; a row comes out for each row. Without any candidate
 the method adds nothing.
 """
@@ -85,7 +85,8 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-LABELERS = ["assigned", "mixed", "named", "prefixed", "context"]
+LABELERS = ["assigned", "mixed", "named", "prefixed", "context", "formed"]
+NUMBER, DISGUISED = r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", r"[\[(](?:at|AT)[\])]"
 
 
 def votes(t: Column, before: Column) -> dict[str, Column]:
@@ -99,6 +100,7 @@ def votes(t: Column, before: Column) -> dict[str, Column]:
         "named": F.when(name.isin(SECRET_NAMES), 1).when(name != "", 0).otherwise(-1),
         "prefixed": F.when(F.exists(F.array(*map(F.lit, SECRET_PREFIXES)), lambda p: F.startswith(value, p)), 1).otherwise(-1),
         "context": F.when(before.rlike(CONTEXT), 1).otherwise(-1),
+        "formed": F.when(t.rlike(r"^(?:000|666|9..)-|-00-|-0000$") & t.rlike(NUMBER), 0).when(t.rlike(NUMBER) | t.rlike(DISGUISED), 1).otherwise(-1),
     }
 
 
@@ -116,18 +118,20 @@ def features(t: Column) -> dict[str, Column]:
 
 
 def expect(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[list[float], list[float]]]]:
-    """The share of true spans, and for each labeler its chances of (-1, 0, 1) on false and on true spans."""
+    """The share of true spans, and for each labeler the weights of (-1, 0, 1) on false and on true spans: its chances to vote 0 or 1 when
+    it votes; saying nothing tells nothing. Two votes beforehand, one of them wrong, hold that labelers are no worse than chance."""
     total = sum(n for _, n in patterns)
     yes = [(1 + 2 * sum(v == 1 for v in p)) / (2 + 2 * sum(v >= 0 for v in p)) for p, _ in patterns]
     prior, tables = 0.5, []
     for _ in range(rounds):
         tables = []
         for j in range(len(LABELERS)):
-            each = [[1.0] * 3, [1.0] * 3]
+            each = [[2.0, 1.0], [1.0, 2.0]]
             for (p, n), y in zip(patterns, yes, strict=True):
-                each[0][p[j] + 1] += n * (1 - y)
-                each[1][p[j] + 1] += n * y
-            tables.append(tuple([c / sum(x) for c in x] for x in each))
+                if p[j] >= 0:
+                    each[0][p[j]] += n * (1 - y)
+                    each[1][p[j]] += n * y
+            tables.append(tuple([1.0, *(c / sum(x) for c in x)] for x in each))
         prior = min(0.99, max(0.01, sum(n * y for (_, n), y in zip(patterns, yes, strict=True)) / max(1, total)))
         yes = [1 / (1 + math.exp(-math.log(prior / (1 - prior)) - sum(math.log(tables[j][1][v + 1] / tables[j][0][v + 1]) for j, v in enumerate(p)))) for p, _ in patterns]
     return prior, tables
@@ -155,7 +159,8 @@ def find(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     taken = F.concat(*[F.col(k) for k in base])
     apart = F.filter("wide", lambda m: ~F.exists(taken, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
     found = rows.select("row", F.explode(apart).alias("m")).select("row", "m.*")
-    found = stash(found.select("row", "s", "e", *[v.alias(k) for k, v in votes(F.col("t"), F.col("before")).items()], *[v.alias(f"f_{k}") for k, v in features(F.col("t")).items()]), "pii-votes")
+    kind = F.when(F.col("t").rlike(NUMBER), "id").when(F.col("t").rlike(DISGUISED), "address").otherwise("secret")
+    found = stash(found.select("row", "s", "e", kind.alias("kind"), *[v.alias(k) for k, v in votes(F.col("t"), F.col("before")).items()], *[v.alias(f"f_{k}") for k, v in features(F.col("t")).items()]), "pii-votes")
     patterns = [(tuple(r[k] for k in LABELERS), r["n"]) for r in found.groupBy(*LABELERS).agg(F.count("*").alias("n")).collect()]
     if not patterns:
         return rows.select("doc_id", *base, F.array().cast("array<struct<kind:string,s:int,e:int>>").alias("extra"))
@@ -167,7 +172,7 @@ def find(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     lean = sum((F.coalesce(F.element_at(F.create_map(*[F.lit(x) for (f, v), o in sorted(odds.items()) if f == name for x in (v, o)]), F.col(name)), F.lit(0.0)) for name in sorted({f for f, _ in odds})), F.lit(0.0))
     # the classifier has the votes' word as a prior; a labeler that says nothing leaves it to the features
     judged = found.where(1 / (1 + F.exp(-(vote + lean) / 2)) >= accept)
-    extra = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit("secret").alias("kind"), "s", "e"))).alias("extra"))
+    extra = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("extra"))
     out = rows.join(extra, "row", "left")
     return out.select("doc_id", *base, F.coalesce("extra", F.array().cast("array<struct<kind:string,s:int,e:int>>")).alias("extra"))
 
@@ -178,7 +183,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = lambda k: F.transform(k, lambda m: F.concat_ws(":", F.lit(k), m["s"], m["e"]))
     base = F.concat(*map(told, kinds))
     every = F.concat(base, F.transform("extra", lambda m: F.concat_ws(":", m["kind"], m["s"], m["e"])))
-    return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"))
+    return out.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(every, ",").alias("spans"),
+                      F.size("extra").cast("long").alias("n_extra"), F.size(every).cast("long").alias("n_spans"))
 
 
 QUERIES, ORACLE = {"op10_pii": op10_pii}, {}

@@ -7,25 +7,26 @@ latent-semantic axes. The labelled vectors (a sample of at most `max_labelled`,
 either label where there are so many) are broadcast; each document's cosines with all of them are exact,
 in blocks, and its `k` nearest vote with their similarities.
 
-Null and empty texts have a bucket of their own, so they get neighbours and a score like any other.
+Neighbours that tie with the k-th share the places left. Null and empty texts have a bucket of their own, so they get neighbours and a score like any other.
 Without labels the score is 0.5. Only texts are inputs of a score. Columns besides doc_id and text are
-ignored; a row comes out for each row.
+ignored; a row comes out for each row, repeated rows and null ids included. Of rows that repeat a labelled doc_id the
+least text is learned from. No documents give no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_crf import SYMBOLS, labelled_sample
-from .util import Memo, as_bytes, table
+from .util import Memo, as_bytes, of, record, slices, summed, table
 
 WORDS, SHAPES = 384, 64
 D = WORDS + SHAPES + 6  # the last: empty, few words, repeats the word before, repeats an earlier line, lines, bias
-ASCII_UP = bytes(range(65, 91))
+PARTS = 16  # of the sums, so that no group holds them whole
 
 
 def shape(word: bytes) -> int:
@@ -66,24 +67,24 @@ def axes(docs: DataFrame, rank: int) -> np.ndarray:
 
     def sums(batches):
         memo, gram, df, n = buckets(), np.zeros((D, D)), np.zeros(D), 0
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                v = vectors(pdf["text"].iloc[at : at + 1000].tolist(), memo)
-                gram += v.T @ v
-                df += (v > 0).sum(0)
-                n += len(v)
-        yield pd.DataFrame({"row": range(D + 2), "x": [*gram.tolist(), df.tolist(), [float(n)] * D]})
-
-    def add(key, pdf):
-        return pd.DataFrame({"row": [key[0]], "x": [np.sum(np.stack(pdf["x"].to_list()), axis=0).tolist()]})
-
-    got = {r["row"]: r["x"] for r in docs.select("text").mapInPandas(sums, "row int, x array<double>").groupBy("row").applyInPandas(add, "row int, x array<double>").collect()}
-    if not got or not got[D + 1][0]:
+        for batch in slices(batches, 1000):
+            v = vectors(batch.column("text").to_pylist(), memo)
+            gram += v.T @ v
+            df += (v > 0).sum(0)
+            n += len(v)
+        if n:
+            parts = np.array_split(np.concatenate([gram.ravel(), df, [float(n)]]), PARTS)
+            yield record(part=pa.array(range(PARTS), pa.int32()), x=[p.tobytes() for p in parts])
+
+    got = summed(docs.select("text").mapInArrow(sums, "part int, x binary"), "part", "x", "<f8", "<f8")
+    if not got:
         return np.eye(D, rank)
-    idf = np.log1p(got[D + 1][0] / (1 + np.array(got[D])))
+    flat = np.concatenate([got[i] for i in range(PARTS)])
+    gram, df, n = flat[: D * D].reshape(D, D), flat[D * D : -1], flat[-1]
+    idf = np.log1p(n / (1 + df))
     idf[WORDS:] = np.maximum(idf[WORDS:], 1)  # shapes and line features are few and all count
     idf[:WORDS] *= 0.5
-    gram = np.array([got[i] for i in range(D)]) * idf[:, None] * idf
+    gram = gram * idf[:, None] * idf
     values, v = np.linalg.eigh(gram)
     v = v[:, np.argsort(-values)[:rank]]
     v *= np.sign(v[np.abs(v).argmax(0), range(rank)])
@@ -99,10 +100,13 @@ def vote(latent: np.ndarray, held: np.ndarray, labels: np.ndarray, k: int, sharp
     if not len(held):
         return np.full(len(latent), 0.5)
     cosine = np.maximum(latent @ held.T, 0)
-    near = np.argpartition(-cosine, min(k, len(held)) - 1, axis=1)[:, :k]
-    w = np.take_along_axis(cosine, near, 1) ** sharpness
+    k = min(k, len(held))
+    least = np.partition(cosine, len(held) - k, axis=1)[:, len(held) - k, None]  # the k-th largest: neighbours that tie with it share its votes
+    tied = cosine == least
+    share = np.where(cosine > least, 1.0, tied * ((k - (cosine > least).sum(1)) / tied.sum(1))[:, None])
+    w = share * cosine**sharpness
     total = w.sum(1)
-    return np.where(total > 0, (w * labels[near]).sum(1) / np.maximum(total, 1e-12), labels.mean())
+    return np.where(total > 0, w @ labels / np.maximum(total, 1e-12), labels.mean())
 
 
 def score(docs: DataFrame, labels: DataFrame, usable=None, max_labelled: int = 4000, rank: int = 48, k: int = 25, sharpness: float = 8.0) -> DataFrame:
@@ -112,21 +116,23 @@ def score(docs: DataFrame, labels: DataFrame, usable=None, max_labelled: int = 4
 
     def project(batches):
         memo = buckets()
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "v": unit(vectors(pdf["text"].tolist(), memo) @ basis).tolist()})
+        for batch in slices(batches, 500):
+            v = unit(vectors(batch.column("text").to_pylist(), memo) @ basis)
+            yield record(doc_id=batch.column("doc_id"), quality=batch.column("quality").cast(pa.int32()), v=pa.array(list(v.astype(np.float32)), pa.list_(pa.float32())))
 
-    rows = labelled_sample(docs, labels, max_labelled, usable).mapInPandas(project, "doc_id long, quality int, v array<float>").collect()
+    sample = labelled_sample(docs, labels, max_labelled, usable)
+    rows = sample.mapInArrow(project, f"{of(docs, 'doc_id')}, quality int, v array<float>").collect()
     rows.sort(key=lambda r: r["doc_id"])
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast((np.array([r["v"] for r in rows], np.float32).reshape(-1, rank), np.array([r["quality"] for r in rows], float)))
 
     def scored(batches):
         memo, (held, y) = buckets(), model.value
-        for pdf in batches:
-            out = [vote(unit(vectors(pdf["text"].iloc[at : at + 500].tolist(), memo) @ basis), held, y, k, sharpness) for at in range(0, len(pdf), 500)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": np.clip(np.concatenate(out), 0, 1) if out else np.zeros(0)})
+        for batch in slices(batches, 500):
+            out = vote(unit(vectors(batch.column("text").to_pylist(), memo) @ basis), held, y, k, sharpness)
+            yield record(doc_id=batch.column("doc_id"), score=np.clip(out, 0, 1).astype(float))
 
-    return docs.mapInPandas(scored, "doc_id long, score double")
+    return docs.mapInArrow(scored, f"{of(docs, 'doc_id')}, score double")
 
 
 def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

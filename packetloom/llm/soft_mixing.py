@@ -6,13 +6,15 @@ p_id, distributed projected gradient finds nonnegative rates r_i whose expected
 sum_i r_i n_i p_id match the targets in least squares: each step sums K numbers over all documents, and a
 rate is a closed expression of the K residuals of each step. Totals are weighted by 1/S_d (S_d: the
 domain's expected tokens before mixing) and rates by n_i, where a step of length one is safe. The budget is the
-least at which no domain must shrink and, when every domain has a target, no rate is below one, so no document
-is thinned out; rates become whole copies, the fraction by a hash of the document.
+least at which no domain must shrink and no rate is below one, so no document is thinned out; rates become whole
+copies, the fraction by a hash of the document. Before that scale, rates stay between `least` and `most`: a domain too rare
+for its target gets `most` copies of its documents and falls short, which `totals` shows.
 
 Null and empty texts have no tokens; they get a posterior (the classifier's intercept) and a rate like any
-other. Null domains or ids are not learned from. Domains without a target have the target nought; targets without a
-labelled domain are left out and the others scaled up. Without labels all rates are 1. Repeated rows are documents of their own and get
-equal rates. Columns besides doc_id, text and the domain's are kept by `mix` and ignored by `rates`.
+other. Null domains or ids are not learned from. A labelled domain without a target (or with nought) has its own tokens before
+mixing as its target, so its documents stay; targets without a labelled domain are left out and the others scaled up. Without
+labels, or with one domain, all rates are 1. Repeated rows are documents of their own and get equal rates. Columns besides doc_id, text
+and the domain's are kept by `mix`, whatever their names, and ignored by `rates`. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -41,8 +43,8 @@ def vectorised(docs: DataFrame, buckets: int) -> DataFrame:
 class Mixer:
     """A fitted classifier with the residuals that make rates."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float], max_labelled: int = 2000, buckets: int = 1024, steps: int = 25, tolerance: float = 1e-3, key: Column | None = None):
-        self.buckets, self.model, self.domains, self.residuals, self.scale = buckets, None, [], [], 1.0
+    def __init__(self, docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float], max_labelled: int = 2000, buckets: int = 1024, steps: int = 25, tolerance: float = 1e-3, least: float = 0.5, most: float = 64.0, key: Column | None = None):
+        self.buckets, self.model, self.domains, self.residuals, self.scale, self.least, self.most = buckets, None, [], [], 1.0, least, most
         own = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
         learn = docs.select("doc_id", "text", F.col(domain).alias("_domain")).where("_domain IS NOT NULL").join(F.broadcast(own), "doc_id")
         learn = stash(learn, "mix-sample")
@@ -64,13 +66,13 @@ class Mixer:
         out = self.model.transform(vectorised(docs, self.buckets)).withColumn("_n", F.size("_words").cast("long"))
         return out.withColumn("_p", vector_to_array("_p")).drop("_words", "_v", "_raw", "_class")
 
-    def rate(self) -> Column:
-        """The rate from _p: the steps of projected gradient, from the residuals over S of each."""
+    def rate(self, p: str = "_p") -> Column:
+        """The rate from posteriors p: the steps of projected gradient, from the residuals over S of each."""
         if not self.residuals:
             return F.lit(1.0)
         steps = F.array(*[F.array(*map(F.lit, r)) for r in self.residuals])
-        dot = lambda g: F.aggregate(F.zip_with("_p", g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g))) * F.lit(self.scale)
+        dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        return F.aggregate(steps, F.lit(1.0), lambda r, g: F.least(F.lit(self.most), F.greatest(F.lit(self.least), r - dot(g)))) * F.lit(self.scale)
 
     def _totals(self, held: DataFrame) -> list[float]:
         sums = held.agg(*[F.sum(F.col("_r") * F.col("_n") * F.col("_p")[k]).alias(f"s{k}") for k in range(len(self.domains))]).first()
@@ -82,9 +84,8 @@ class Mixer:
         known = [max(0.0, targets.get(d, 0.0)) for d in self.domains]
         if not sum(known) or not all(s > 0 for s, w in zip(self.before, known, strict=True) if w):
             return
-        weights = [w / sum(known) for w in known]
-        budget = max(s / w for s, w in zip(self.before, weights, strict=True) if w)
-        self.targets = [budget * w for w in weights]
+        budget = max(s / w for s, w in zip(self.before, known, strict=True) if w)
+        self.targets = [budget * w if w else s for s, w in zip(self.before, known, strict=True)]
         for _ in range(steps):
             now = self._totals(held.withColumn("_r", self.rate()))
             gap = [(a - t) / max(s, 1e-9) for a, t, s in zip(now, self.targets, self.before, strict=True)]
@@ -92,11 +93,16 @@ class Mixer:
                 break
             self.residuals.append(gap)
         least = held.agg(F.min(self.rate())).first()[0]
-        if all(weights) and least and least < 1:
+        if least and least < 1:
             self.scale = 1 / least
             self.targets = [t * self.scale for t in self.targets]
 
 
+    def totals(self) -> list[tuple[str, float, float]]:
+        """Domain, expected tokens after mixing, target."""
+        return list(zip(self.domains, self._totals(self.held.withColumn("_r", self.rate())), getattr(self, "targets", self.before if self.domains else []), strict=False)) if self.residuals else []
+
+
 def copies(rate: Column, key: Column) -> Column:
     part = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (F.floor(rate) + (part < rate - F.floor(rate)).cast("long")).cast("int")
@@ -113,8 +119,9 @@ def rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dic
 def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, **options) -> DataFrame:
     """docs, each row as often as its rate says."""
     mixer = Mixer(docs, labels, domain, targets or TARGETS, **options)
-    out = mixer.posteriors(docs).withColumn("_copies", copies(mixer.rate(), F.xxhash64("doc_id", "text")))
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")  # its columns' names can't clash
+    out = mixer.posteriors(own).withColumn("_copies", copies(mixer.rate(), F.xxhash64("_row.doc_id", "text")))
+    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

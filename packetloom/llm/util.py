@@ -1,29 +1,45 @@
-"""What the operators share: tables, shared scratch space, word hashing and a global order."""
+"""What the operators share: tables, shared scratch space, Arrow batches, word hashing and a global order."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_HELD: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remove(spark: SparkSession, base: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session is gone; its folder is the cluster's to clear
+        pass
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local one only where none is set (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("packetloom.scratch", None)
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir). A session's paths lie in one folder, which goes with the driver."""
+    app = spark.sparkContext.applicationId
+    if app not in _HELD:
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = f"file://{tempfile.mkdtemp(prefix='packetloom-')}"
-            spark.conf.set("packetloom.scratch", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+        _HELD[app] = f"{base}/packetloom-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_remove, spark, _HELD[app])
+    return f"{_HELD[app]}/{name}-{uuid.uuid4().hex}"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +50,67 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def of(df: DataFrame, *columns: str) -> str:
+    """The columns' part of a schema string: their types as they are."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def record(**columns) -> pa.RecordBatch:
+    """A batch of Arrow arrays or lists; ids pass through as they came, nulls and all 64 bits included."""
+    return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns.values()], list(columns))
+
+
+def slices(batches, most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), most):
+            yield batch.slice(at, most)
+
+
+def groups(batches, key: str) -> Iterator[pa.Table]:
+    """The rows of each key, of batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = batch.slice(a, b - a)
+            if held and held[-1].column(key)[-1] != part.column(key)[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def summed(parts: DataFrame, key: str, values: str, kind: str, wide: str) -> dict[int, np.ndarray]:
+    """Sums (of numpy type wide) of arrays (binary, of type kind) by key, in two levels so that no group holds all parts. Only the sums come to the driver."""
+
+    def adder(given):
+        def add(k, pdf):
+            import pandas as pd
+
+            total = np.frombuffer(pdf[values].iloc[0], given).astype(wide)
+            for x in pdf[values].iloc[1:]:
+                total += np.frombuffer(x, given)
+            return pd.DataFrame({key: [k[0]], values: [total.tobytes()]})
+
+        return add
+
+    schema = f"{key} int, {values} binary"
+    some = parts.groupBy(key, F.floor(F.spark_partition_id() / F.lit(256)).alias("_part")).applyInPandas(adder(kind), schema)
+    return {r[key]: np.frombuffer(r[values], wide) for r in some.groupBy(key).applyInPandas(adder(wide), schema).collect()}
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Memo(dict):
     """f(key) by key, forgotten as a whole when it holds too many."""
 
@@ -56,7 +133,6 @@ def hashes(memo: Memo, words: list[bytes]) -> np.ndarray:
 
 
 def as_bytes(text: str | None) -> bytes:
-    """UTF-8 of the text. bytes.split() cuts at exactly [\\x20\\x09-\\x0D], bytes.lower() changes exactly A-Z."""
     return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
 
 

@@ -4,7 +4,8 @@ Vectors are dealt to shards of about `per_shard` by a hash of their id and posit
 chord length is a metric that orders by cosine, so each shard builds a vantage-point tree: a node splits its
 vectors at the median distance from a vantage point. A block of queries walks the tree together; a query
 skips a side when its distance to the border exceeds `factor` times its worst kept distance. Factor one is
-the triangle inequality and exact; smaller factors prune more. Each shard gives each query its k nearest with
+the triangle inequality and exact; smaller factors prune more. A second walk with the k-th cosine found as its radius
+gathers all that tie with it. Each shard gives each query its k nearest with
 exact double-precision cosines, and the best k of all shards remain, ties to the smaller id.
 
 Null or zero vectors and those with null or non-finite components take no part, neither as queries nor
@@ -24,6 +25,7 @@ from .util import stash, table
 
 LEAF = 64
 SLACK = 1e-7  # rounding of distances never prunes a true neighbour
+TIE = 1e-12  # cosines nearer than this may tie once computed exactly
 
 
 class Tree:
@@ -50,6 +52,25 @@ class Tree:
         self._walk(self.root, np.arange(len(q)), q, best, where, factor)
         return where, best
 
+    def within(self, q: np.ndarray, least: np.ndarray, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, row) of cosine least or more (of each query), ordered by query."""
+        found = [(np.zeros(0, int), np.zeros(0, int))]
+        todo, reach = [(self.root, np.arange(len(q)))], factor * chord(least) + SLACK
+        while todo:
+            node, active = todo.pop()
+            if not len(active):
+                continue
+            if not isinstance(node, tuple):
+                i, j = np.nonzero(q[active] @ self.x[node].T >= least[active, None])
+                found.append((active[i], node[j]))
+                continue
+            vantage, middle, near, far = node
+            border = chord(q[active] @ self.x[vantage]) - middle
+            todo += [(near, active[border <= reach[active]]), (far, active[-border <= reach[active]])]
+        i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((j, i))
+        return i[order], j[order]
+
     def _walk(self, node, active, q, best, where, factor) -> None:
         if not len(active):
             return
@@ -93,10 +114,16 @@ def shard_search(held: pd.DataFrame, asked: pd.DataFrame, k: int, factor: float)
         ends = np.searchsorted(inverse.ravel()[order], np.arange(len(distinct) + 1))
         tree = Tree(distinct / np.linalg.norm(distinct, axis=1, keepdims=True))
         # one more than k distinct vectors, as the query's own may be one; k + 1 ids of each
-        rows, _ = tree.search(q / np.linalg.norm(q, axis=1, keepdims=True), min(k + 3, len(distinct)), factor)
+        u = q / np.linalg.norm(q, axis=1, keepdims=True)
+        _, best = tree.search(u, min(k + 1, len(distinct)), factor)
+        asked_by, row = tree.within(u, best.min(1) - TIE, factor)
+        cuts = np.searchsorted(asked_by, np.arange(len(q) + 1))
         for i in range(len(q)):
-            near = rows[i][rows[i] >= 0]
+            near = row[cuts[i] : cuts[i + 1]]
             score = cosines(distinct[near], q[i])
+            if len(near) > k + 1:  # ids only of those that can be among the best
+                best_k = score >= np.partition(score, len(near) - k - 1)[len(near) - k - 1]
+                near, score = near[best_k], score[best_k]
             picks = [(-s, v) for s, r in zip(score.tolist(), near.tolist(), strict=True) for v in ids[order[ends[r] : min(ends[r + 1], ends[r] + k + 1)]].tolist() if v != qid[i]]
             out += [(int(qid[i]), v, -s) for s, v in sorted(picks)[:k]]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])

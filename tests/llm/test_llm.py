@@ -76,7 +76,7 @@ def test_jaccard(spark):
     near = [" ".join(w if rng.random() > 0.02 else f"x{rng.integers(99)}" for w in BASE.split()) for _ in range(40)]
     texts = TEXTS + near
     sets = brute_sets(texts)
-    for options in ({}, {"block": 2, "rounds": 1}):
+    for options in ({}, {"block": 2, "most": 6, "weight": 900}):
         got = {r["doc_id"]: r for r in jaccard_join.classes(docs(spark, texts), **options).collect()}
         assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
         assert [got[i]["component_id"] for i in range(len(texts))] == brute_components(sets)
@@ -194,16 +194,30 @@ def test_mixing(spark):
 
 def test_tool_calls(spark):
     call = '{"tool_calls": [{"id": "%s", "name": "%s", "arguments": {"prompt": "p"}, "after": %s}]}'
+    typed = '{"tool_calls": [{"id": "%s", "name": "t", "arguments": %s, "after": %s}]}'
     rows = [(1, 0, "assistant", call % ("a", "reply", "null")), (1, 1, "tool", '{"tool_call_id": "a", "content": "fine"}'), (1, 2, "assistant", call % ("b", "reply", '"a"')), (1, 3, "assistant", call % ("c", "other", '"b"')),
-            (2, 0, "assistant", call % ("x", "reply", '"y"')), (2, 1, "assistant", call % ("y", "reply", '"x"')), (3, 0, "user", None), (3, 1, "assistant", "ok"), (3, 2, "user", "again"), (None, 0, "user", "lost"), (4, 0, "assistant", "{broken")]
+            (2, 0, "assistant", call % ("x", "reply", '"y"')), (2, 1, "assistant", call % ("y", "reply", '"x"')), (3, 0, "user", None), (3, 1, "assistant", "ok"), (3, 2, "user", "again"), (None, 0, "user", "lost"), (4, 0, "assistant", "{broken"),
+            (5, 0, "user", "q"), (5, 1, "assistant", call % ("d", "reply", '"turn-0"')), (5, 2, "tool", '{"tool_call_id": "d", "content": "r"}'), (5, 3, "assistant", "answer"), (5, 7, "user", "more"), (5, 9, "user", "more"),
+            (6, 0, "assistant", call % ("e", "reply", "null")), (6, 1, "assistant", call % ("f", "reply", '["e"]')), (6, 2, "assistant", call % ("g", "reply", '["e", "f"]')), (6, 3, "assistant", call % ("h", "reply", '["g", "e", "gone"]')), (6, 4, "assistant", call % ("i", "reply", '["h"]')), (6, 5, "assistant", call % ("j", "reply", '["j", "e"]'))]
     got = {(r["conv_id"], r["call_id"]): r for r in tool_calls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert {k: (r["level"], r["answered"], r["valid"]) for k, r in got.items()} == {(1, "a"): (0, True, True), (1, "b"): (1, False, True), (1, "c"): (2, False, False), (2, "x"): (None, False, False), (2, "y"): (None, False, False), (3, "turn-0"): (0, True, True), (3, "turn-2"): (1, False, True)}
+    assert {k: (r["level"], r["answered"], r["valid"]) for k, r in got.items()} == {(1, "a"): (0, True, True), (1, "b"): (1, False, True), (1, "c"): (2, False, False), (2, "x"): (None, False, False), (2, "y"): (None, False, False), (3, "turn-0"): (0, True, True), (3, "turn-2"): (1, False, True),
+        (5, "turn-0"): (0, True, True), (5, "d"): (1, True, True), (5, "turn-7"): (1, False, True), (5, "turn-9"): (2, False, True),
+        (6, "e"): (0, False, True), (6, "f"): (1, False, True), (6, "g"): (2, False, True), (6, "h"): (3, False, False), (6, "i"): (4, False, True), (6, "j"): (None, False, False)}
+    assert got[5, "turn-0"]["result_turn"] == 3
     assert got[1, "a"]["canonical"] == '{"arguments":{"prompt":"p"},"id":"a","level":0,"name":"reply","result":"fine"}'
+    schema = {"t": {"n": ("integer", True), "s": ("string", True), "o": ("object", False), "l": ("array", False), "x": ("number", False)}}
+    cases = [('{"s":"3","o":{"z":1,"a":{"d":[{"y":1,"b":2}],"c":null}},"n":3}', True), ('{"n":"3","s":"3"}', False), ('{"n":3,"s":3}', False), ('{"n":3}', False), ('{"n":3,"s":"","more":1}', False), ('{"n":3,"s":"","o":[1]}', False), ('{"n":3,"s":"","l":[1],"x":1.5}', True), ("[1]", False), ("null", False)]
+    rows = [(1, i, "assistant", typed % (i, a, "null")) for i, (a, _) in enumerate(cases)]
+    got = {r["call_id"]: r for r in tool_calls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schema).collect()}
+    assert [got[str(i)]["valid"] for i in range(len(cases))] == [v for _, v in cases]
+    assert got["0"]["canonical"] == '{"arguments":{"n":3,"o":{"a":{"c":null,"d":[{"b":2,"y":1}]},"z":1},"s":"3"},"id":"0","level":0,"name":"t","result":null}'
 
 
 def test_empty_tables(spark):
     d, lab = empty(docs(spark)), empty(labels(spark))
-    for out in (quality_knn.score(d, lab), curve_packing.pack(d, curve_packing.vocabulary()), soft_mixing.rates(d, lab), jaccard_join.classes(d), line_crf.judge(d, lab), balanced_sharding.shard(d), line_dedup.dedup_lines(d), pii.find(d)):
+    talk = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    vecs = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    for out in (tool_calls.link(talk), vp_search.search(vecs, F.col("vec_id") % 50 == 0), jaccard_join.keep_one(d), line_crf.keep(d, lab), line_dedup.clean(d), soft_mixing.mix(d, lab), quality_knn.score(d, lab), curve_packing.pack(d, curve_packing.vocabulary()), soft_mixing.rates(d, lab), jaccard_join.classes(d), line_crf.judge(d, lab), balanced_sharding.shard(d), line_dedup.dedup_lines(d), pii.find(d)):
         assert out.count() == 0
 
 
@@ -212,4 +226,180 @@ def test_pipeline(spark, tmp_path):
 
     docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
     labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
+    at = docs(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:  # each stage against its operator's brute force, by rows
+        before, at = at, line_dedup.stash(stage(spark, at, str(tmp_path)), "stage")
+        assert at.columns == before.columns
     assert set(corpus_pipeline.run(spark, str(tmp_path)).columns) >= {"doc_id", "start", "length"}
+    empty(docs(spark)).write.parquet(f"{tmp_path}/none/documents.parquet")
+    empty(labels(spark)).write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+BIG = 2**53 + 1
+CLASH = ["_kept", "_p", "_row", "_lines", "quality", "row", "key", "fp", "_copies", "id"]
+
+
+def awkward(spark):
+    """Null ids, ids above 2**53, repeated rows, a text of a million characters, columns of names that operators use."""
+    ids = [None, BIG, BIG + 1, None, BIG, BIG + 3, BIG + 5, BIG + 5, BIG + 7, 3]
+    texts = ["a shared line that repeats\nnull one", "a shared line that repeats\nfirst holder", "a shared line that repeats\nsecond", None, "a shared line that repeats\nfirst holder", "", BASE, BASE, "x" * 500_000 + " " + "y " * 250_000, BASE.replace("tok3 ", "tik3 ")]
+    rows = [(i, t, "en", *[5 if k % 2 else None for k in range(len(CLASH))]) for i, t in zip(ids, texts, strict=True)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{c}` long" for c in CLASH)).repartition(2), list(zip(ids, texts, strict=True))
+
+
+def bag(rows):
+    return sorted(map(str, rows))
+
+
+def test_awkward_rows(spark):
+    from collections import Counter
+
+    d, rows = awkward(spark)
+    lab = spark.createDataFrame([(BIG, 1, 0), (BIG + 5, 1, 0), (BIG + 7, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    outs = {"op1": quality_knn.score(d, lab), "op4": soft_mixing.rates(d, lab), "op5": jaccard_join.classes(d), "op6": line_crf.judge(d, lab), "op7": balanced_sharding.shard(d, 3), "op9": line_dedup.dedup_lines(d), "op10": pii.find(d)}
+    got = {k: df.collect() for k, df in outs.items()}
+    for k, out in got.items():
+        assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in rows), k
+    pieces = curve_packing.digest(curve_packing.pack(d, curve_packing.vocabulary())).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == Counter(i for i, _ in rows)
+    kept = {(r["doc_id"], r["text"]): r["_kept"] for r in got["op9"]}
+    assert kept[BIG, rows[1][1]] == rows[1][1] and kept[BIG + 1, rows[2][1]] == "second" and kept[None, rows[0][1]] == "null one"
+    assert {(r["doc_id"], r["component_id"]) for r in got["op5"] if r["doc_id"] in (3, BIG + 5)} == {(3, 3), (BIG + 5, 3)}
+    for out in (line_crf.keep(d, lab), line_dedup.clean(d), jaccard_join.keep_one(d), soft_mixing.mix(d, lab)):
+        assert out.columns == d.columns and {tuple(r[c] for c in CLASH) for r in out.collect()} <= {tuple(5 if k % 2 else None for k in range(len(CLASH)))}
+    one = jaccard_join.keep_one(d).collect()  # (BIG and null share no text; BASE's copies and its near copy are one group)
+    assert bag((r["doc_id"], r["text"]) for r in one) == bag({(3, rows[9][1]), (BIG + 7, rows[8][1]), (BIG, rows[1][1]), (BIG + 1, rows[2][1]), (None, rows[0][1]), (None, None), (BIG + 5 - 2, "")})
+
+
+def test_keep_one_by_row(spark):
+    """Rows of one doc_id with unlike texts are documents of their own; copies with null ids leave one."""
+    other = " ".join(f"other{i}" for i in range(40))
+    rows = [(1, BASE), (1, other), (None, other), (None, LONG), (None, LONG), (2, LONG)]
+    got = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert bag(map(tuple, got)) == bag([(1, BASE), (1, other), (2, LONG)])
+
+
+def test_search_ties(spark):
+    """Multiples of one vector and orthogonal vectors: ties to the smaller id, however many."""
+    many = [(i, [float(i + 1), 2.0 * (i + 1), 0.0]) for i in range(120)]
+    got = vp_search.search(spark.createDataFrame(many, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    for q in (0, 50, 100):
+        x = np.array([v for _, v in many])
+        s = vp_search.cosines(x, x[q])
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [i for i in np.lexsort((np.arange(120), -s)).tolist() if i != q][:5]
+    axes = [(i, np.eye(100)[i].tolist()) for i in range(100)]
+    got = vp_search.search(spark.createDataFrame(axes, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, per_shard=40).collect()
+    assert {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 50)} == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4]}
+
+
+def test_search_factor():
+    """Below one the tree prunes more; recall stays at 0.9 or more on clustered vectors."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 16))[rng.integers(40, size=3000)] + 0.3 * rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    exact = np.argsort(-(x[:60] @ x.T), axis=1)[:, :5]
+    for factor, least in ((1.0, 1.0), (0.7, 0.9)):
+        rows, best = vp_search.Tree(x).search(x[:60], 5, factor)
+        assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(rows.tolist(), exact.tolist(), strict=True)]) >= least
+
+
+def test_equal_high_bits():
+    import pandas as pd
+
+    rows = pd.DataFrame({"shard": 0, "high": [7, 7, 9], "low": [1, 2, 3], "first": [10, 20, 30], "count": [2, 3, 4]})
+    shard = line_dedup.Shard(line_dedup.build_shard(rows).iloc[0])
+    find = lambda least: shard.first_holder(np.array([7, 7, 9, 9], np.uint64), np.array([1, 2, 3, 4], np.uint64), least).tolist()
+    assert shard.seed > 0 and find(2) == [10, 20, 30, -1] and find(3) == [-1, 20, 30, -1]
+
+
+def test_lines_by_count(spark):
+    rows = [(i, f"held by three documents\nheld by two of them {i // 2}") for i in (0, 1, 2, 2)]
+    got = {(r["doc_id"], r["_kept"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3).collect()}
+    assert got == {(0, rows[0][1]), (1, "held by two of them 0"), (2, "held by two of them 1")}
+
+
+def test_groups_stay_whole(spark):
+    """Groups that fit a shard are in one; a larger one fills as few as it can."""
+    texts = [f"group {i % 12}" for i in range(36)] + ["large"] * 25 + [f"alone {i}" for i in range(40)]
+    got = balanced_sharding.shard(docs(spark, texts), 8).toPandas()
+    n = got.groupby("shard").size()
+    assert n.max() - n.min() <= 1 and all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard").slot)
+    got["text"] = [texts[i] for i in got.doc_id]
+    spread = got.groupby("text").shard.nunique()
+    assert spread[spread.index != "large"].max() == 1 and spread["large"] <= 4
+
+
+def test_mixing_totals(spark):
+    """Expected and realised totals meet the targets; a domain without a target keeps its documents; a rare one stops at `most` copies."""
+    rng = np.random.default_rng(5)
+    words = {d: [f"{d}{i}" for i in range(40)] for d in ("en", "de", "fr", "xx")}
+    rows = [(i, " ".join(rng.choice(words[d], 30)), d) for i, d in enumerate(["en"] * 200 + ["de"] * 60 + ["fr"] * 40 + ["xx"] * 20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(r[0], 1, 0) for r in rows[::2]], "doc_id long, quality int, toxic int")
+    got = soft_mixing.rates(d, lab, targets={"en": 0.4, "de": 0.3, "fr": 0.3}).collect()
+    p = np.array([[r["posterior"][x] for x in ("en", "de", "fr", "xx")] for r in got])
+    n, rate, made = (np.array([r[c] for r in got]) for c in ("n_tokens", "rate", "copies"))
+    for weight, slack in ((rate, 0.01), (made, 0.1)):
+        total = (weight * n) @ p
+        assert total[:3] / total[:3].sum() == pytest.approx([0.4, 0.3, 0.3], abs=slack)
+    assert made.min() >= 1 and rate @ (n * p[:, 3]) == pytest.approx((n * p[:, 3]).sum() * (rate @ (n * p[:, 0])) / (n * p[:, 0]).sum(), rel=0.1)
+    assert soft_mixing.mix(d, lab, targets={"en": 0.4, "de": 0.3, "fr": 0.3}).where("lang = 'xx'").select("doc_id").distinct().count() == 20
+    few = soft_mixing.rates(d, lab, targets={"en": 0.01, "fr": 0.99}, most=4.0).collect()
+    assert max(r["rate"] for r in few) <= 8.0 and min(r["copies"] for r in few) >= 1
+
+
+def test_votes_by_brute_force(spark):
+    """Scores as a plain loop over all labelled vectors gives them."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "!!", "BUY"], rng.integers(1, 30), p=p)) for p in ([0.3, 0.3, 0.2, 0.2, 0, 0], [0.1, 0.1, 0.1, 0.1, 0.3, 0.3]) for _ in range(40)]
+    d, lab = docs(spark, texts), spark.createDataFrame([(i, int(i < 40), 0) for i in range(0, 80, 2)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in quality_knn.score(d, lab, k=5, rank=8).collect()}
+    basis = quality_knn.axes(d, 8).astype(np.float32)
+    v = quality_knn.unit(quality_knn.vectors(texts, quality_knn.buckets()) @ basis)
+    for i in range(80):
+        c = sorted(((max(0.0, float(v[i] @ v[j])), int(j < 40)) for j in range(0, 80, 2)), reverse=True)
+        cut = c[4][0]
+        near, tied = [x for x in c if x[0] > cut + 1e-6], [x for x in c if abs(x[0] - cut) <= 1e-6]
+        share = (5 - len(near)) / len(tied)
+        w = [(s**8, y) for s, y in near] + [(share * s**8, y) for s, y in tied]
+        assert got[i] == pytest.approx(sum(a * y for a, y in w) / sum(a for a, _ in w), abs=2e-3)
+    assert np.mean([(got[i] >= 0.5) == (i < 40) for i in range(1, 80, 2)]) >= 0.9
+
+
+def luhn(t):
+    total = 0
+    for i, c in enumerate(reversed([c for c in t if c.isdigit()])):
+        v = int(c) * (2 if i % 2 else 1)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def test_base_spans_by_brute_force(spark):
+    kinds = {"email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda t: True), "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda t: all(int(p) <= 255 for p in t.split("."))),
+             "card": (r"[0-9]([\x20-]?[0-9])+", lambda t: 16 <= sum(c.isdigit() for c in t) <= 19 and luhn(t)), "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: 8 <= sum(c.isdigit() for c in t) <= 15)}
+    rng = np.random.default_rng(7)
+    bits = ["@", ".", "a", "b.c", "+1", "12", "255", "256", "0007", " ", "-", "(", ")", "é", "\n", "\U0001f600", "4111111111111111", "4068516892505468", "x@y.z", "10.0.0.1", "+1 (555) 555-5657", "%", "1.2.3.4.5"]
+    texts = [None, "", *("".join(rng.choice(bits, rng.integers(1, 25))) for _ in range(400))]
+    got = {r["doc_id"]: r for r in pii.find(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        for kind, (pattern, ok) in kinds.items():
+            assert [(m["s"], m["e"]) for m in got[i][kind]] == [m.span() for m in re.finditer(pattern, t or "") if ok(m.group())], (kind, t)
+
+
+def test_reliabilities():
+    """Expectation-maximisation finds the chances that made the votes."""
+    rng = np.random.default_rng(8)
+    truth = rng.random(20_000) < 0.3
+    right = [0.95, 0.9, 0.8, 0.85, 0.7, 0.9]
+    votes = np.stack([np.where(rng.random(len(truth)) < r, truth, ~truth) for r in right], 1).astype(int)
+    patterns, n = np.unique(votes, axis=0, return_counts=True)
+    prior, tables = pii.expect([(tuple(p), int(k)) for p, k in zip(patterns.tolist(), n, strict=True)])
+    assert prior == pytest.approx(0.3, abs=0.03)
+    assert [t[1][2] for t in tables] == pytest.approx(right, abs=0.03)
+
+
+def test_extra_kinds(spark):
+    texts = ["my ssn 123-45-6789 is", "write bob (at) mail (dot) com now", "token = \"0641917ea4e9feb9cda83477b57ac2654884f485\"", *["order 000-12-3456 x"] * 9, *["label: something"] * 20]
+    got = {r["doc_id"]: [m["kind"] for m in r["extra"]] for r in pii.find(docs(spark, texts)).collect()}
+    assert got == {0: ["id"], 1: ["address"], 2: ["secret"], **{i: [] for i in range(3, 32)}}
