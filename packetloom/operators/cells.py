@@ -69,9 +69,10 @@ def priority_stage() -> Column:
 def select_hosts(cells: DataFrame, most_benign: int, least_active: int) -> DataFrame:
     """Cells of infected hosts and of each capture's busiest benign hosts."""
     hosts = cells.groupBy(*HOST).agg(F.sum("n_flows").alias("n"), F.count("*").alias("active"), F.max((dominant_stage() > 0).cast("int")).alias("bad"))
-    rank = F.row_number().over(Window.partitionBy("capture", "bad").orderBy(F.desc("n"), "src_ip"))
-    kept = hosts.where(F.col("bad").eqNullSafe(1) | (F.col("active") >= least_active)).withColumn("r", rank).where((F.col("bad") == 1) | (F.col("r") <= most_benign))
-    return cells.join(kept.select(*HOST), HOST, "left_semi")
+    rank = F.row_number().over(Window.partitionBy("capture").orderBy(F.desc("n"), "src_ip"))  # a top-k, cut in each task before the shuffle
+    benign = hosts.where((F.col("bad") == 0) & (F.col("active") >= least_active)).withColumn("r", rank).where(F.col("r") <= most_benign)
+    kept = hosts.where("bad = 1").select(*HOST).unionByName(benign.select(*HOST))
+    return cells.join(kept, HOST, "left_semi")
 
 
 def segments(cells: DataFrame, gap: int) -> DataFrame:
@@ -118,10 +119,9 @@ def multi_scale(segs: DataFrame, column: str, short: int, long: int) -> DataFram
 
 def temporal_split(df: DataFrame, train: float, val: float, purge: int) -> DataFrame:
     """train, val, test by each capture's range of wids; the cells just before a cut are purged."""
-    w = Window.partitionBy("capture")
-    lo, hi = F.min("wid").over(w), F.max("wid").over(w)
-    cut = lambda share: lo + F.floor((hi - lo + 1) * F.lit(share)).cast("long")
-    out = df.withColumn("_a", cut(train)).withColumn("_b", cut(train + val))
+    cut = lambda share: F.col("lo") + F.floor((F.col("hi") - F.col("lo") + 1) * F.lit(share)).cast("long")
+    cuts = df.groupBy("capture").agg(F.min("wid").alias("lo"), F.max("wid").alias("hi")).select("capture", cut(train).alias("_a"), cut(train + val).alias("_b"))
+    out = df.join(cuts, "capture")
     near = lambda c: (F.col("wid") < F.col(c)) & (F.col("wid") >= F.col(c) - purge)
     return out.withColumn("split_temporal", F.when(near("_a") | near("_b"), "purged").when(F.col("wid") < F.col("_a"), "train").when(F.col("wid") < F.col("_b"), "val").otherwise("test")).drop("_a", "_b")
 
@@ -142,6 +142,35 @@ def future_stage(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn(f"stage_{k}", F.lead("stage", k).over(in_segment()))
 
 
+def merged(cells: DataFrame, tie: str, keys: list[str] | None = None) -> DataFrame:
+    """One row for each cell: of rows that repeat one, each column's first value that isn't null, by tie."""
+    keys = keys or KEYS
+    rest = [c for c in cells.columns if c not in (*keys, tie)]
+    return cells.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(tie))).alias(c) for c in rest])
+
+
+def numbered(segs: DataFrame) -> DataFrame:
+    """segs with `segment`, a dense number of its segment in the order of the key; only the distinct segments are ordered."""
+    ids = segs.select(*SEGMENT).distinct().withColumn("segment", F.dense_rank().over(Window.orderBy(*SEGMENT)) - 1)
+    return segs.join(ids, SEGMENT)
+
+
+def scaled(df: DataFrame, columns: list[str], params: DataFrame) -> DataFrame:
+    """df with columns scaled by params (column, center, scale: few rows, on the driver): missing values are 0, the rest stays within 10."""
+    held = {r["column"]: r for r in params.collect()}
+    z = lambda c: (F.col(c) - held[c]["center"]) / held[c]["scale"]
+    return df.withColumns({c: F.when(F.isnan(z(c)) | z(c).isNull(), 0.0).otherwise(F.greatest(F.lit(-10.0), F.least(F.lit(10.0), z(c)))) for c in columns})
+
+
+def scaler_table(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """column, center, scale. accuracy: quantiles with relative error 1 / accuracy, in bounded memory; else exact."""
+    p = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = lambda c: F.percentile_approx(c, p, accuracy) if accuracy else F.percentile(c, p)
+    each = df.agg(*[F.struct(F.lit(c).alias("column"), q(c).alias("q"), F.stddev_pop(c).alias("s")).alias(c) for c in columns]).select(F.explode(F.array(*columns)).alias("x")).select("x.*")
+    iqr = F.col("q")[2] - F.col("q")[0]
+    return each.select("column", F.col("q")[1].alias("center"), F.when(iqr > 1e-6, iqr).when(F.col("s") > 1e-6, F.col("s")).otherwise(1.0).alias("scale"))
+
+
 def scaler(df: DataFrame, column: str) -> DataFrame:
     """Median and scale (IQR, else population deviation, else 1): one row."""
     q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_pop(column).alias("s"))

@@ -52,3 +52,42 @@ def fused(parts: dict[str, float]) -> Column:
 def surprise(column: str, short: str) -> Column:
     """The squared error of the short mean one cell before."""
     return F.pow(F.col(column) - F.col(short), F.lit(2.0))
+
+
+def ensemble(fused_: DataFrame, tree: DataFrame, weight: float, key: tuple = ("capture", "src_ip", "run", "wid")) -> DataFrame:
+    """Cell keys with weight * fused + (1 - weight) * tree; columns score."""
+    both = fused_.join(tree.select(*key, F.col("score").alias("_tree")), list(key))
+    return both.select(*key, (weight * F.col("score") + (1 - weight) * F.col("_tree")).alias("score"))
+
+
+def stage_horizons(train: DataFrame, df: DataFrame, features: str, horizons: list[int], cap: int = 30_000) -> DataFrame:
+    """df with stage_k for each horizon k: multinomial logistic regression on the stage k cells on (column stage_k of train, null: unknown); the only class where there is one."""
+    for k in horizons:
+        rows = train.where(f"stage_{k} IS NOT NULL").select(array_to_vector(features).alias("_x"), F.col(f"stage_{k}").cast("double").alias("_y"))
+        rows = rows.orderBy(F.xxhash64("_x", "_y")).limit(cap)
+        classes = [r[0] for r in rows.select("_y").distinct().limit(2).collect()]
+        if len(classes) < 2:
+            df = df.withColumn(f"pred_{k}", F.lit(int(classes[0]) if classes else 0))
+            continue
+        model = LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", regParam=1e-4, maxIter=100, predictionCol="_p").fit(rows)
+        df = model.transform(df.withColumn("_x", array_to_vector(features))).withColumn(f"pred_{k}", F.col("_p").cast("int")).drop("_x", "_p", "rawPrediction", "probability")
+    return df
+
+
+def attributions(df: DataFrame, columns: list[str], coefficients: DataFrame, background: DataFrame) -> DataFrame:
+    """key columns of df with feature, attribution: (value - background's mean) * coefficient, summed over a feature's scales
+    (columns named feature__scale). coefficients: column, coef."""
+    mean = background.agg(*[F.avg(c).alias(c) for c in columns]).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*columns))).alias("column", "_mean"))
+    held = coefficients.join(mean, "column")
+    keys = [c for c in df.columns if c not in columns]
+    long = df.select(*keys, F.explode(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.col(c).cast("double") for c in columns]))).alias("column", "_v"))
+    each = long.join(held, "column").withColumn("feature", F.split_part("column", F.lit("__"), F.lit(1)))
+    return each.groupBy(*keys, "feature").agg(F.sum((F.col("_v") - F.col("_mean")) * F.col("coef")).alias("attribution"))
+
+
+def top_features(attributed: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Each key's k features of the largest attribution either way, by rank; ties by name."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs(F.round("attribution", 9))), "feature"))
+    return attributed.withColumn("rank", rank).where(F.col("rank") <= k)

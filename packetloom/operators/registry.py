@@ -235,13 +235,21 @@ def _(spark, d):
     return risk.stage_paths(s, risk.matrix(risk.transitions(s)), H).groupBy("k", "to_stage").agg(F.avg("prob").alias("mean_prob"))
 
 
-@query("g10_first_passage")
+@query("g10_first_passage", base(*UP_TO_SEGS, PASSAGE) + """SELECT capture, src_ip, run, wid, round(sum((c + 0.5::DOUBLE) / (n + 3.5::DOUBLE) * r), 6) + 0.0 AS risk_markov
+FROM (SELECT capture, src_ip, run, wid, cnt_0 + cnt_1 + cnt_2 + cnt_3 + cnt_4 + cnt_5 + cnt_6 AS n, unnest([cnt_0, cnt_1, cnt_2, cnt_3, cnt_4, cnt_5, cnt_6]) AS c, unnest(range(7)) AS i FROM segs) JOIN pass USING (i) GROUP BY ALL""")
 def _(spark, d):
     s = segs(spark, d)
     return risk.with_risk(s, risk.matrix(risk.transitions(s)), H).select(*KEYS, "risk_markov")
 
 
-@query("g11_rollout")
+ROLLOUT = f""", cum AS (SELECT i, list(c ORDER BY j) AS c, sum(p) FILTER (WHERE j >= 2) AS soft FROM (SELECT i, j, p, sum(p) OVER (PARTITION BY i ORDER BY j) AS c FROM p) GROUP BY i),
+cell AS (SELECT capture, src_ip, run, wid, list_transform(range(7), lambda m: (list_sum([cnt_0, cnt_1, cnt_2, cnt_3, cnt_4, cnt_5, cnt_6][1:m + 1]) + 0.5::DOUBLE * (m + 1)) / (cnt_0 + cnt_1 + cnt_2 + cnt_3 + cnt_4 + cnt_5 + cnt_6 + 3.5::DOUBLE)) AS c FROM segs),
+start AS (SELECT capture, src_ip, run, wid, q, least(len(list_filter(c, lambda x: x <= ('0x' || substr(md5(q * {H + 1} || '|' || capture || '|' || src_ip || '|' || wid), 1, 8))::UBIGINT / 4294967296.0::DOUBLE)), 6) AS s FROM cell, range({PARTICLES}) t(q)),
+roll AS (WITH RECURSIVE r(k, capture, src_ip, run, wid, q, s, soft, hit) AS (SELECT 0, capture, src_ip, run, wid, q, s, 0.0::DOUBLE, NULL::INT FROM start
+ UNION ALL SELECT k + 1, capture, src_ip, run, wid, q, s2, greatest(soft, more), coalesce(hit, CASE WHEN s2 >= 2 THEN k + 1 END) FROM (SELECT r.*, cum.soft AS more, least(len(list_filter(cum.c, lambda x: x <= ('0x' || substr(md5((q * {H + 1} + k + 1) || '|' || capture || '|' || src_ip || '|' || wid), 1, 8))::UBIGINT / 4294967296.0::DOUBLE)), 6) AS s2 FROM r JOIN cum ON cum.i = r.s WHERE k < {H})) SELECT * FROM r)"""
+
+
+@query("g11_rollout", base(*UP_TO_SEGS, MARKOV) + ROLLOUT + f"SELECT capture, src_ip, run, wid, round(avg(soft), 6) + 0.0 AS risk_rollout, round(avg((hit IS NOT NULL)::INT), 6) + 0.0 AS hit_share, round(coalesce(quantile_cont(hit, 0.5), -1), 6) + 0.0 AS eta FROM roll WHERE k = {H} GROUP BY ALL")
 def _(spark, d):
     s = segs(spark, d)
     return risk.rollout(s, risk.matrix(risk.transitions(s)), PARTICLES, H)
@@ -255,7 +263,13 @@ def methods(spark, d):
     return s.select(F.explode(F.array(F.struct(F.lit("a").alias("method"), F.col("risk").alias("score")), F.struct(F.lit("b").alias("method"), F.round(F.col("risk") * F.col("risk"), 2).alias("score")))).alias("m"), F.col("y_future").alias("y")).select("m.*", "y")
 
 
-@query("h1_threshold")
+THRESHOLD = """, q AS (SELECT method, sum(y) AS pos, sum(1 - y) AS neg, unnest(list_distinct(quantile_cont(score, list_transform(range(501), lambda i: i / 500.0::DOUBLE)))) AS t FROM m GROUP BY method),
+h AS (SELECT q.method, t, pos, neg, sum(y) AS tp, sum(1 - y) AS fp FROM q JOIN m ON m.method = q.method AND m.score >= q.t GROUP BY ALL),
+f AS (SELECT *, round(CASE WHEN tp + fp + pos > 0 THEN 2 * tp / (tp + fp + pos) ELSE 0 END, 9) AS f1, CASE WHEN neg > 0 THEN fp / neg ELSE 0 END AS fpr FROM h),
+best AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY fpr <= 0.05 DESC, CASE WHEN fpr <= 0.05 THEN f1 ELSE -fpr END DESC, t) AS r FROM f)"""
+
+
+@query("h1_threshold", base(*UP_TO_SCORES, f"m AS ({METHODS})") + THRESHOLD + "SELECT method, round(t, 6) + 0.0 AS threshold, round(f1, 6) + 0.0 AS f1, round(fpr, 6) + 0.0 AS fpr FROM best WHERE r = 1")
 def _(spark, d):
     return metrics.thresholds(methods(spark, d), 0.05, ["method"])
 

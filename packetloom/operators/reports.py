@@ -55,12 +55,11 @@ def wide(results: DataFrame, value: str, horizons: list[int]) -> DataFrame:
 
 def schedule(df: DataFrame, seconds: int) -> DataFrame:
     """hour_sin, hour_cos, weekday (Monday 0) and elapsed (share of the capture's span) of each cell's start."""
-    w = Window.partitionBy("capture")
     t = F.timestamp_seconds(F.col("wid") * seconds)
     turn = (F.hour(t) + F.minute(t) / 60) * (2 * math.pi / 24)
-    lo = F.min("wid").over(w)
-    span = F.greatest((F.max("wid").over(w) - lo) * seconds, F.lit(1))
-    return df.withColumns({"hour_sin": F.sin(turn), "hour_cos": F.cos(turn), "weekday": F.weekday(t), "elapsed": (F.col("wid") - lo) * seconds / span})
+    ends = df.groupBy("capture").agg(F.min("wid").alias("_lo"), F.max("wid").alias("_hi"))
+    span = F.greatest((F.col("_hi") - F.col("_lo")) * seconds, F.lit(1))
+    return df.join(ends, "capture").withColumns({"hour_sin": F.sin(turn), "hour_cos": F.cos(turn), "weekday": F.weekday(t), "elapsed": (F.col("wid") - F.col("_lo")) * seconds / span}).drop("_lo", "_hi")
 
 
 def split_overlaps(df: DataFrame, split: str) -> DataFrame:
@@ -82,3 +81,9 @@ def focus_segment(targets: DataFrame) -> DataFrame:
     """One row: the segment with most pre-attack cells, then most malicious ones, then the first by key."""
     s = targets.groupBy(*SEGMENT).agg(F.count_if(F.col("phase") == "pre_attack").alias("pre_attack"), F.count_if(F.col("stage") > 0).alias("malicious"))
     return s.orderBy(F.desc("pre_attack"), F.desc("malicious"), *SEGMENT).limit(1)
+
+
+def with_hosts(alerts: DataFrame, df: DataFrame) -> DataFrame:
+    """alerts with the capture and host of their segment (a number)."""
+    hosts = df.groupBy("segment").agg(F.first("capture").alias("capture"), F.first("src_ip").alias("src_ip"))
+    return alerts.join(hosts, "segment", "left")

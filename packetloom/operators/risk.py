@@ -115,3 +115,66 @@ def triage(scored: DataFrame, threshold: float, z: float) -> DataFrame:
     s = scored.groupBy(*SEGMENT).agg(F.max((F.col("stage") > 0).cast("int")).alias("infected"), F.max("risk").alias("max_risk"), F.avg("surprise").alias("mean_surprise"))
     out = robust_z(s, "mean_surprise", ["capture"])
     return out.withColumn("by_risk", F.col("max_risk") >= threshold).withColumn("by_anomaly", F.col("z") >= z)
+
+
+def alert(risk: Column, threshold: float) -> Column:
+    return risk >= threshold
+
+
+def forecast_stage(states: DataFrame, p: list[list[float]], steps: int) -> DataFrame:
+    """The exploitation stage with most probability over the steps to come; the lowest on ties."""
+    powers, b = propagated(p, steps), belief()
+    mass = {j: F.round(sum((b[i] * F.lit(sum(m[i][j] for m in powers)) for i in range(7)), F.lit(0.0)), 9) for j in EXPLOIT}
+    best = F.array_max(F.array(*[F.struct(v.alias("v"), F.lit(-j).alias("j")) for j, v in mass.items()]))
+    return states.select(*SEGMENT, "wid", (-best["j"]).alias("forecast_stage"))
+
+
+def _paths(states: DataFrame, p: list[list[float]], particles: int, steps: int) -> DataFrame:
+    """Cells by particle with the sampled stages (path) and the chance of exploitation before each step (soft); draws as in rollout."""
+    ends = [[sum(row[: j + 1]) for j in range(7)] for row in p]
+    table, soft = F.array(*[F.array(*map(F.lit, r)) for r in ends]), F.array(*[F.lit(sum(r[j] for j in EXPLOIT)) for r in p])
+    pick = lambda row, u: F.least(F.size(F.filter(row, lambda c: c <= u)), F.lit(6))
+    key, b = [*HOST, "wid"], belief()
+    start = F.array(*[sum(b[1 : i + 1], b[0]) for i in range(7)])
+    none = F.struct(pick(start, draw(F.col("particle") * (steps + 1), *key)).alias("s"), F.array().cast("array<int>").alias("path"), F.array().cast("array<double>").alias("soft"))
+
+    def step(a, k):
+        s = pick(F.element_at(table, a["s"] + 1), draw(F.col("particle") * (steps + 1) + k, *key))
+        return F.struct(s.alias("s"), F.concat(a["path"], F.array(s)).alias("path"), F.concat(a["soft"], F.array(F.element_at(soft, a["s"] + 1))).alias("soft"))
+
+    spread = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = states.repartition(spread, *HOST, "wid").withColumn("particle", F.explode(F.sequence(F.lit(0), F.lit(particles - 1))))
+    return cells.withColumn("r", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), none, step)).select(*SEGMENT, "wid", "particle", "r.path", "r.soft")
+
+
+def rollout_paths(states: DataFrame, p: list[list[float]], particles: int, steps: int) -> DataFrame:
+    """A row for each cell, particle and step k: the sampled stage."""
+    return _paths(states, p, particles, steps).select(*SEGMENT, "wid", "particle", F.posexplode("path").alias("k", "stage")).withColumn("k", F.col("k") + 1)
+
+
+def fan(states: DataFrame, p: list[list[float]], particles: int, steps: int) -> DataFrame:
+    """low, mid, high: the 10, 50 and 90 % points of the particles' chance of exploitation at each step."""
+    each = _paths(states, p, particles, steps).select(*SEGMENT, "wid", F.posexplode("soft").alias("k", "v")).withColumn("k", F.col("k") + 1)
+    return each.groupBy(*SEGMENT, "wid", "k").agg(*[F.percentile("v", q).alias(c) for q, c in ((0.1, "low"), (0.5, "mid"), (0.9, "high"))])
+
+
+def signed(z: DataFrame, target: Column, threshold: float) -> DataFrame:
+    """z with the sign that ranks the target above chance, and odd: z at the threshold or above."""
+    from packetloom.operators.metrics import ranking
+
+    r = ranking(z.select(F.lit(1).alias("_all"), target.alias("y"), F.round("z", 6).alias("score")), ["_all"]).first()
+    out = z.withColumn("z", F.col("z") * (1 if r is None or r["auc"] is None or r["auc"] >= 0.5 else -1))
+    return out.withColumn("odd", F.col("z") >= threshold)
+
+
+def forecast_and_truth(states: DataFrame, p: list[list[float]], steps: int) -> DataFrame:
+    """A row for each cell and step k: the likeliest stage from its own (the lowest on ties) and the true one."""
+    best = [[max(range(7), key=lambda j: (round(row[j], 9), -j)) for row in m] for m in propagated(p, steps)]
+    w = in_segment()
+    pairs = F.array(*[F.struct(F.lit(k + 1).alias("k"), F.lead("stage", k + 1).over(w).alias("truth"), F.element_at(F.array(*map(F.lit, row)), F.col("stage") + 1).alias("forecast")) for k, row in enumerate(best)])
+    return states.withColumn("_pairs", pairs).select(*SEGMENT, "wid", "stage", F.explode("_pairs").alias("x")).select(*SEGMENT, "wid", "stage", "x.*").where("truth IS NOT NULL")
+
+
+def heat(paths: DataFrame) -> DataFrame:
+    """For each cell and exploitation stage the largest probability over the steps."""
+    return paths.where(F.col("to_stage").isin(EXPLOIT)).groupBy(*SEGMENT, "wid", "to_stage").agg(F.max("prob").alias("heat"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.functions import stages
-from packetloom.operators import cells, metrics, models, packets, registry, registry_reports, risk, sequences
+from packetloom.operators import cells, metrics, models, packets, registry, registry_checks, registry_reports, risk, sequences  # noqa: F401
 from packetloom.sources import files
 from packetloom.streaming import cells as live
 
