@@ -31,26 +31,63 @@ def build(flows: DataFrame, seconds: int, keys: list[str] | None = None) -> Data
     )
 
 
-def entropy(flows: DataFrame, seconds: int, value: str) -> DataFrame:
+# Ports of remote services, and those of name and time service.
+SENSITIVE_PORTS = [21, 22, 23, 135, 139, 445, 1433, 3306, 3389, 5900, 5985]
+NAME_AND_TIME = [53, 123]
+INTERNAL = r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"
+
+
+def full(flows: DataFrame, seconds: int, keys: list[str] | None = None) -> DataFrame:
+    """Every feature of a cell: sums, means and variances in one aggregate; distinct counts and entropies of ports, hosts and flag masks from counts
+    per (cell, value); beacon and scan shape. The parts are joined on the cell key, by which all are partitioned already."""
+    keys = keys or KEYS
+    packets, inside = F.col("fwd_pkts") + F.col("bwd_pkts"), F.col("src_ip").rlike(INTERNAL) & F.col("dst_ip").rlike(INTERNAL)
+    mask = sum((F.when(F.col(f) > 0, 1 << i).otherwise(0) for i, f in enumerate(("syn", "ack", "fin", "rst", "psh", "urg"))), F.lit(0))
+    own = flows.withColumn("mask", mask).withColumn("win", F.when((F.col("proto") == 6) & (F.col("init_win") > 0), F.col("init_win").cast("double"))).withColumn("pk", packets)
+    n, p = F.count("*"), F.greatest(F.sum("pk"), F.lit(1))
+    share = lambda cond, name: F.avg(F.when(cond, 1.0).otherwise(0.0)).alias(name)
+    total, low = F.sum(F.col("fwd_bytes") + F.col("bwd_bytes")), lambda c: F.log1p(1000 * F.avg(c))
+    load = F.sum(F.col("payload_mean") * F.col("pk")) / p
+    square = F.sum((F.col("payload_mean") * F.col("payload_mean") + F.col("payload_std") * F.col("payload_std")) * F.col("pk")) / p
+    base = windowed(own, seconds).groupBy(*keys).agg(
+        n.alias("n_flows"), F.log1p(n.cast("double")).alias("log_flows"), F.log1p(total).alias("log_bytes"), F.log1p(F.sum("pk")).alias("log_pkts"), F.log1p(F.avg("duration")).alias("log_mean_duration"), F.log1p(total / n).alias("log_bytes_per_flow"),
+        *[(F.sum(f) / p).alias(f"{f}_ratio") for f in ("syn", "ack", "fin", "rst", "psh", "urg")], F.avg("ttl_mean").alias("ttl_mean"), F.sqrt(F.coalesce(F.avg(F.col("ttl_std") * F.col("ttl_std")), F.lit(0.0)) + F.coalesce(F.var_pop("ttl_mean"), F.lit(0.0))).alias("ttl_std"),
+        F.log1p(F.avg("win")).alias("init_win_mean"), F.log1p(F.stddev_pop("win")).alias("init_win_std"), low("iat_mean").alias("log_iat_mean"), low("iat_std").alias("log_iat_std"), low("iat_max").alias("log_iat_max"), (F.sum("retrans") / p).alias("retrans_rate"),
+        share(F.col("pk") <= 2, "small_flow_frac"), (F.log1p(F.sum("fwd_bytes")) - F.log1p(F.sum("bwd_bytes"))).alias("log_out_in_ratio"), share(inside & ~F.col("dst_port").isin(NAME_AND_TIME), "lateral_frac"), share(F.col("dst_port").isin(SENSITIVE_PORTS), "sensitive_port_frac"),
+        share(F.col("proto") == 17, "udp_frac"), share(F.col("dst_port") == 53, "dns_frac"), F.log1p(load).alias("log_payload_mean"), F.sqrt(F.greatest(square - load * load, F.lit(0.0))).alias("payload_std"),
+        *[(F.sum(c) / p).alias(name) for c, name in (("payload_small_pkts", "payload_small_frac"), ("frag_pkts", "frag_frac"), ("df_pkts", "df_frac"))],
+        *[(F.count(c) == 0).cast("int").alias(f"{name}_missing") for name, c in (("ttl", "ttl_mean"), ("payload", "payload_mean"), ("frag", "frag_pkts"), ("iat_max", "iat_max"))], *[F.count_if(F.col("stage") == i).alias(f"cnt_{i}") for i in range(7)],
+    )
+    ent = lambda value, count, name: entropy(own, seconds, value, keys).select(*keys, *([F.log1p(F.col("n_distinct").cast("double")).alias(count)] if count else []), *([F.col("entropy").alias(name)] if name else []))
+    for part in (ent("src_ip", "n_src_ips", None) if "src_ip" not in keys else None, ent("dst_ip", "n_dst_ips", "dst_ip_entropy"), ent("dst_port", "n_dst_ports", "dst_port_entropy"), ent("mask", None, "flag_bitmask_entropy"), beacon(flows, seconds, keys), scan_shape(flows, seconds, keys)):
+        base = base if part is None else base.join(part, keys, "left")
+    if "n_src_ips" not in base.columns:
+        base = base.withColumn("n_src_ips", F.log1p(F.lit(1.0)))
+    return base.na.fill(0.0)
+
+
+def entropy(flows: DataFrame, seconds: int, value: str, keys: list[str] | None = None) -> DataFrame:
     """Per cell: distinct values and Shannon entropy (base 2), from counts per (cell, value)."""
-    c = windowed(flows, seconds).groupBy(*KEYS, value).agg(F.count("*").alias("c"))
+    keys = keys or KEYS
+    c = windowed(flows, seconds).groupBy(*dict.fromkeys([*keys, value])).agg(F.count("*").alias("c"))
     n = F.sum("c")
-    return c.groupBy(*KEYS).agg(F.count("*").alias("n_distinct"), (F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n).alias("entropy"))
+    return c.groupBy(*keys).agg(F.count("*").alias("n_distinct"), (F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n).alias("entropy"))
 
 
-def beacon(flows: DataFrame, seconds: int) -> DataFrame:
+def beacon(flows: DataFrame, seconds: int, keys: list[str] | None = None) -> DataFrame:
     """Per cell: the most regular conversation by gaps over half a second (three at least)."""
     talk = ["capture", "src_ip", "dst_ip", "dst_port"]
     gap = F.col("ts") - F.lag("ts").over(Window.partitionBy(*talk).orderBy("ts", "event_id"))
-    g = windowed(flows, seconds).withColumn("gap", gap).where("gap > 0.5").groupBy(*KEYS, "dst_ip", "dst_port").agg(F.count("*").alias("n"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("s"))
-    return g.where("n >= 3").groupBy(*KEYS).agg(F.max(1 / (1 + F.col("s") / F.col("m")) * F.least(F.col("n") / 6, F.lit(1.0))).alias("beacon_score"))
+    g = windowed(flows, seconds).withColumn("gap", gap).where("gap > 0.5").groupBy(*dict.fromkeys([*(keys or KEYS), *talk])).agg(F.count("*").alias("n"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("s"))
+    return g.where("n >= 3").groupBy(*(keys or KEYS)).agg(F.max(1 / (1 + F.col("s") / F.col("m")) * F.least(F.col("n") / 6, F.lit(1.0))).alias("beacon_score"))
 
 
-def scan_shape(flows: DataFrame, seconds: int) -> DataFrame:
+def scan_shape(flows: DataFrame, seconds: int, keys: list[str] | None = None) -> DataFrame:
     """Per cell: steps between the ports of consecutive flows."""
-    step = F.abs(F.col("dst_port") - F.lag("dst_port").over(Window.partitionBy(*KEYS).orderBy("ts", "event_id")))
+    keys = keys or KEYS
+    step = F.abs(F.col("dst_port") - F.lag("dst_port").over(Window.partitionBy(*keys).orderBy("ts", "event_id")))
     s = windowed(flows, seconds).withColumn("step", step).where("step > 0")
-    return s.groupBy(*KEYS).agg(F.log1p(F.avg("step")).alias("scan_step_mean"), F.avg((F.col("step") <= 2).cast("int")).alias("scan_seq_frac"))
+    return s.groupBy(*keys).agg(F.log1p(F.avg("step")).alias("scan_step_mean"), F.avg((F.col("step") <= 2).cast("int")).alias("scan_seq_frac"))
 
 
 def dominant_stage() -> Column:

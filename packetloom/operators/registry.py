@@ -35,7 +35,9 @@ def query(name: str, sql: str | None = None):
 FLOWS = """f0 AS (SELECT event_id, user_id, event_type, value, CAST(json_extract(props, '$.k') AS INT) AS k, epoch_us(ts) / 1e6 AS ts FROM events),
 f1 AS (SELECT event_id, ts, 'c' || user_id % 3 AS capture, '10.0.' || user_id // 250 || '.' || user_id % 250 AS src_ip, CASE WHEN k < 40 THEN '10.0.1.' || k % 20 ELSE '203.0.113.' || k END AS dst_ip,
  [443,80,53,22,445,3389,8080,123,25,993,135,21][k % 12 + 1] AS dst_port, 1 + event_id % 7 AS fwd_pkts, event_id % 5 AS bwd_pkts, round(value * 100) AS fwd_bytes, floor(value) * 10 * (event_id % 5) AS bwd_bytes, (event_id % 1000) / 100.0::DOUBLE AS duration,
- event_id % 2 AS syn, event_id % 6 AS ack, (event_id % 11 = 0)::INT AS rst, CASE WHEN event_id % 4 <> 0 THEN (64 + event_id % 5)::DOUBLE END AS ttl_mean, CASE WHEN event_id % 4 <> 0 THEN (event_id % 3)::DOUBLE END AS ttl_std, (event_id % 13 = 0)::INT AS retrans,
+ event_id % 2 AS syn, event_id % 6 AS ack, (event_id % 11 = 0)::INT AS rst, CASE WHEN event_id % 4 <> 0 THEN (64 + event_id % 5)::DOUBLE END AS ttl_mean, CASE WHEN event_id % 4 <> 0 THEN (event_id % 3)::DOUBLE END AS ttl_std, (event_id % 13 = 0)::INT AS retrans, 1024 + event_id % 60000 AS src_port, (event_id % 1000) / 1000.0::DOUBLE AS iat_mean, (event_id % 1000) / 2000.0::DOUBLE AS iat_std, event_id % 2 AS fin, event_id % 3 AS psh, 0 AS urg,
+ CASE WHEN user_id % 2 = 0 THEN (40 + event_id % 400)::DOUBLE END AS payload_mean, CASE WHEN user_id % 2 = 0 THEN (event_id % 50)::DOUBLE END AS payload_std, CASE WHEN user_id % 2 = 0 THEN (event_id % 3)::DOUBLE END AS payload_small_pkts, CASE WHEN user_id % 2 = 0 THEN (event_id % 2)::DOUBLE END AS frag_pkts,
+ CASE WHEN user_id % 2 = 0 THEN (event_id % 4)::DOUBLE END AS df_pkts, CASE WHEN user_id % 2 = 0 THEN (event_id % 500) / 10.0::DOUBLE END AS iat_max, [0, 8192, 29200, 64240][event_id % 4 + 1] AS init_win,
  CASE WHEN event_type = 'error' AND value >= 100 THEN 6 WHEN event_type = 'signup' AND value >= 100 THEN 1 WHEN event_type = 'purchase' AND value >= 120 THEN 4 WHEN event_type = 'click' AND value >= 150 THEN 2 WHEN event_type = 'view' AND value >= 200 THEN 5 ELSE 0 END AS raw_stage FROM f0),
 flows AS (SELECT *, CASE WHEN dst_port IN (53, 123) THEN 17 ELSE 6 END AS proto, CASE WHEN raw_stage > 0 AND dst_ip LIKE '10.%' AND dst_port IN (22,23,135,139,445,3389,5900,5985) THEN 3 ELSE raw_stage END AS stage, floor(ts / 21600)::BIGINT AS wid FROM f1)"""
 FEATURES = """count(*) AS n_flows, ln(1 + sum(fwd_bytes + bwd_bytes)) AS log_bytes, ln(1 + sum(fwd_pkts + bwd_pkts)) AS log_pkts, ln(1 + avg(duration)) AS log_mean_duration,
@@ -110,9 +112,35 @@ def _(spark, d):
     return packets.to_flows(events.packets(spark, d), W).drop("proto", "duration", "iat_mean", "iat_std", "iat_max", "payload_std")
 
 
-@query("d14_cells", base(FLOWS, CELLS) + f"SELECT capture, src_ip, wid, n_flows, {r6(FEATURE_NAMES)}, ttl_missing::BIGINT AS ttl_missing, {', '.join(f'cnt_{i}' for i in range(7))} FROM cells")
+PK = "greatest(sum(fwd_pkts + bwd_pkts), 1)"
+FULL = {"log_flows": "ln(1 + count(*))", "log_bytes": "ln(1 + sum(fwd_bytes + bwd_bytes))", "log_pkts": "ln(1 + sum(fwd_pkts + bwd_pkts))", "log_mean_duration": "ln(1 + avg(duration))", "log_bytes_per_flow": "ln(1 + sum(fwd_bytes + bwd_bytes) / count(*))", "n_src_ips": "ln(1 + count(DISTINCT src_ip))",
+        "n_dst_ips": "ln(1 + count(DISTINCT dst_ip))", "n_dst_ports": "ln(1 + count(DISTINCT dst_port))", "dst_port_entropy": "entropy(dst_port)", "dst_ip_entropy": "entropy(dst_ip)", **{f"{f}_ratio": f"sum({f}) / {PK}" for f in ("syn", "ack", "fin", "rst", "psh", "urg")},
+        "flag_bitmask_entropy": "entropy((syn > 0)::INT + 2 * (ack > 0)::INT + 4 * (fin > 0)::INT + 8 * (rst > 0)::INT + 16 * (psh > 0)::INT)", "ttl_mean": "coalesce(avg(ttl_mean), 0)", "ttl_std": "sqrt(coalesce(avg(ttl_std * ttl_std), 0) + coalesce(var_pop(ttl_mean), 0))",
+        "init_win_mean": "coalesce(ln(1 + avg(init_win) FILTER (WHERE proto = 6 AND init_win > 0)), 0)", "init_win_std": "coalesce(ln(1 + stddev_pop(init_win) FILTER (WHERE proto = 6 AND init_win > 0)), 0)", **{f"log_iat_{k}": f"coalesce(ln(1 + 1000 * avg(iat_{k})), 0)" for k in ("mean", "std", "max")},
+        "retrans_rate": f"sum(retrans) / {PK}", "small_flow_frac": "avg((fwd_pkts + bwd_pkts <= 2)::INT)", "log_out_in_ratio": "ln(1 + sum(fwd_bytes)) - ln(1 + sum(bwd_bytes))", "lateral_frac": "avg((dst_ip LIKE '10.%' AND dst_port NOT IN (53, 123))::INT)",
+        "sensitive_port_frac": "avg((dst_port IN (21, 22, 23, 135, 139, 445, 1433, 3306, 3389, 5900, 5985))::INT)", "udp_frac": "avg((proto = 17)::INT)", "dns_frac": "avg((dst_port = 53)::INT)", "log_payload_mean": f"coalesce(ln(1 + sum(payload_mean * (fwd_pkts + bwd_pkts)) / {PK}), 0)",
+        "payload_std": f"coalesce(sqrt(greatest(sum((payload_mean * payload_mean + payload_std * payload_std) * (fwd_pkts + bwd_pkts)) / {PK} - pow(sum(payload_mean * (fwd_pkts + bwd_pkts)) / {PK}, 2), 0)), 0)",
+        **{a: f"coalesce(sum({b}) / {PK}, 0)" for a, b in (("payload_small_frac", "payload_small_pkts"), ("frag_frac", "frag_pkts"), ("df_frac", "df_pkts"))}}
+SEQUENCE = """g1 AS (SELECT *, ts - lag(ts) OVER (PARTITION BY capture, src_ip, dst_ip, dst_port ORDER BY ts, event_id) AS gap, abs(dst_port - lag(dst_port) OVER (PARTITION BY KEYS ORDER BY ts, event_id)) AS step FROM flows),
+bea AS (SELECT KEYS, max(1 / (1 + s / m) * least(n / 6, 1)) AS beacon_score FROM (SELECT KEYS, capture AS _c, src_ip AS _s, dst_ip, dst_port, count(*) AS n, avg(gap) AS m, stddev_samp(gap) AS s FROM g1 WHERE gap > 0.5 GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL),
+sca AS (SELECT KEYS, ln(1 + avg(step)) AS scan_step_mean, avg((step <= 2)::INT) AS scan_seq_frac FROM g1 WHERE step > 0 GROUP BY ALL)"""
+
+
+def full_sql(keys: str) -> str:
+    missing = ", ".join(f"(count({c}) = 0)::BIGINT AS {n}_missing" for n, c in (("ttl", "ttl_mean"), ("payload", "payload_mean"), ("frag", "frag_pkts"), ("iat_max", "iat_max")))
+    full = f"full_ AS (SELECT {keys}, count(*) AS n_flows, {', '.join(f'round({x}, 6) + 0.0 AS {c}' for c, x in FULL.items())}, {missing}, {', '.join(f'count(*) FILTER (WHERE stage = {i}) AS cnt_{i}' for i in range(7))} FROM flows GROUP BY ALL)"
+    rest = ", ".join(f"round(coalesce({c}, 0), 6) + 0.0 AS {c}" for c in ("beacon_score", "scan_step_mean", "scan_seq_frac"))
+    return base(FLOWS, SEQUENCE.replace("KEYS", keys), full) + f"SELECT full_.*, {rest} FROM full_ LEFT JOIN bea USING ({keys}) LEFT JOIN sca USING ({keys})"
+
+
+@query("d14_cells", full_sql("capture, src_ip, wid"))
+def _(spark, d):
+    return cells.full(flows(spark, d), W)
+
+
+@query("d14_network_cells", full_sql("capture, wid"))
 def _(spark, d):
-    return cells.build(flows(spark, d), W)
+    return cells.full(flows(spark, d), W, ["capture", "wid"])
 
 
 @query("d2_network_cells", base(FLOWS) + f"SELECT capture, wid, n_flows, {r6(FEATURE_NAMES)}, ttl_missing::BIGINT AS ttl_missing, {', '.join(f'cnt_{i}' for i in range(7))} FROM (SELECT capture, wid, {FEATURES} FROM flows GROUP BY ALL)")

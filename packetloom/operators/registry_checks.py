@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packetloom.operators import calibrate, cells, evaluate, integrity, metrics, models, reports, risk
-from packetloom.operators.registry import DRAW, H, KEYS, MARKOV, METHODS, ROLLOUT, SEGW, THRESHOLD, UP_TO_SCORES, UP_TO_SEGS, UP_TO_TARGETS, W, base, flows, query, r6, scored, segs, targets
+from packetloom.operators.registry import DRAW, H, KEYS, MARKOV, METHODS, ROLLOUT, SEGW, THRESHOLD, UP_TO_SCORES, UP_TO_SEGS, UP_TO_TARGETS, W, FLOWS, base, flows, query, r6, scored, segs, targets
 from packetloom.operators.registry_reports import SPLIT, split
+from packetloom.sources import normalize
 
 PARTS = ["direct", "rollout", "markov"]
 PARTED = f"parted AS (SELECT *, y_future AS y, round(risk, 2) AS direct, round(0.3::DOUBLE * y_future + 0.7::DOUBLE * {DRAW.format(r='1')}, 2) AS rollout, round({DRAW.format(r='2')}, 2) AS markov FROM scored)"
@@ -238,3 +239,37 @@ def _(spark, d):
 SELECT capture, count(*) AS cells FROM segs SEMI JOIN k USING (capture, src_ip, run) GROUP BY ALL""")
 def _(spark, d):
     return evaluate.subset(segs(spark, d), 5).groupBy("capture").agg(F.count("*").alias("cells"))
+
+
+def dirty(raw, of_header):
+    """raw (with event_id) with bad times, infinite bytes, hexadecimal ports, a lost window and repeated headers."""
+    for c, every, bad in (("ts", 97, "not-a-date"), ("fwd_bytes", 89, "Infinity"), ("init_win", 83, "-1"), ("dst_port", 79, "0x0050")):
+        if of_header.get(c):
+            raw = raw.withColumn(of_header[c], F.when(F.col("event_id") % every == 0, bad).otherwise(F.col(of_header[c])))
+    names = [c for c in raw.columns if c != "event_id"]
+    return raw.select(*[F.when(F.col("event_id") % 101 == 0, F.lit(c)).otherwise(F.col(c)).alias(c) for c in names])
+
+
+def with_id(make, df):
+    """make(df) with event_id beside it: the layouts keep the order of columns and rows."""
+    return make(df.withColumn("label", F.concat_ws("#", "label", F.col("event_id").cast("string"))))
+
+
+SHOWN = ["src_ip", "dst_ip", "dst_port", "proto", "fwd_pkts", "bwd_pkts", "syn", "psh", "stage"]
+
+
+@query("b13_normalise_cic", base(FLOWS) + """SELECT floor(ts)::BIGINT AS second, src_ip, dst_ip, CASE WHEN event_id % 79 = 0 THEN 0 ELSE dst_port END::BIGINT AS dst_port, proto::BIGINT AS proto, round(round(duration * 1000000) / 1000000, 6) + 0.0 AS duration, fwd_pkts::DOUBLE AS fwd_pkts, bwd_pkts::DOUBLE AS bwd_pkts,
+ round(CASE WHEN event_id % 89 = 0 THEN 0 ELSE fwd_bytes END, 6) + 0.0 AS fwd_bytes, syn::DOUBLE AS syn, psh::DOUBLE AS psh, round(CASE WHEN event_id % 83 = 0 THEN 0 ELSE init_win END, 6) + 0.0 AS init_win, round(iat_max, 6) AS iat_max, ttl_mean, payload_mean, raw_stage::BIGINT AS stage FROM flows WHERE event_id % 97 <> 0 AND event_id % 101 <> 0""")
+def _(spark, d):
+    raw = with_id(normalize.to_cic, flows(spark, d)).withColumn("event_id", F.split_part("Label", F.lit("#"), F.lit(2)).cast("long")).withColumn("Label", F.split_part("Label", F.lit("#"), F.lit(1)))
+    out = normalize.flows(dirty(raw, {"ts": "Timestamp", "fwd_bytes": "TotLen Fwd Pkts", "init_win": "Init Fwd Win Byts", "dst_port": "Dst Port"}))
+    return out.select(F.floor("ts").alias("second"), *SHOWN, "duration", "fwd_bytes", "init_win", "iat_max", "ttl_mean", "payload_mean")
+
+
+@query("b13_normalise_binetflow", base(FLOWS) + """SELECT floor(ts)::BIGINT AS second, src_ip, dst_ip, CASE WHEN event_id % 79 = 0 THEN 0 ELSE dst_port END::BIGINT AS dst_port, proto::BIGINT AS proto, round(duration, 6) + 0.0 AS duration, (fwd_pkts + bwd_pkts)::DOUBLE AS fwd_pkts, 0.0::DOUBLE AS bwd_pkts, round(fwd_bytes, 6) + 0.0 AS fwd_bytes, round(bwd_bytes, 6) + 0.0 AS bwd_bytes,
+ CASE WHEN proto = 17 THEN 0 ELSE (syn > 0)::INT END::DOUBLE AS syn, CASE WHEN proto = 17 THEN 0 ELSE (psh > 0)::INT END::DOUBLE AS psh, CASE WHEN raw_stage = 0 THEN 0 WHEN raw_stage = 1 THEN 1 ELSE 4 END::BIGINT AS stage FROM flows WHERE event_id % 97 <> 0 AND event_id % 101 <> 0""")
+def _(spark, d):
+    raw = with_id(normalize.to_binetflow, flows(spark, d)).withColumn("event_id", F.split_part("Label", F.lit("#"), F.lit(2)).cast("long")).withColumn("Label", F.split_part("Label", F.lit("#"), F.lit(1)))
+    raw = raw.withColumn("Label", F.when(F.col("Label").endswith("V42-Benign"), "flow=Background-Established-cmpgw-CVUT").otherwise(F.col("Label")))
+    out = normalize.flows(dirty(raw, {"ts": "StartTime", "dst_port": "Dport"}))
+    return out.select(F.floor("ts").alias("second"), *SHOWN, "duration", "fwd_bytes", "bwd_bytes")

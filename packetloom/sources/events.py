@@ -22,6 +22,9 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1 + event_id % 7").alias("fwd_pkts"), F.expr("event_id % 5").alias("bwd_pkts"), F.expr("round(value * 100)").alias("fwd_bytes"), F.expr("floor(value) * 10 * (event_id % 5)").cast("double").alias("bwd_bytes"),
         F.expr("(event_id % 1000) / 100D").alias("duration"), F.expr("event_id % 2").alias("syn"), F.expr("event_id % 6").alias("ack"), F.expr("CAST(event_id % 11 = 0 AS INT)").alias("rst"),
         F.expr("CASE WHEN event_id % 4 <> 0 THEN 64D + event_id % 5 END").alias("ttl_mean"), F.expr("CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 3 AS DOUBLE) END").alias("ttl_std"), F.expr("CAST(event_id % 13 = 0 AS INT)").alias("retrans"), F.expr(LABEL).alias("label"),
+        F.expr("1024 + event_id % 60000").alias("src_port"), F.expr("(event_id % 1000) / 1000D").alias("iat_mean"), F.expr("(event_id % 1000) / 2000D").alias("iat_std"), F.expr("event_id % 2").alias("fin"), F.expr("event_id % 3").alias("psh"), F.lit(0).alias("urg"),
+        *[F.expr(f"CASE WHEN user_id % 2 = 0 THEN CAST({x} AS DOUBLE) END").alias(c) for c, x in (("payload_mean", "40 + event_id % 400"), ("payload_std", "event_id % 50"), ("payload_small_pkts", "event_id % 3"), ("frag_pkts", "event_id % 2"), ("df_pkts", "event_id % 4"), ("iat_max", "(event_id % 500) / 10D"))],
+        F.element_at(F.array(*map(F.lit, [0, 8192, 29200, 64240])), (F.col("event_id") % 4 + 1).cast("int")).alias("init_win"),
     )
     inside = F.col("src_ip").startswith("10.") & F.col("dst_ip").startswith("10.")
     stage = stage_of(F.col("label"))
