@@ -62,5 +62,28 @@ def cleaned(x: Column) -> Column:
     return F.greatest(F.coalesce(F.when(F.isnan(v) | (F.abs(v) == float("inf")), None).otherwise(v), F.lit(0.0)), F.lit(0.0))
 
 
+# Tactic, its id and techniques of each stage.
+TACTICS = [
+    ("-", "-", []),
+    ("Reconnaissance", "TA0043", ["T1595 Active Scanning", "T1046 Network Service Discovery"]),
+    ("Initial Access / Credential Access", "TA0001", ["T1110 Brute Force", "T1190 Exploit Public-Facing Application"]),
+    ("Lateral Movement", "TA0008", ["T1021 Remote Services (SMB/RDP/SSH)", "T1570 Lateral Tool Transfer"]),
+    ("Command and Control", "TA0011", ["T1071 Application Layer Protocol", "T1573 Encrypted Channel (beaconing)"]),
+    ("Exfiltration", "TA0010", ["T1041 Exfiltration Over C2 Channel", "T1048 Exfiltration Over Alternative Protocol"]),
+    ("Impact", "TA0040", ["T1498 Network Denial of Service", "T1499 Endpoint DoS"]),
+]
+
+
+def tactic(stage: Column) -> Column:
+    """struct<tactic, id, techniques> of a stage."""
+    each = [F.struct(F.lit(name).alias("tactic"), F.lit(key).alias("id"), F.lit(", ".join(techniques)).alias("techniques")) for name, key, techniques in TACTICS]
+    return F.element_at(F.array(*each), stage + 1)
+
+
+def status(risk: Column, threshold: float) -> Column:
+    """Severity at the threshold or above, else NORMAL."""
+    return F.when(risk >= threshold, severity(risk)).otherwise("NORMAL")
+
+
 def severity(risk: Column) -> Column:
     return F.when(risk >= 0.9, "CRITICAL").when(risk >= 0.75, "HIGH").otherwise("MEDIUM")

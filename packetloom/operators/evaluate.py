@@ -59,3 +59,9 @@ def channel_aucs(scored: DataFrame) -> DataFrame:
     both = lambda df, level, y: df.select(F.lit(level).alias("level"), F.col(y).alias("y"), F.explode(F.create_map(F.lit("risk"), F.col("risk"), F.lit("surprise"), F.col("surprise"))).alias("channel", "score"))
     every = both(scored, "cell", "y_future").unionByName(both(host, "host", "y")).withColumn("score", F.round("score", 9))
     return ranking(every, ["level", "channel"]).select("level", "channel", "auc")
+
+
+def ablation(df: DataFrame, combos: dict[str, list[str]]) -> DataFrame:
+    """combo, ap, auc of the mean of each combination of score columns (column y)."""
+    each = [F.struct(F.lit(name).alias("combo"), F.round(sum((F.col(c) for c in parts[1:]), F.col(parts[0])) / len(parts), 6).alias("score")) for name, parts in combos.items()]
+    return ranking(df.select("y", F.explode(F.array(*each)).alias("m")).select("y", "m.*"), ["combo"])

@@ -104,12 +104,24 @@ def _(spark, d):
 p1 AS (SELECT event_id, t AS ts, a AS ip_a, 40000 AS port_a, b AS ip_b, 443 AS port_b, event_id % 2 = 0 AS ahead, event_id * 7 % 64 AS flags, event_id % 50 AS seq, floor(value) AS payload, 40 + floor(value) AS length, 64 - event_id % 3 AS ttl, event_id % 3 AS ip_flags FROM p0),
 p2 AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > 21600 THEN 1 ELSE 0 END AS cut FROM p1 WINDOW w AS (PARTITION BY ip_a, ip_b ORDER BY ts, event_id)),
 p3 AS (SELECT *, sum(cut) OVER (PARTITION BY ip_a, ip_b ORDER BY ts, event_id) AS flow FROM p2),
-p4 AS (SELECT *, ahead = first_value(ahead) OVER w AS fwd, greatest(ts - lag(ts) OVER w, 0) AS gap FROM p3 WINDOW w AS (PARTITION BY ip_a, ip_b, flow ORDER BY ts, event_id))
+p4 AS (SELECT *, ahead = first_value(ahead) OVER w AS fwd, CASE WHEN lag(ts) OVER w IS NOT NULL THEN greatest(ts - lag(ts) OVER w, 0) END AS gap FROM p3 WINDOW w AS (PARTITION BY ip_a, ip_b, flow ORDER BY ts, event_id))
 SELECT ip_a, port_a, ip_b, port_b, flow::BIGINT AS flow, round(min(ts), 6) AS ts, count(*) FILTER (WHERE fwd) AS fwd_pkts, count(*) FILTER (WHERE NOT fwd) AS bwd_pkts, coalesce(sum(length) FILTER (WHERE fwd), 0)::BIGINT AS fwd_bytes, coalesce(sum(length) FILTER (WHERE NOT fwd), 0)::BIGINT AS bwd_bytes,
- round(avg(ttl), 6) AS ttl_mean, round(stddev_pop(ttl), 6) AS ttl_std, count(*) FILTER (WHERE flags & 2 > 0) AS syn, count(*) FILTER (WHERE flags & 16 > 0) AS ack, count(*) FILTER (WHERE flags & 1 > 0) AS fin, count(*) FILTER (WHERE flags & 4 > 0) AS rst,
+ round(avg(ttl), 6) AS ttl_mean, round(stddev_pop(ttl), 6) AS ttl_std, count(*) FILTER (WHERE flags & 2 > 0) AS syn, count(*) FILTER (WHERE flags & 16 > 0) AS ack, count(*) FILTER (WHERE flags & 1 > 0) AS fin, count(*) FILTER (WHERE flags & 4 > 0) AS rst, count(*) FILTER (WHERE flags & 8 > 0) AS psh, count(*) FILTER (WHERE flags & 32 > 0) AS urg, coalesce(arg_min(8192 + event_id % 100, (ts, event_id)) FILTER (WHERE fwd), 0) AS init_win,
+ round(max(ts) - min(ts), 5) + 0.0 AS duration, round(coalesce(avg(gap), 0), 5) + 0.0 AS iat_mean, round(coalesce(stddev_pop(gap), 0), 4) + 0.0 AS iat_std, round(coalesce(max(gap), 0), 5) + 0.0 AS iat_max, round(stddev_pop(payload), 6) + 0.0 AS payload_std,
  count(*) FILTER (WHERE payload > 0) - count(DISTINCT (fwd, seq)) FILTER (WHERE payload > 0) AS retrans, count(*) FILTER (WHERE ip_flags & 1 > 0) AS frag_pkts, count(*) FILTER (WHERE ip_flags & 2 > 0) AS df_pkts, count(*) FILTER (WHERE payload <= 64) AS small_pkts, round(avg(payload), 6) AS payload_mean FROM p4 GROUP BY ALL""")
 def _(spark, d):
-    return packets.to_flows(events.packets(spark, d), W).drop("proto", "duration", "iat_mean", "iat_std", "iat_max", "payload_std")
+    out = packets.to_flows(events.packets(spark, d), W).drop("proto")
+    return out.withColumns({c: F.round(c, k) for c, k in (("duration", 5), ("iat_mean", 5), ("iat_std", 4), ("iat_max", 5))})
+
+
+@query("c2_active_timeout", """WITH RECURSIVE p0 AS (SELECT event_id, epoch_us(ts) / 1e6 AS t, '10.0.0.' || user_id % 20 AS a, '10.0.1.' || CAST(json_extract(props, '$.k') AS INT) % 5 AS b FROM events),
+p1 AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY a, b ORDER BY t, event_id) > 21600 THEN 1 ELSE 0 END AS cut FROM p0), p2 AS (SELECT *, sum(cut) OVER (PARTITION BY a, b ORDER BY t, event_id) AS run FROM p1),
+s AS (SELECT a, b, run, min(t) AS t FROM p2 GROUP BY ALL UNION ALL SELECT * FROM (SELECT s.a, s.b, s.run, min(p2.t) AS t FROM s JOIN p2 ON p2.a = s.a AND p2.b = s.b AND p2.run = s.run AND p2.t - s.t > 172800 GROUP BY s.a, s.b, s.run, s.t)),
+f AS (SELECT p2.*, (SELECT max(s.t) FROM s WHERE s.a = p2.a AND s.b = p2.b AND s.run = p2.run AND s.t <= p2.t) AS start FROM p2)
+SELECT a AS ip_a, b AS ip_b, round(min(t), 5) + 0.0 AS ts, count(*) AS pkts, round(max(t) - min(t), 5) + 0.0 AS duration FROM f GROUP BY a, b, run, start""")
+def _(spark, d):
+    out = packets.to_flows(events.packets(spark, d), W, 172800)
+    return out.select("ip_a", "ip_b", F.round("ts", 5).alias("ts"), (F.col("fwd_pkts") + F.col("bwd_pkts")).alias("pkts"), F.round("duration", 5).alias("duration"))
 
 
 PK = "greatest(sum(fwd_pkts + bwd_pkts), 1)"

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from packetloom.functions.stages import TACTICS, status, tactic
 from packetloom.operators import calibrate, cells, evaluate, integrity, metrics, models, reports, risk
 from packetloom.operators.registry import DRAW, H, KEYS, MARKOV, METHODS, ROLLOUT, SEGW, THRESHOLD, UP_TO_SCORES, UP_TO_SEGS, UP_TO_TARGETS, W, FLOWS, base, flows, query, r6, scored, segs, targets
 from packetloom.operators.registry_reports import SPLIT, split
-from packetloom.sources import normalize
+from packetloom.sources import files, normalize
 
 PARTS = ["direct", "rollout", "markov"]
 PARTED = f"parted AS (SELECT *, y_future AS y, round(risk, 2) AS direct, round(0.3::DOUBLE * y_future + 0.7::DOUBLE * {DRAW.format(r='1')}, 2) AS rollout, round({DRAW.format(r='2')}, 2) AS markov FROM scored)"
@@ -273,3 +274,60 @@ def _(spark, d):
     raw = raw.withColumn("Label", F.when(F.col("Label").endswith("V42-Benign"), "flow=Background-Established-cmpgw-CVUT").otherwise(F.col("Label")))
     out = normalize.flows(dirty(raw, {"ts": "StartTime", "dst_port": "Dport"}))
     return out.select(F.floor("ts").alias("second"), *SHOWN, "duration", "fwd_bytes", "bwd_bytes")
+
+
+@query("k2_status", base(*UP_TO_SCORES) + "SELECT CASE WHEN risk < 0.3 THEN 'NORMAL' WHEN risk >= 0.9 THEN 'CRITICAL' WHEN risk >= 0.75 THEN 'HIGH' ELSE 'MEDIUM' END AS status, count(*) AS n FROM scored GROUP BY ALL")
+def _(spark, d):
+    return scored(spark, d).groupBy(status(F.col("risk"), 0.3).alias("status")).agg(F.count("*").alias("n"))
+
+
+_TACTICS = ", ".join(f"({i}, '{a}', '{b}', '{', '.join(c)}')" for i, (a, b, c) in enumerate(TACTICS))
+
+
+@query("k3_tactics", base(*UP_TO_SEGS) + f"SELECT tactic, id, techniques, count(*) AS cells FROM segs JOIN (VALUES {_TACTICS}) v(i, tactic, id, techniques) ON i = stage GROUP BY ALL")
+def _(spark, d):
+    return segs(spark, d).select(tactic(F.col("stage")).alias("t")).groupBy("t.tactic", "t.id", "t.techniques").agg(F.count("*").alias("cells"))
+
+
+@query("a5_union_captures", base(*UP_TO_SEGS) + "SELECT capture, count(*) AS cells, count(DISTINCT (src_ip, run)) AS segments FROM segs GROUP BY ALL")
+def _(spark, d):
+    s = segs(spark, d).select(*KEYS)
+    every = files.union_captures({c: s.where(F.col("capture") == c).drop("capture") for c in ("c0", "c1", "c2")})
+    return every.groupBy("capture").agg(F.count("*").alias("cells"), F.count_distinct("src_ip", "run").alias("segments"))
+
+
+@query("f13_stacked_8", base(*UP_TO_SEGS) + f", f AS (SELECT *, first_value(n_flows) OVER {SEGW}) AS first FROM segs) SELECT capture, src_ip, run, wid, " + ", ".join(f"coalesce(lag(n_flows, {i}) OVER {SEGW}), first)::BIGINT AS s{7 - i}" for i in range(7, 0, -1)) + ", n_flows::BIGINT AS s7 FROM f")
+def _(spark, d):
+    return cells.stacked(segs(spark, d), "n_flows", 8).select(*KEYS, *[F.col("stack")[i].cast("long").alias(f"s{i}") for i in range(8)])
+
+
+@query("g13_belief", base(*UP_TO_SEGS) + "SELECT capture, src_ip, run, wid, " + ", ".join(f"round((cnt_{i} + 0.5::DOUBLE) / (cnt_0 + cnt_1 + cnt_2 + cnt_3 + cnt_4 + cnt_5 + cnt_6 + 3.5::DOUBLE), 6) + 0.0 AS b{i}" for i in range(7)) + " FROM segs")
+def _(spark, d):
+    return segs(spark, d).select(*KEYS, *[b.alias(f"b{i}") for i, b in enumerate(risk.belief())])
+
+
+def ema_sql(x: str, span: int, name: str) -> str:
+    a = 2 / (span + 1)
+    b, part = 1 - a, "PARTITION BY capture, src_ip, run"
+    c = f"({x} * CASE WHEN pos = 0 THEN 1 ELSE {a}::DOUBLE END)"
+    return f"pow({b}::DOUBLE, pos % 256) * sum({c} * pow({b}::DOUBLE, -(pos % 256))) OVER ({part}, pos // 256 ORDER BY pos) + pow({b}::DOUBLE, pos % 256 + 1) * coalesce(sum({c} * pow({b}::DOUBLE, 255 - pos % 256)) OVER ({part} ORDER BY pos // 256 RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 0) AS {name}"
+
+
+@query("g18_belief_shift", base(*UP_TO_SEGS) + f", n AS (SELECT *, row_number() OVER {SEGW}) - 1 AS pos, log_bytes / 10.0::DOUBLE AS x FROM segs), e AS (SELECT capture, src_ip, run, wid, {ema_sql('x', 3, 'ms')}, {ema_sql('x', 15, 'ml')}, {ema_sql('(x * x)', 3, 'qs')}, {ema_sql('(x * x)', 15, 'ql')} FROM n), v AS (SELECT *, greatest(qs - ms * ms, 0.01::DOUBLE) AS vs, greatest(ql - ml * ml, 0.01::DOUBLE) AS vl FROM e)"
+       + "SELECT capture, src_ip, run, wid, round(ln(sqrt(vl) / sqrt(vs)) + (vs + pow(ms - ml, 2)) / (2 * vl) - 0.5::DOUBLE, 5) + 0.0 AS shift FROM v")
+def _(spark, d):
+    s = segs(spark, d).select(*KEYS, (F.col("log_bytes").cast("double") / 10).alias("x"))
+    return risk.belief_shift(s, ["x"], 3, 15).select(*KEYS, F.round("shift", 5).alias("shift"))
+
+
+@query("i15_compared", base(*UP_TO_SCORES) + EVALUATED + f"SELECT method, {r6(['f1', 'ap', 'fpr', 'ap_early', 'lead_mean', 'warned'])}, 'first' AS dataset, 'One' AS label, 1::BIGINT AS flagged FROM ev UNION ALL SELECT method, {r6(['f1', 'ap', 'fpr', 'ap_early', 'lead_mean', 'warned'])}, 'second', NULL, 0 FROM ev WHERE method = 'risk'")
+def _(spark, d):
+    e = evaluate.summary(evaluated(spark, d))
+    names = spark.createDataFrame([("first", "One")], "dataset string, label string")
+    checks = spark.createDataFrame([("first", True), ("first", False), ("second", True)], "dataset string, fine boolean")
+    return evaluate.compared({"first": e, "second": e.where("method = 'risk'")}, names, checks)
+
+
+@query("i16_ablation", base(*UP_TO_SCORES, PARTED) + f", m AS (SELECT combo, y, round(s, 6) AS score FROM (SELECT y, unnest(['direct', 'direct+markov', 'direct+rollout+markov']) AS combo, unnest([direct, (direct + markov) / 2, (direct + rollout + markov) / 3]) AS s FROM parted)) SELECT combo, round(ap, 6) AS ap, round(auc, 6) AS auc FROM {AP('combo', 'm')}")
+def _(spark, d):
+    return evaluate.ablation(parted(spark, d), {"direct": ["direct"], "direct+markov": ["direct", "markov"], "direct+rollout+markov": PARTS})

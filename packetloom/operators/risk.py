@@ -178,3 +178,17 @@ def forecast_and_truth(states: DataFrame, p: list[list[float]], steps: int) -> D
 def heat(paths: DataFrame) -> DataFrame:
     """For each cell and exploitation stage the largest probability over the steps."""
     return paths.where(F.col("to_stage").isin(EXPLOIT)).groupBy(*SEGMENT, "wid", "to_stage").agg(F.max("prob").alias("heat"))
+
+
+def belief_shift(df: DataFrame, columns: list[str], short: int, long: int, least: float = 0.01) -> DataFrame:
+    """df with shift: the divergence of a Gaussian of recent cells from one of many cells, summed over columns; variances are `least` at least."""
+    from packetloom.operators.cells import ema
+
+    total = F.lit(0.0)
+    for c in columns:
+        df = df.withColumn("_sq", F.col(c) * F.col(c))
+        for span, tag in ((short, "s"), (long, "l")):
+            df = ema(ema(df, c, span, f"_m{tag}_{c}"), "_sq", span, f"_q{tag}_{c}")
+        vs, vl = (F.greatest(F.col(f"_q{t}_{c}") - F.col(f"_m{t}_{c}") * F.col(f"_m{t}_{c}"), F.lit(least)) for t in "sl")
+        total = total + F.log(F.sqrt(vl) / F.sqrt(vs)) + (vs + F.pow(F.col(f"_ms_{c}") - F.col(f"_ml_{c}"), F.lit(2.0))) / (2 * vl) - 0.5
+    return df.withColumn("shift", total).drop("_sq", *[f"_{a}{t}_{c}" for c in columns for a in "mq" for t in "sl"])

@@ -35,4 +35,4 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
     a, b, ahead = "concat('10.0.0.', user_id % 20)", "concat('10.0.1.', CAST(get_json_object(props, '$.k') AS INT) % 5)", "event_id % 2 = 0"
     return e.select("event_id", "ts", F.expr(f"IF({ahead}, {a}, {b})").alias("src"), F.expr(f"IF({ahead}, {b}, {a})").alias("dst"), F.expr(f"IF({ahead}, 40000, 443)").alias("sport"), F.expr(f"IF({ahead}, 443, 40000)").alias("dport"), F.lit(6).alias("proto"),
-                    F.expr("CAST(event_id * 7 % 64 AS INT)").alias("flags"), F.expr("event_id % 50").alias("seq"), F.expr("floor(value)").alias("payload"), F.expr("40 + floor(value)").alias("length"), F.expr("64 - event_id % 3").alias("ttl"), F.expr("event_id % 3").alias("ip_flags"))
+                    F.expr("CAST(event_id * 7 % 64 AS INT)").alias("flags"), F.expr("event_id % 50").alias("seq"), F.expr("floor(value)").alias("payload"), F.expr("40 + floor(value)").alias("length"), F.expr("64 - event_id % 3").alias("ttl"), F.expr("event_id % 3").alias("ip_flags"), F.expr("8192 + event_id % 100").alias("window"))

@@ -72,6 +72,20 @@ def of_split(cells: DataFrame, split: str, column: str = "split_temporal") -> Da
     return cells.where(F.col(column) == split)
 
 
+def union_captures(parts: dict[str, DataFrame]) -> DataFrame:
+    """Cells or segments of several captures under one roof; a segment is named by its capture, host and run, so none needs a new number."""
+    out = None
+    for name, part in sorted(parts.items()):
+        part = part if "capture" in part.columns else part.withColumn("capture", F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def write_states(states: DataFrame, path: str) -> None:
+    """The states of all captures, one partition for each."""
+    states.write.mode("overwrite").partitionBy("capture").parquet(path)
+
+
 def write_report(report: DataFrame, path: str, kind: str = "csv") -> None:
     w = report.write.mode("overwrite")
     w.csv(path, header=True) if kind == "csv" else w.json(path) if kind == "json" else w.parquet(path)
