@@ -96,7 +96,7 @@ def votes(t: Column, before: Column) -> dict[str, Column]:
     share = F.length(F.regexp_replace(value, "[^0-9]", "")) / F.greatest(F.length(value), F.lit(1))
     return {
         "assigned": F.when(t.rlike(r"[=:]\x20?[\x22']?[A-Za-z0-9+/_.-]{8,}"), 1).when(t.rlike(r"[=:]"), 0).otherwise(-1),
-        "mixed": F.when((F.length(value) >= 12) & share.between(0.1, 0.9), 1).when(share == 0, 0).otherwise(-1),
+        "mixed": F.when((F.length(value) >= 12) & share.between(0.1, 0.9), 1).when((share == 0) & ~t.rlike(DISGUISED), 0).otherwise(-1),
         "named": F.when(name.isin(SECRET_NAMES), 1).when(name != "", 0).otherwise(-1),
         "prefixed": F.when(F.exists(F.array(*map(F.lit, SECRET_PREFIXES)), lambda p: F.startswith(value, p)), 1).otherwise(-1),
         "context": F.when(before.rlike(CONTEXT), 1).otherwise(-1),
@@ -119,14 +119,14 @@ def features(t: Column) -> dict[str, Column]:
 
 def expect(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[list[float], list[float]]]]:
     """The share of true spans, and for each labeler the weights of (-1, 0, 1) on false and on true spans: its chances to vote 0 or 1 when
-    it votes; saying nothing tells nothing. Two votes beforehand, one of them wrong, hold that labelers are no worse than chance."""
+    it votes; saying nothing tells nothing. Ten votes beforehand, two of them wrong, hold that labelers are mostly right."""
     total = sum(n for _, n in patterns)
     yes = [(1 + 2 * sum(v == 1 for v in p)) / (2 + 2 * sum(v >= 0 for v in p)) for p, _ in patterns]
     prior, tables = 0.5, []
     for _ in range(rounds):
         tables = []
         for j in range(len(LABELERS)):
-            each = [[2.0, 1.0], [1.0, 2.0]]
+            each = [[8.0, 2.0], [2.0, 8.0]]
             for (p, n), y in zip(patterns, yes, strict=True):
                 if p[j] >= 0:
                     each[0][p[j]] += n * (1 - y)
