@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetloom.functions import stages
-from packetloom.operators import cells, metrics, models, packets, registry, registry_checks, registry_reports, risk, sequences  # noqa: F401
-from packetloom.sources import files
+from packetloom.operators import calibrate, cells, metrics, models, packets, registry, registry_checks, registry_reports, risk, sequences  # noqa: F401
+from packetloom.sources import files, normalize
 from packetloom.streaming import cells as live
 
 SF = "/root/testdata/sf0.001"
@@ -167,3 +167,65 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     cols = ["capture", "src_ip", "wid", "n_flows", F.round("log_bytes", 6)]
     assert sorted(map(tuple, spark.table("cells_now").select(*cols).collect())) == sorted(map(tuple, live.cells(f, registry.W).select(*cols).collect()))
+
+
+def test_raw_csv_normalised(spark):
+    """Aliases of any case, Infinity, hexadecimal ports, repeated headers, negative windows, microseconds, missing columns."""
+    rows = [("03/05/2019 04:05:06", "0x0050", "udp", "1500000", "Infinity", "-1", "250000", " DoS Hulk "), ("Timestamp", "Dst Port", "Protocol", "Flow Duration", "x", "x", "x", "Label"), ("garbage", "1", "6", "1", "1", "1", "1", "Bot"), ("03/05/2019 04:05:09", "443", "6", "NaN", "12", "8192", "-5", "Benign")]
+    raw = spark.createDataFrame(rows, "`TIMESTAMP` string, `dst port` string, Protocol string, `Flow Duration` string, `TotLen Fwd Pkts` string, `Init Fwd Win Byts` string, `Flow IAT Max` string, Label string")
+    out = normalize.flows(raw).orderBy("ts").collect()
+    assert len(out) == 2 and out[0].asDict().keys() == {*normalize.COLUMNS, "stage"}
+    assert (out[0]["ts"], out[0]["dst_port"], out[0]["proto"], out[0]["duration"], out[0]["fwd_bytes"], out[0]["init_win"], out[0]["iat_max"], out[0]["stage"], out[0]["ttl_mean"], out[0]["src_ip"]) == (1556856306.0, 0, 17, 1.5, 0.0, 0.0, 0.25, 6, None, "0.0.0.0")
+    assert (out[1]["ts"] - out[0]["ts"], out[1]["duration"], out[1]["iat_max"]) == (3.0, 0.0, 0.0)
+    with pytest.raises(ValueError):
+        normalize.flows(raw.drop("TIMESTAMP"))
+    for factor in (1, 10**3, 10**6, 10**9):  # epochs as text, by magnitude
+        n = spark.createDataFrame([(str(1_600_000_000 * factor),)], "StartTime string")
+        assert normalize.flows(n).first()["ts"] == 1.6e9
+
+
+def test_binetflow_normalised(spark):
+    raw = spark.createDataFrame([("2011/08/10 09:46:53.047277", "1.5", "tcp", "10.0.0.1", "0x0303", "10.0.0.2", "FSPA_FSPA", "9", "1000", "300", "flow=From-Botnet-V42-TCP-CC")], "StartTime string, Dur string, Proto string, SrcAddr string, Sport string, DstAddr string, State string, TotPkts string, TotBytes string, SrcBytes string, Label string")
+    r = normalize.flows(raw).first()
+    assert (r["syn"], r["fin"], r["psh"], r["ack"], r["rst"], r["fwd_pkts"], r["bwd_pkts"], r["fwd_bytes"], r["bwd_bytes"], r["src_port"], r["stage"]) == (2, 2, 2, 2, 0, 9, 0, 300, 700, 0, 4)
+    assert r["ts"] == pytest.approx(1312969613.047277, abs=1e-5)
+
+
+def test_active_timeout(spark):
+    rows = [(i, float(t), "a", "b", 1, 2, 6, 2, i, 5, 45, 64, 0, 100 + i) for i, t in enumerate([0, 5, 10, 15, 20, 21, 30, 100])]
+    df = spark.createDataFrame(rows, "event_id int, ts double, src string, dst string, sport int, dport int, proto int, flags int, seq int, payload int, length int, ttl int, ip_flags int, window int")
+    got = [(r["ts"], r["fwd_pkts"], r["init_win"]) for r in packets.to_flows(df, 50, 10).orderBy("ts").collect()]
+    assert got == [(0.0, 3, 100), (15.0, 3, 103), (30.0, 1, 106), (100.0, 1, 107)]  # exactly 10 s old is not too old
+
+
+def test_full_cell(spark):
+    f = registry.flows(spark, SF)
+    row = cells.full(f, registry.W)
+    names = [c for c in row.columns if c not in ("capture", "src_ip", "wid", "n_flows") and not c.startswith("cnt_") and not c.endswith("_missing")]
+    assert len(names) == 39 and not row.where(" OR ".join(f"{c} IS NULL OR isnan({c})" for c in names)).take(1)
+
+
+def test_informative_part_gets_the_weight(spark):
+    rng = np.random.default_rng(0)
+    rows = [(int(y), 0, float(np.clip(0.35 * y + 0.5 * rng.random(), 0, 1)), float(rng.random()), float(rng.random())) for y in rng.random(1500) < 0.2]
+    df = spark.createDataFrame(rows, "y int, exploit_now int, a double, b double, c double")
+    assert calibrate.fusion(df, ["a", "b", "c"]).first()["w0"] >= 0.8
+    p = calibrate.permutation(df.select("y", F.col("a").alias("score"), F.monotonically_increasing_id().cast("string").alias("k")), ["k"], 50).first()
+    q = calibrate.permutation(df.select("y", F.col("b").alias("score"), F.monotonically_increasing_id().cast("string").alias("k")), ["k"], 50).first()
+    assert p["p_value"] < 0.03 < q["p_value"]
+
+
+def test_late_rows_within_the_watermark(spark, tmp_path):
+    """Flows in any order give the batch's cells as long as the watermark waits for them."""
+    f = registry.flows(spark, SF).where("ts IS NOT NULL")
+    f.orderBy(F.md5(F.col("event_id").cast("string"))).repartition(4).write.parquet(str(tmp_path / "flows"))
+    stream = live.cells(spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "flows")), registry.W, "400 days")
+    q = stream.select("capture", "src_ip", "wid", "n_flows").writeStream.format("memory").queryName("late_cells").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("late_cells").collect())) == sorted(map(tuple, cells.build(f, registry.W).select("capture", "src_ip", "wid", "n_flows").collect()))
+
+
+def test_state_sink(spark, tmp_path):
+    a, b = spark.createDataFrame([("h", 1)], "src_ip string, wid long"), spark.createDataFrame([("h", 1, 5)], "src_ip string, wid long, x int")
+    files.write_states(files.union_captures({"one": a, "two": b}), str(tmp_path / "states"))
+    assert spark.read.parquet(str(tmp_path / "states")).groupBy("capture").count().count() == 2
