@@ -19,6 +19,11 @@ def weighted(parts: list[str], weights: list[Column], digits: int = 6) -> Column
     return F.round(sum((F.col(c) * w for c, w in zip(parts, weights, strict=True)), F.lit(0.0)), digits)
 
 
+def to_digits(x: Column, digits: int) -> Column:
+    """x to so many digits by binary arithmetic, halves as the product falls (the same in any engine)."""
+    return F.floor(x * float(10**digits) + 0.5) / F.lit(float(10**digits))
+
+
 def fusion(df: DataFrame, parts: list[str], step: float = 0.1) -> DataFrame:
     """w0, w1, w2, ap: the weights of three score columns with the best average precision on cells not yet exploited (columns y, exploit_now); the first of the grid on ties."""
     few = df.where("exploit_now = 0").groupBy(*parts).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
@@ -61,7 +66,7 @@ def best_run(results: DataFrame) -> DataFrame:
 
 def bootstrap(scores: DataFrame, threshold: float, unit: list[str], replicates: int = 200, digits: int = 2) -> DataFrame:
     """metric, low, high: 2.5 and 97.5 % points of f1, recall, fpr and ap over resampled units. Columns unit, y, score; ap on scores at so many digits."""
-    held = scores.groupBy(*unit, F.round("score", digits).alias("score"), (F.col("score") >= threshold).alias("on")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    held = scores.groupBy(*unit, to_digits(F.col("score"), digits).alias("score"), (F.col("score") >= threshold).alias("on")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     units = scores.select(*unit).distinct().withColumn("_i", F.row_number().over(Window.orderBy(*unit)) - 1)  # one row for each unit
     count = units.count()
     picks = scores.sparkSession.range(replicates * count).select(F.floor(F.col("id") / count).alias("b"), F.floor(draw(F.floor(F.col("id") / count), F.pmod("id", F.lit(count))) * count).alias("_i"))

@@ -11,7 +11,7 @@ from packetloom.operators.registry_reports import SPLIT, split
 from packetloom.sources import files, normalize
 
 PARTS = ["direct", "rollout", "markov"]
-PARTED = f"parted AS (SELECT *, y_future AS y, round(risk, 2) AS direct, round(0.3::DOUBLE * y_future + 0.7::DOUBLE * {DRAW.format(r='1')}, 2) AS rollout, round({DRAW.format(r='2')}, 2) AS markov FROM scored)"
+PARTED = f"parted AS (SELECT *, y_future AS y, floor(risk * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS direct, floor((0.3::DOUBLE * y_future + 0.7::DOUBLE * {DRAW.format(r='1')}) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS rollout, floor({DRAW.format(r='2')} * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS markov FROM scored)"
 AP = lambda by, src: f"""(SELECT {by}, sum(p * tp / (tp + fp)) / sum(p) AS ap, sum(n * (tp - p + p / 2)) / (sum(p) * sum(n)) AS auc FROM (SELECT *, sum(p) OVER (PARTITION BY {by} ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY {by} ORDER BY score DESC) AS fp
  FROM (SELECT {by}, score, sum(y) AS p, sum(1 - y) AS n FROM {src} GROUP BY ALL)) GROUP BY {by})"""
 
@@ -19,7 +19,7 @@ AP = lambda by, src: f"""(SELECT {by}, sum(p * tp / (tp + fp)) / sum(p) AS ap, s
 def parted(spark, d):
     s = scored(spark, d).withColumn("y", F.col("y_future"))
     u = lambda r: risk.draw(F.lit(r), "capture", "src_ip", "wid")
-    return s.withColumns({"direct": F.round("risk", 2), "rollout": F.round(0.3 * F.col("y") + 0.7 * u(1), 2), "markov": F.round(u(2), 2)})
+    return s.withColumns({"direct": calibrate.to_digits(F.col("risk"), 2), "rollout": calibrate.to_digits(0.3 * F.col("y") + 0.7 * u(1), 2), "markov": calibrate.to_digits(u(2), 2)})
 
 
 @query("h2_fusion_weights", base(*UP_TO_SCORES, PARTED) + f""", grid AS (SELECT i, j, i / 10.0::DOUBLE AS w0, j / 10.0::DOUBLE AS w1, (10 - i - j) / 10.0::DOUBLE AS w2 FROM range(11) a(i), range(11) b(j) WHERE i + j <= 10),
@@ -79,7 +79,7 @@ def _(spark, d):
     return evaluate.summary(evaluated(spark, d))
 
 
-@query("i11_bootstrap", base(*UP_TO_SCORES) + f""", held AS (SELECT capture, src_ip, run, round(risk, 2) AS score, risk >= 0.3 AS "on", sum(y_future) AS p, sum(1 - y_future) AS n FROM scored GROUP BY ALL),
+@query("i11_bootstrap", base(*UP_TO_SCORES) + f""", held AS (SELECT capture, src_ip, run, floor(risk * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS score, risk >= 0.3 AS "on", sum(y_future) AS p, sum(1 - y_future) AS n FROM scored GROUP BY ALL),
 u AS (SELECT *, row_number() OVER (ORDER BY capture, src_ip, run) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT capture, src_ip, run FROM scored)),
 w AS (SELECT b, i, count(*) AS w FROM (SELECT b, floor(('0x' || substr(md5(b || '|' || j), 1, 8))::UBIGINT / 4294967296.0::DOUBLE * k) AS i FROM range(200) t(b), (SELECT i AS j, k FROM u)) GROUP BY ALL),
 e AS (SELECT b, score, "on", sum(p * w) AS p, sum(n * w) AS n FROM held JOIN u USING (capture, src_ip, run) JOIN w USING (i) GROUP BY ALL),
