@@ -293,6 +293,24 @@ def test_search_ties(spark):
     assert {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 50)} == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4]}
 
 
+def test_search_regions(spark):
+    """Clusters in regions of their own, vectors of other lengths, copies of one vector: as brute force, and far regions stay closed."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(12, 16))[np.arange(900) % 12] + 0.05 * rng.normal(size=(900, 16))
+    x[600:750] = x[600]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, rng.normal(size=3).tolist()) for i in range(60)]
+    got = vp_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, per_shard=80, per_block=7).collect()
+    for q, v in rows[::50]:
+        others = [(-float(vp_search.cosines(np.array(w), np.array(v))), i) for i, w in rows if i != q and len(w) == len(v)]
+        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [(i, -s) for s, i in sorted(others)[:5]]
+    regions = vp_search.Regions(x.tolist(), 12)
+    import pandas as pd
+
+    q, u = pd.Series(x[:60].tolist()), vp_search.unit(x)
+    opened = regions.others(q, regions.homes(q), np.sort(u[:60] @ u.T, axis=1)[:, -6], 1.0)  # the bound is the fifth neighbour's cosine
+    assert regions.count >= 12 and np.mean([len(o) for o in opened]) < regions.count / 2
+
+
 def test_search_factor():
     """Below one the tree prunes more; recall stays at 0.9 or more on clustered vectors."""
     rng = np.random.default_rng(4)
@@ -300,7 +318,7 @@ def test_search_factor():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     exact = np.argsort(-(x[:60] @ x.T), axis=1)[:, :5]
     for factor, least in ((1.0, 1.0), (0.7, 0.9)):
-        rows, best = vp_search.Tree(x).search(x[:60], 5, factor)
+        rows, best = vp_search.Tree(x).search(x[:60], 5, factor, np.full(60, -2.0))
         assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(rows.tolist(), exact.tolist(), strict=True)]) >= least
 
 
