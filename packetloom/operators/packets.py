@@ -15,7 +15,7 @@ def keyed(packets: DataFrame) -> DataFrame:
     return packets.withColumn("ip_a", lo["ip"]).withColumn("port_a", lo["port"]).withColumn("ip_b", hi["ip"]).withColumn("port_b", hi["port"])
 
 
-def active_starts(p: DataFrame, active_s: float) -> DataFrame:
+def active_starts(p: DataFrame, active_s: int) -> DataFrame:
     """p (with flow, runs without silence) cut where a flow's age passes active_s: a flow begins with its run's first packet or the first one over
     active_s after the flow's own beginning. Each packet knows the beginning that would follow it; those that follow the run's first are found by doubling."""
     run = [*KEY, "flow"]
@@ -42,13 +42,18 @@ def active_starts(p: DataFrame, active_s: float) -> DataFrame:
     return marked.withColumn("_cut", again).withColumn("flow", F.sum("_cut").over(order)).drop("_t0", "_start", "_new", "_cut")
 
 
-def to_flows(packets: DataFrame, idle_s: float, active_s: float | None = None) -> DataFrame:
-    """Flows that end after idle_s of silence, or once they are older than active_s; the first packet's direction is forward."""
+def to_flows(packets: DataFrame, idle_s: float, active_s: int | None = None) -> DataFrame:
+    """Flows that end after idle_s of silence, or once they are older than active_s (whole seconds); the first packet's direction is forward."""
     w = Window.partitionBy(*KEY).orderBy("ts", "event_id")
     p = keyed(packets).withColumn("_new", F.when(F.col("ts") - F.lag("ts").over(w) > idle_s, 1).otherwise(0))
     p = p.withColumn("flow", F.sum("_new").over(w)).drop("_new")
     if active_s is not None:
         p = active_starts(p, active_s)
+    return summarise(p)
+
+
+def summarise(p: DataFrame) -> DataFrame:
+    """A row for each flow of packets with their key and `flow`."""
     f = Window.partitionBy(*KEY, "flow").orderBy("ts", "event_id")
     p = p.withColumn("fwd", F.col("src") == F.first("src").over(f)).withColumn("gap", F.col("ts") - F.lag("ts").over(f))
     p = p.withColumn("gap", F.when(F.col("gap").isNotNull(), F.greatest("gap", F.lit(0.0))))  # the first packet has none

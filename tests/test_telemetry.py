@@ -2,6 +2,7 @@
 
 import glob
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import stages
 from packetloom.operators import calibrate, cells, metrics, models, packets, registry, registry_checks, registry_reports, risk, sequences  # noqa: F401
-from packetloom.sources import files, normalize
+from packetloom.sources import events, files, normalize
 from packetloom.streaming import cells as live
+from packetloom.streaming import stateful
 
 SF = "/root/testdata/sf0.001"
 
@@ -229,3 +231,45 @@ def test_state_sink(spark, tmp_path):
     a, b = spark.createDataFrame([("h", 1)], "src_ip string, wid long"), spark.createDataFrame([("h", 1, 5)], "src_ip string, wid long, x int")
     files.write_states(files.union_captures({"one": a, "two": b}), str(tmp_path / "states"))
     assert spark.read.parquet(str(tmp_path / "states")).groupBy("capture").count().count() == 2
+
+
+def streamed(spark, df, last, path, order, name, make):
+    """make(stream of df in another order than time's, three files a batch)'s rows; `last`, far in the future, lets the watermark pass all."""
+    df.orderBy(F.md5(order.cast("string"))).repartition(6).write.parquet(path)
+    time.sleep(1.1)  # files are read by age
+    last.coalesce(1).write.mode("append").parquet(path)
+    out = make(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3).parquet(path))
+    out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(300)
+    return spark.table(name)
+
+
+def bag(df):
+    return sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
+
+
+def test_streamed_flows(spark, tmp_path):
+    """Packets in any order within the watermark make the batch's flows; a last packet far in the future ends them all."""
+    p = events.packets(spark, SF).where("ts IS NOT NULL")
+    last = p.limit(1).select(*[(F.lit(4e9) if c == "ts" else F.lit("end") if c == "src" else F.col(c)).alias(c) for c in p.columns])
+    for idle, active, name in ((50_000, 200_000, "flows_a"), (300_000, 500_000, "flows_b")):
+        got = streamed(spark, p, last, str(tmp_path / name), F.col("event_id"), name, lambda s: stateful.packets_of_flows(s, idle, active, "400 days"))  # noqa: B023
+        want = packets.to_flows(p, idle, active).drop("flow")
+        assert bag(packets.summarise(got).drop("flow").select(*want.columns)) == bag(want) and want.count() > 10
+
+
+def test_streamed_states_and_alerts(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = [("c", f"h{h}", 1000 + int(w), float(rng.integers(1, 50)), int(rng.integers(0, 7))) for h in range(6) for w in np.flatnonzero(rng.random(60) < 0.5)]
+    seen = spark.createDataFrame([(c, h, w, 1, x, *[int(s == i) for i in range(7)], s) for c, h, w, x, s in rows], "capture string, src_ip string, wid long, n_flows long, x double, " + ", ".join(f"cnt_{i} int" for i in range(7)) + ", stage int")
+    tail = seen.limit(1).withColumn("capture", F.lit("end")).withColumn("wid", F.lit(10_000).cast("long"))
+    got = streamed(spark, seen, tail, str(tmp_path / "cells"), F.concat_ws("|", "src_ip", "wid"), "states_now", lambda s: stateful.states(s, "x", 300, 3, 4, 12, "6 hours"))
+    segs = cells.segments(seen.drop("stage"), 3)
+    first = segs.groupBy("capture", "src_ip", "run").agg(F.min("wid").alias("first"))
+    want = cells.multi_scale(segs, "x", 4, 12).join(first, ["capture", "src_ip", "run"]).select("capture", "src_ip", F.col("first").alias("run"), "wid", "is_filled", "stage", "x", "burst", "trend", (F.col("burst") * F.col("burst")).alias("surprise"))
+    assert bag(got.where("capture <> 'end'")) == bag(want) and want.where("is_filled").count() > 5
+
+    scored = want.select("capture", "src_ip", "run", "wid", "stage", (F.pmod(F.xxhash64("src_ip", "wid"), F.lit(100)) / 100).alias("risk"))
+    end = scored.limit(1).withColumn("capture", F.lit("end")).withColumn("wid", F.lit(10_000).cast("long"))
+    got = streamed(spark, scored, end, str(tmp_path / "scored"), F.concat_ws("|", "src_ip", "wid"), "alerts_now", lambda s: stateful.alerts(s, 0.4, 2, 300, "6 hours"))
+    want = risk.alerts(scored, 0.4, 2, 300)
+    assert bag(got.where("capture <> 'end'").select(*want.columns)) == bag(want) and want.count() > 5
