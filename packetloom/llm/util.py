@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _HELD: dict[str, str] = {}
 
 
@@ -43,10 +44,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to shared storage and reads it again: cuts the lineage and survives lost executors."""
+    """Writes df to shared storage and reads it again: cuts the lineage and survives lost executors. The write's shuffle files go once it has ended."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
