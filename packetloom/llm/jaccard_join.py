@@ -11,7 +11,8 @@ in one name with a chance of n^2 / 2^65); what follows joins classes.
    order is rarest first by a count sketch of fixed size over all documents, so that common passages rarely make regions.
    Regions with the same members are one.
 2. Counts of a text's shingles in 256 hash buckets are a contraction: the weighted Jaccard distance of two such
-   vectors is no more than that of the sets. Members with nobody within 0.25 by the contraction leave their region.
+   vectors is no more than that of the sets. Regions fall into the parts that the contraction connects at 0.25; members with nobody near leave.
+   Sets first go to one region each, the largest of theirs. Regions that the links found there make one component need no join; the others follow.
 3. Each region is joined by `join_region`: texts as pivots create Voronoi regions by exact distance, a text goes to every
    region where it is at most 0.5 (twice 0.25, by the triangle inequality) farther from the pivot than from its nearest, regions
    join recursively, and small ones compare their pairs. Texts known to be connected need no comparison.
@@ -156,30 +157,41 @@ def far_apart(i, t):
     return 100 * i < 75 * (t - i)
 
 
-def partnered(n: np.ndarray, pos: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which members have another within 0.25 by the contraction and within reach of their places."""
-    out, left, step = np.zeros(len(n), bool), n - pos, max(1, 4_000_000 // (len(n) * BUCKETS))
+def parts(n: np.ndarray, pos: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """The members in parts that the contraction and the reach of their places keep apart; members with nobody near are left out."""
+    near, left, step = np.zeros((len(n), len(n)), bool), n - pos, max(1, 4_000_000 // (len(n) * BUCKETS))
     for at in range(0, len(n), step):
         part = slice(at, at + step)
         most, t = np.minimum(h[part, None, :], h[None]).sum(-1, dtype=np.int64), n[part, None] + n[None]
-        near = ~far_apart(most, t) & (3 * t <= 7 * np.minimum(left[part, None], left[None]))
-        near[np.arange(len(near)), np.arange(at, at + len(near))] = False
-        out[part] = near.any(1)
+        near[part] = ~far_apart(most, t) & (3 * t <= 7 * np.minimum(left[part, None], left[None]))
+    np.fill_diagonal(near, False)
+    out, todo = [], near.any(1)
+    while todo.any():
+        part = edge = np.arange(len(n)) == todo.argmax()
+        while edge.any():
+            edge = near[edge].any(0) & ~part
+            part = part | edge
+        out.append(np.flatnonzero(part))
+        todo &= ~part
     return out
 
 
 def promising(rows: DataFrame, profile: DataFrame) -> DataFrame:
-    """region, cid, comp of the members that have a partner in their region."""
+    """region, cid, comp: the parts of the regions. A part's members and what is known of them name it, so that parts which several regions have are one."""
     h = profile.select("cid", "h").join(rows.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
 
     def pick(batches):
         for g in groups(batches, "region"):
             h = np.frombuffer(b"".join(g["h"].to_pylist()), "<u4").reshape(-1, BUCKETS)
-            ok = pa.array(partnered(g["n"].to_numpy().astype(np.int64), g["pos"].to_numpy().astype(np.int64), h))
-            yield from g.select(["region", "cid", "comp"]).filter(ok).to_batches()
+            found = parts(g["n"].to_numpy().astype(np.int64), g["pos"].to_numpy().astype(np.int64), h)
+            if found:
+                cid, comp = g["cid"].to_numpy(), g["comp"].to_pylist()
+                names = [xxhash.xxh3_64_intdigest(cid[part].tobytes() + repr([comp[i] for i in part]).encode()) for part in found]
+                every = np.concatenate(found)
+                yield record(region=np.repeat(np.array(names, U).view(np.int64), [len(part) for part in found]), cid=cid[every], comp=pa.array([comp[i] for i in every], pa.int64()))
 
-    by_region = rows.join(h, "cid").repartition("region").sortWithinPartitions("region")
-    return stash(by_region.mapInArrow(pick, "region long, cid long, comp long"), "jaccard-promising")
+    by_region = rows.join(h, "cid").repartition("region").sortWithinPartitions("region", "cid")
+    return stash(by_region.mapInArrow(pick, "region long, cid long, comp long").distinct(), "jaccard-promising")
 
 
 def join_region(ids: list, sets: list[np.ndarray], comp: list, block: int) -> list[tuple]:
@@ -260,6 +272,25 @@ def joined(rows: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     return stash(by_region.mapInArrow(links_, "a long, b long"), "jaccard-links")
 
 
+def homes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each class in the largest of its regions alone; and all rows, with `home` where that is."""
+    size = rows.groupBy("region").agg(F.count("*").alias("k"))
+    home = rows.join(size, "region").groupBy("cid").agg(F.max(F.struct("k", "region")).alias("x"))
+    all_ = stash(rows.join(home, "cid").withColumn("home", F.col("region") == F.col("x.region")).drop("x"), "jaccard-homes")
+    at_home = all_.where("home").select("region", "cid", "comp")
+    several = at_home.groupBy("region").agg(F.count("*").alias("k")).where("k > 1")
+    return at_home.join(several.select("region"), "region", "left_semi"), all_
+
+
+def undecided(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """region, cid, comp of the regions that neither lie in one known component (node, comp) nor were joined whole as homes."""
+    rows = rows.join(known.select(F.col("node").alias("cid"), F.col("comp").alias("_c")), "cid", "left")
+    rows = rows.select("region", "cid", F.coalesce("_c", "comp").alias("comp"), "home")
+    label = F.coalesce("comp", "cid")
+    left = rows.groupBy("region").agg(F.min(label).alias("_a"), F.max(label).alias("_b"), F.min("home").alias("_all")).where("_a < _b AND NOT _all")
+    return stash(rows.join(left.select("region"), "region", "left_semi").select("region", "cid", "comp"), "jaccard-undecided")
+
+
 def sized(rows: DataFrame, most: int, weight: int) -> tuple[DataFrame, DataFrame]:
     """The rows of regions within the bounds, and those of the others, with `k`; regions of one component go."""
     label = F.coalesce("comp", "cid")
@@ -344,8 +375,11 @@ def links(docs: DataFrame, profile: DataFrame, sketch: np.ndarray, block: int =
         found, pieces = split(large, docs, profile, most, weight)
         small = small.unionByName(pieces)
     small = promising(small, profile)
-    own = joined(small, sets_of(docs, small.select("cid").distinct(), profile), block)
-    return own if found is None else own.unionByName(found)
+    sets = sets_of(docs, small.select("cid").distinct(), profile)
+    at_home, small = homes(small)
+    first = joined(at_home, sets, block)
+    found = first if found is None else first.unionByName(found)
+    return found.unionByName(joined(undecided(small, components(found)), sets, block))
 
 
 def found_classes(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
