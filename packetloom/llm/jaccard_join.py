@@ -152,9 +152,9 @@ def sets_of(docs: DataFrame, cids: DataFrame, profile: DataFrame) -> DataFrame:
     return stash(texts.mapInArrow(rows, "cid long, s array<long>").groupBy("cid").agg(F.first("s").alias("s")), "jaccard-sets")
 
 
-def far_apart(i, t):
-    """Whether an overlap of i (at most) in sets of t shingles together is too little."""
-    return 100 * i < 75 * (t - i)
+def far_apart(i, t, least: int = 75):
+    """Whether an overlap of i (at most) in sets of t shingles together is too little for a similarity of least percent."""
+    return 100 * i < least * (t - i)
 
 
 def parts(n: np.ndarray, pos: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
@@ -194,7 +194,7 @@ def promising(rows: DataFrame, profile: DataFrame) -> DataFrame:
     return stash(by_region.mapInArrow(pick, "region long, cid long, comp long").distinct(), "jaccard-promising")
 
 
-def join_region(ids: list, sets: list[np.ndarray], comp: list, block: int) -> list[tuple]:
+def join_region(ids: list, sets: list[np.ndarray], comp: list, block: int, least: int = 75) -> list[tuple]:
     """Links (a, b) enough to connect what is connected in the region; members of one comp (not None) are connected already."""
     n = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), n)
@@ -216,7 +216,7 @@ def join_region(ids: list, sets: list[np.ndarray], comp: list, block: int) -> li
         return np.bincount(by_shingle[at], minlength=len(sets))
 
     def link(i, members, overlap):
-        for j in members[~far_apart(overlap[members], n[members] + n[i])].tolist():
+        for j in members[~far_apart(overlap[members], n[members] + n[i], least)].tolist():
             a, b = root(i), root(j)
             if a != b:
                 up[max(a, b)] = min(a, b)
@@ -258,14 +258,14 @@ def join_region(ids: list, sets: list[np.ndarray], comp: list, block: int) -> li
     return out
 
 
-def joined(rows: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+def joined(rows: DataFrame, sets: DataFrame, block: int, least: int = 75) -> DataFrame:
     """a, b: links within the regions of rows (region, cid, comp)."""
 
     def links_(batches):
         for g in groups(batches, "region"):
             s = g["s"].combine_chunks()
             values, ends = s.values.to_numpy().view(U), s.offsets.to_numpy()
-            found = join_region(g["cid"].to_pylist(), [values[a:b] for a, b in zip(ends, ends[1:], strict=False)], g["comp"].to_pylist(), block)
+            found = join_region(g["cid"].to_pylist(), [values[a:b] for a, b in zip(ends, ends[1:], strict=False)], g["comp"].to_pylist(), block, least)
             yield record(a=pa.array([a for a, _ in found], pa.int64()), b=pa.array([b for _, b in found], pa.int64()))
 
     by_region = rows.join(sets, "cid").repartition("region").sortWithinPartitions("region", "cid")
@@ -300,12 +300,12 @@ def sized(rows: DataFrame, most: int, weight: int) -> tuple[DataFrame, DataFrame
     return both.where(small).drop("k", "_w"), both.where(~small).drop("_w")
 
 
-def split(large: DataFrame, docs: DataFrame, profile: DataFrame, most: int, weight: int) -> tuple[DataFrame, DataFrame]:
+def split(large: DataFrame, docs: DataFrame, profile: DataFrame, most: int, weight: int, least: int = 75) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) and regions within the bounds, which together decide all pairs of the large regions."""
     sets = sets_of(docs, large.select("cid").distinct(), profile)
     found = pieces = None
     add = lambda x, y: y if x is None else x.unionByName(y)
-    linked = lambda i, t: ~far_apart(i, t)
+    linked = lambda i, t: ~far_apart(i, t, least)
     while large.take(1):
         order = F.struct(F.col("comp").isNotNull().alias("known"), F.xxhash64("cid", "region").alias("h"), "cid")
         chosen = large.groupBy("region", F.pmod(F.xxhash64("region", "cid"), F.lit(PIVOTS)).alias("slot")).agg(F.min(order).alias("x")).select("region", F.col("x.cid").alias("cid"))
