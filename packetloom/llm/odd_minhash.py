@@ -4,8 +4,8 @@ Two texts link when 100 * |A & B| >= 85 * |A | B| over their sets of distinct 5-
 throughout (by 64 bits of a hash, see jaccard_join); what follows joins classes.
 
 1. A set's sample is the least value of each of 128 hash functions over its shingles. Folded into an odd sketch, each of its (function, value)
-   pairs flips one of 256 bits: the exclusive or of two sketches is the sketch of the pairs that differ, and its population count estimates
-   the similarity 1 + 256 / 512 * ln(1 - 2 * count / 256), most precisely where it is high.
+   pairs flips one of 512 bits: the exclusive or of two sketches is the sketch of the pairs that differ, and its population count estimates
+   the similarity 1 + ln(1 - 2 * count / 512), most precisely where it is high.
 2. Samples fall into 32 bands of 4 values. Classes that share a band make a region; regions with the same members are one.
    A pair of similarity 0.85 shares none with a chance of 6e-11.
 3. In a region every pair of sketches is compared in memory and none is sent on: what comes out is a forest that connects the pairs whose
@@ -32,7 +32,7 @@ from .jaccard_join import U, components, joined, mixed, name, sets_of, shingles,
 from .util import of, record, slices, stash, table, word_hashes
 
 LEAST = 85
-SAMPLES, BANDS, BITS = 128, 32, 256
+SAMPLES, BANDS, BITS = 128, 32, 512
 _RNG = np.random.default_rng(11)
 FLIP, TIMES = (_RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)[:, None] for _ in range(2))
 TIMES = TIMES << U(1) | U(1)
