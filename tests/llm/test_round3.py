@@ -154,7 +154,7 @@ def codes(rows, parts=8, entries=16, rounds=6):
     return {i: ("".join(f"{k:02x}" for _, k in f), sum(d for d, _ in f)) for (i, _), f in zip(kept, found, strict=True)}, sha
 
 
-@pytest.mark.parametrize("scale", [0.2, 3e7])
+@pytest.mark.parametrize("scale", [0.2, 3e4])
 def test_vector_codes(spark, scale):
     """Clusters, copies, small and very large values, values at whole numbers, vectors that take no part."""
     rng = np.random.default_rng(4)
