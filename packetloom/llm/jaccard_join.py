@@ -137,19 +137,40 @@ def regions(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     return out
 
 
+def marked(rows: DataFrame, most_bits: int = 26) -> np.ndarray:
+    """A bitmap of 2^most_bits bits at most, with the bit of each row (_id, _fp) set: 16 bits a row while these suffice."""
+    bits = min(most_bits, max(15, (16 * rows.count()).bit_length()))
+    place = F.pmod(F.xxhash64("_id", "_fp"), F.lit(1 << bits)) + 1  # bitmap functions count from 1
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    chunks = rows.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("c")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("b"))
+    for r in chunks.collect():  # 4 KB each
+        out[(r["c"] - 1) << 12 : r["c"] << 12] = np.frombuffer(bytes(r["b"]), np.uint8)
+    return out
+
+
 def sets_of(docs: DataFrame, cids: DataFrame, profile: DataFrame) -> DataFrame:
-    """cid, s: the shingles of the classes named, each from one of its documents."""
+    """cid, s: the shingles of the classes named, each from one of its documents (and of some other classes, by chance).
+
+    A bitmap of bounded size tells which documents to shingle, so that only their sets move and no text does.
+    """
     first = profile.join(cids, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("x"))
-    first = stash(first.select("cid", F.col("x.doc_id").alias("_id"), F.col("x.fp").alias("_fp")), "jaccard-active")
-    texts = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]) & (F.xxhash64(docs["text"]) == first["_fp"])).select("cid", "text")
+    first = stash(first.select(F.col("x.doc_id").alias("_id"), F.col("x.fp").alias("_fp")), "jaccard-active")
+    held = docs.sparkSession.sparkContext.broadcast(marked(first))
+    size = 8 * len(held.value)
 
     def rows(batches):
-        memo, seen = word_hashes(), set()
+        memo, seen, wanted = word_hashes(), set(), held.value
         for batch in slices(batches, 2000):
-            made = [(c, s.view(np.int64)) for c, t in zip(*(batch.column(x).to_pylist() for x in ("cid", "text")), strict=True) if c not in seen and len(s := shingles(t, memo)) and name(s) == c and not seen.add(c)]
+            at = batch.column("at").to_numpy()
+            hit = np.flatnonzero(wanted[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            made = [(name(s), s.view(np.int64)) for t in batch.column("text").take(pa.array(hit)).to_pylist() if len(s := shingles(t, memo))]
+            made = [(c, s) for c, s in made if c not in seen and not seen.add(c)]
             yield record(cid=pa.array([c for c, _ in made], pa.int64()), s=pa.array([s for _, s in made], pa.list_(pa.int64())))
 
-    return stash(texts.mapInArrow(rows, "cid long, s array<long>").groupBy("cid").agg(F.first("s").alias("s")), "jaccard-sets")
+    texts = docs.select("text", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(size)).alias("at"))
+    out = stash(texts.mapInArrow(rows, "cid long, s array<long>").groupBy("cid").agg(F.first("s").alias("s")), "jaccard-sets")
+    held.destroy()
+    return out
 
 
 def far_apart(i, t, least: int = 75):

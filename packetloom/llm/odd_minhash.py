@@ -164,7 +164,7 @@ def near_pairs(rows: DataFrame, classes: DataFrame, bound: int, least: int) -> D
     return by_region.mapInArrow(run, "a long, b long")
 
 
-def found_classes(docs: DataFrame, least: int = LEAST, most: int = 2048, block: int = 8, weight: int = 8_000_000) -> tuple[DataFrame, DataFrame]:
+def found_classes(docs: DataFrame, least: int = LEAST, most: int = 512, block: int = 8, weight: int = 8_000_000) -> tuple[DataFrame, DataFrame]:
     """The profile of each row, and cid, root (the smallest doc_id of its component) of each class."""
     rows = profiles(docs)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
