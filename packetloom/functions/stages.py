@@ -12,6 +12,8 @@ LATERAL_PORTS = [22, 23, 135, 139, 445, 3389, 5900, 5985]
 # Substrings of botnet labels for Impact and Reconnaissance; the rest is command and control.
 BOTNET_IMPACT = ["spam", "smtp", "-ad-", "http-ad", "click", "google", "web-established", "microsoft", "yieldmanager"]
 BOTNET_RECON = ["dns", "attempt", "icmp", "scan"]
+# The letter of each flag in a connection state.
+FLAG_LETTERS = {"syn": "S", "fin": "F", "rst": "R", "psh": "P", "ack": "A", "urg": "U"}
 # Ordered label rules, the first that matches decides.
 RULES = [
     (4, ["c&c", "c2", "beacon"]),
@@ -53,7 +55,15 @@ def protocol(p: Column) -> Column:
 def flag_counts(state: Column) -> dict[str, Column]:
     """Counts of the flag letters in a connection state string."""
     up = F.upper(F.coalesce(state, F.lit("")))
-    return {n: F.regexp_count(up, F.lit(c)).cast("int") for n, c in zip(["syn", "fin", "rst", "psh", "ack", "urg"], "SFRPAU", strict=True)}
+    return {flag: F.regexp_count(up, F.lit(letter)).cast("int") for flag, letter in FLAG_LETTERS.items()}
+
+
+def monitored(ip: Column, prefixes: list[str]) -> Column:
+    """Whether an address begins with any of the prefixes (none: all are monitored)."""
+    out = F.lit(not prefixes)
+    for p in prefixes:
+        out = out | ip.startswith(p)
+    return out
 
 
 def cleaned(x: Column) -> Column:

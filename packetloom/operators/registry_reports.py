@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators import cells, models, reports, risk, sequences
 from packetloom.operators.registry import DENSE, FLOWS, H, KEYS, METHODS, PURGE, SEGW, UP_TO_SCORES, UP_TO_SEGS, UP_TO_TARGETS, W, base, dense, flows, methods, query, scored, segs, targets
-from packetloom.sources import files
+from packetloom.sources import files, normalize
 from packetloom.streaming import cells as live
 
 TRIAGE = """, s AS (SELECT capture, src_ip, run, max((stage > 0)::INT) AS infected, max(risk) AS max_risk, avg(abs(risk - 0.25)) AS mean_surprise FROM scored GROUP BY ALL), m AS (SELECT *, quantile_cont(mean_surprise, 0.5) OVER (PARTITION BY capture) AS mid FROM s),
@@ -36,15 +36,15 @@ def horizon_pairs(spark, d):
 
 @query("a11_cic_layout", base(FLOWS) + """SELECT strftime(make_timestamp((ts * 1000000)::BIGINT), '%d/%m/%Y %H:%M:%S') AS t, proto::VARCHAR AS proto, count(*) AS n, sum(round(duration * 1000000)::BIGINT)::BIGINT AS duration_us FROM flows GROUP BY ALL""")
 def _(spark, d):
-    out = files.to_cic(flows(spark, d))
+    out = normalize.to_cic(flows(spark, d))
     return out.groupBy(F.col("Timestamp").alias("t"), F.col("Protocol").alias("proto")).agg(F.count("*").alias("n"), F.sum(F.col("Flow Duration").cast("long")).alias("duration_us"))
 
 
 @query("a2_from_cic", base(FLOWS) + "SELECT floor(ts)::BIGINT AS second, src_ip, dst_port::BIGINT AS dst_port, fwd_pkts::BIGINT AS fwd_pkts, stage_own::BIGINT AS stage, round(duration, 6) + 0.0 AS duration FROM (SELECT *, raw_stage AS stage_own FROM flows) WHERE event_id % 97 <> 0")
 def _(spark, d):
     f = flows(spark, d)
-    raw = files.to_cic(f.where("event_id % 97 <> 0")).unionByName(files.to_cic(f.where("event_id % 97 = 0")).withColumn("Timestamp", F.lit("not-a-date")))
-    out = files.from_cic(raw)
+    raw = normalize.to_cic(f.where("event_id % 97 <> 0")).unionByName(normalize.to_cic(f.where("event_id % 97 = 0")).withColumn("Timestamp", F.lit("not-a-date")))
+    out = normalize.flows(raw)
     return out.select(F.floor("ts").alias("second"), "src_ip", *[F.col(c).cast("long").alias(c) for c in ("dst_port", "fwd_pkts", "stage")], "duration")
 
 

@@ -151,7 +151,7 @@ def test_sample_keeps_small_tables(spark):
 def test_csv_scan_and_sink(spark, tmp_path):
     (tmp_path / "in" / "CTU-13-Dataset" / "7").mkdir(parents=True)
     (tmp_path / "in" / "CTU-13-Dataset" / "7" / "a.csv").write_text("Timestamp,Dst Port,Protocol,Flow Duration,Label\n01/02/2018 10:00:00,443,TCP,2000000,Benign\nTimestamp,Dst Port,Protocol,Flow Duration,Label\nnot-a-date,1,6,1,Bot\n01/02/2018 10:00:01,Infinity,17,-1,PortScan\n")
-    out = files.from_cic(files.scan(spark, str(tmp_path / "in"))).orderBy("ts").collect()
+    out = files.scan(spark, str(tmp_path / "in")).orderBy("ts").collect()
     assert [(r["dst_port"], r["proto"], r["duration"], r["stage"], r["capture"]) for r in out] == [(443, 6, 2, 0, "7"), (0, 17, 0, 1, "7")]
     df = spark.createDataFrame([("a", 1), ("b", 2)], "capture string, x int")
     for rows in (df.where("capture = 'a'"), df):
