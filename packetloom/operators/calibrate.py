@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.operators import scans
 from packetloom.operators.metrics import cumulated, ranking, ratio, thresholds
 from packetloom.operators.risk import draw
 
@@ -67,7 +68,7 @@ def best_run(results: DataFrame) -> DataFrame:
 def bootstrap(scores: DataFrame, threshold: float, unit: list[str], replicates: int = 200, digits: int = 2) -> DataFrame:
     """metric, low, high: 2.5 and 97.5 % points of f1, recall, fpr and ap over resampled units. Columns unit, y, score; ap on scores at so many digits."""
     held = scores.groupBy(*unit, to_digits(F.col("score"), digits).alias("score"), (F.col("score") >= threshold).alias("on")).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    units = scores.select(*unit).distinct().withColumn("_i", F.row_number().over(Window.orderBy(*unit)) - 1)  # one row for each unit
+    units = scans.ranked(scores.select(*unit).distinct(), [], unit, "_i")
     count = units.count()
     picks = scores.sparkSession.range(replicates * count).select(F.floor(F.col("id") / count).alias("b"), F.floor(draw(F.floor(F.col("id") / count), F.pmod("id", F.lit(count))) * count).alias("_i"))
     weights = picks.groupBy("b", "_i").agg(F.count("*").alias("w"))

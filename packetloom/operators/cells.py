@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.stages import EXPLOIT
+from packetloom.operators import scans
 
 HOST = ["capture", "src_ip"]
 KEYS = [*HOST, "wid"]
@@ -75,18 +76,20 @@ def entropy(flows: DataFrame, seconds: int, value: str, keys: list[str] | None =
 
 
 def beacon(flows: DataFrame, seconds: int, keys: list[str] | None = None) -> DataFrame:
-    """Per cell: the most regular conversation by gaps over half a second (three at least)."""
+    """Per cell: the most regular conversation by gaps over half a second (three at least). A conversation's windows are blocks of their own."""
     talk = ["capture", "src_ip", "dst_ip", "dst_port"]
-    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy(*talk).orderBy("ts", "event_id"))
-    g = windowed(flows, seconds).withColumn("gap", gap).where("gap > 0.5").groupBy(*dict.fromkeys([*(keys or KEYS), *talk])).agg(F.count("*").alias("n"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("s"))
+    used = windowed(flows, seconds).select(*dict.fromkeys([*(keys or KEYS), *talk, "ts", "event_id"]))
+    g = scans.lagged(used, talk, F.col("wid"), ["ts", "event_id"], {"before": "ts"}).withColumn("gap", F.col("ts") - F.col("before")).where("gap > 0.5")
+    g = g.groupBy(*dict.fromkeys([*(keys or KEYS), *talk])).agg(F.count("*").alias("n"), F.avg("gap").alias("m"), F.stddev_samp("gap").alias("s"))
     return g.where("n >= 3").groupBy(*(keys or KEYS)).agg(F.max(1 / (1 + F.col("s") / F.col("m")) * F.least(F.col("n") / 6, F.lit(1.0))).alias("beacon_score"))
 
 
-def scan_shape(flows: DataFrame, seconds: int, keys: list[str] | None = None) -> DataFrame:
-    """Per cell: steps between the ports of consecutive flows."""
+def scan_shape(flows: DataFrame, seconds: int, keys: list[str] | None = None, blocks: int = 16) -> DataFrame:
+    """Per cell: steps between the ports of consecutive flows. A cell's time falls into blocks."""
     keys = keys or KEYS
-    step = F.abs(F.col("dst_port") - F.lag("dst_port").over(Window.partitionBy(*keys).orderBy("ts", "event_id")))
-    s = windowed(flows, seconds).withColumn("step", step).where("step > 0")
+    used = windowed(flows, seconds).select(*dict.fromkeys([*keys, "ts", "event_id", "dst_port"]))
+    s = scans.lagged(used, keys, F.floor(F.col("ts") * F.lit(blocks / seconds)), ["ts", "event_id"], {"before": "dst_port"})
+    s = s.withColumn("step", F.abs(F.col("dst_port") - F.col("before"))).where("step > 0")
     return s.groupBy(*keys).agg(F.log1p(F.avg("step")).alias("scan_step_mean"), F.avg((F.col("step") <= 2).cast("int")).alias("scan_seq_frac"))
 
 
@@ -112,14 +115,25 @@ def select_hosts(cells: DataFrame, most_benign: int, least_active: int) -> DataF
     return cells.join(kept, HOST, "left_semi")
 
 
-def segments(cells: DataFrame, gap: int) -> DataFrame:
-    """Runs of cells (silence over gap splits), filled with empty cells in between."""
-    w = Window.partitionBy(*HOST).orderBy("wid")
-    cut = F.when(F.col("wid") - F.lag("wid").over(w) > gap, 1).otherwise(0)
-    runs = cells.withColumn("_cut", cut).withColumn("run", F.sum("_cut").over(w)).drop("_cut")
-    full = runs.groupBy(*SEGMENT).agg(F.explode(F.sequence(F.min("wid"), F.max("wid"))).alias("wid"))
-    rest = [c for c in runs.columns if c not in (*SEGMENT, "wid")]
-    joined = full.join(runs, [*SEGMENT, "wid"], "left")
+def runs(cells: DataFrame, gap: int, block: int = 4096) -> DataFrame:
+    """HOST, run, first, last: runs of cells that silence over gap splits. Only cells that begin a block of wids or follow a silence meet in a window over their host."""
+    w = Window.partitionBy(*HOST, "_block").orderBy("wid")
+    local = cells.select(*HOST, "wid").withColumn("_block", F.floor(F.col("wid") / block))
+    local = local.select(*HOST, "wid", F.lag("wid").over(w).alias("_near"), F.max("wid").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_end"))
+    edges = local.where(F.col("_near").isNull() | (F.col("wid") - F.col("_near") > gap))
+    up = Window.partitionBy(*HOST).orderBy("wid")
+    edges = edges.withColumn("_prev", F.coalesce("_near", F.lag("_end").over(up))).withColumn("_host_end", F.max("_end").over(Window.partitionBy(*HOST)))
+    starts = edges.where(F.col("_prev").isNull() | (F.col("wid") - F.col("_prev") > gap))
+    return starts.select(*HOST, (F.row_number().over(up) - 1).cast("long").alias("run"), F.col("wid").alias("first"), F.coalesce(F.lead("_prev").over(up), F.col("_host_end")).alias("last"))
+
+
+def segments(cells: DataFrame, gap: int, block: int = 4096) -> DataFrame:
+    """Runs of cells (silence over gap splits), filled with empty cells in between. Long runs are filled block by block."""
+    each = runs(cells, gap, block).withColumn("_block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))))
+    span = F.sequence(F.greatest("first", F.col("_block") * block), F.least("last", F.col("_block") * block + block - 1))
+    full = each.repartition(*HOST, "_block").select(*SEGMENT, F.explode(span).alias("wid"))
+    rest = [c for c in cells.columns if c not in (*HOST, "wid")]
+    joined = full.join(cells, [*HOST, "wid"], "left")
     return joined.select(*SEGMENT, "wid", F.col("n_flows").isNull().alias("is_filled"), *[F.coalesce(F.col(c), F.lit(1 if c.endswith("_missing") else 0)).alias(c) for c in rest]).withColumn("stage", dominant_stage())
 
 
@@ -137,21 +151,14 @@ def targets(segs: DataFrame, horizon: int) -> DataFrame:
 
 
 def ema(df: DataFrame, column: str, span: int, name: str, block: int = 256) -> DataFrame:
-    """The recursive mean y0 = x0, y = (1 - a) y + a x per segment, by blocked prefix sums (linear, no recursion)."""
-    a = 2 / (span + 1)
-    b = 1 - a
-    w = in_segment()
-    u = df.withColumn("_pos", F.row_number().over(w) - 1).withColumn("_blk", F.floor(F.col("_pos") / block)).withColumn("_j", F.col("_pos") % block)
-    u = u.withColumn("_c", F.col(column) * F.when(F.col("_pos") == 0, 1.0).otherwise(a))
-    own = F.sum(F.col("_c") * F.pow(F.lit(b), -F.col("_j"))).over(Window.partitionBy(*SEGMENT, "_blk").orderBy("_pos"))
-    before = F.sum(F.col("_c") * F.pow(F.lit(b), block - 1 - F.col("_j"))).over(Window.partitionBy(*SEGMENT).orderBy("_blk").rangeBetween(-1, -1))
-    return u.withColumn(name, F.pow(F.lit(b), F.col("_j")) * own + F.pow(F.lit(b), F.col("_j") + 1) * F.coalesce(before, F.lit(0.0))).drop("_pos", "_blk", "_j", "_c")
+    """The recursive mean y0 = x0, y = (1 - a) y + a x per segment (a row for each wid), by blocks of wids."""
+    return scans.decayed(df, SEGMENT, "wid", [(column, span, name)], block=block)
 
 
 def multi_scale(segs: DataFrame, column: str, short: int, long: int) -> DataFrame:
     """column with its burst (deviation from the short mean one cell before) and trend (long mean)."""
-    out = ema(ema(segs, column, short, "_short"), column, long, "trend")
-    return out.withColumn("burst", F.col(column) - F.coalesce(F.lag("_short").over(in_segment()), F.col(column))).drop("_short")
+    out = scans.decayed(segs, SEGMENT, "wid", [(column, short, "_short"), (column, long, "trend")], before=True)
+    return out.withColumn("burst", F.col(column) - F.coalesce("__short", F.col(column))).drop("_short", "__short", "_trend")
 
 
 def temporal_split(df: DataFrame, train: float, val: float, purge: int) -> DataFrame:
@@ -187,9 +194,8 @@ def merged(cells: DataFrame, tie: str, keys: list[str] | None = None) -> DataFra
 
 
 def numbered(segs: DataFrame) -> DataFrame:
-    """segs with `segment`, a dense number of its segment in the order of the key; only the distinct segments are ordered."""
-    ids = segs.select(*SEGMENT).distinct().withColumn("segment", F.dense_rank().over(Window.orderBy(*SEGMENT)) - 1)
-    return segs.join(ids, SEGMENT)
+    """segs with `segment`, a dense number of its segment in the order of the key; only the distinct segments are sorted."""
+    return segs.join(scans.ranked(segs.select(*SEGMENT).distinct(), [], SEGMENT, "segment"), SEGMENT)
 
 
 def scaled(df: DataFrame, columns: list[str], params: DataFrame) -> DataFrame:
@@ -200,16 +206,19 @@ def scaled(df: DataFrame, columns: list[str], params: DataFrame) -> DataFrame:
 
 
 def scaler_table(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """column, center, scale. accuracy: quantiles with relative error 1 / accuracy, in bounded memory; else exact."""
-    p = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = lambda c: F.percentile_approx(c, p, accuracy) if accuracy else F.percentile(c, p)
-    each = df.agg(*[F.struct(F.lit(c).alias("column"), q(c).alias("q"), F.stddev_pop(c).alias("s")).alias(c) for c in columns]).select(F.explode(F.array(*columns)).alias("x")).select("x.*")
-    iqr = F.col("q")[2] - F.col("q")[0]
-    return each.select("column", F.col("q")[1].alias("center"), F.when(iqr > 1e-6, iqr).when(F.col("s") > 1e-6, F.col("s")).otherwise(1.0).alias("scale"))
+    """column, center (median), scale (IQR, else population deviation, else 1). accuracy: quantiles with relative error 1 / accuracy from one pass; else exact."""
+    spread = df.agg(*[F.stddev_pop(c).alias(c) for c in columns]).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in columns])).alias("x")).select("x.*")
+    if accuracy:
+        p = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        q = df.agg(*[F.struct(F.lit(c).alias("column"), F.percentile_approx(c, p, accuracy).alias("q")).alias(c) for c in columns]).select(F.explode(F.array(*columns)).alias("x")).select("x.*")
+        q = q.select("column", *[F.col("q")[i].alias(n) for i, n in enumerate(("low", "middle", "high"))])
+    else:
+        q = scans.quantiles(df, [], columns, 4, [1, 2, 3])
+        q = q.groupBy("column").agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(n) for i, n in ((1, "low"), (2, "middle"), (3, "high"))])
+    iqr = F.col("high") - F.col("low")
+    return q.join(spread, "column").select("column", F.col("middle").alias("center"), F.when(iqr > 1e-6, iqr).when(F.col("s") > 1e-6, F.col("s")).otherwise(1.0).alias("scale"))
 
 
 def scaler(df: DataFrame, column: str) -> DataFrame:
-    """Median and scale (IQR, else population deviation, else 1): one row."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_pop(column).alias("s"))
-    iqr = F.col("q")[2] - F.col("q")[0]
-    return q.select(F.col("q")[1].alias("center"), F.when(iqr > 1e-6, iqr).when(F.col("s") > 1e-6, F.col("s")).otherwise(1.0).alias("scale"))
+    """The center and scale of one column: one row."""
+    return scaler_table(df, [column]).drop("column")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.operators import scans
 from packetloom.operators.cells import in_segment
 
 
@@ -38,18 +39,18 @@ def ranking(scores: DataFrame, by: list[str]) -> DataFrame:
 
 
 def thresholds(scores: DataFrame, max_fpr: float, by: list[str], candidates: int = 501) -> DataFrame:
-    """The threshold of best F1 under a false-positive budget, or of the lowest false-positive rate where none holds it; the least on ties, among quantiles of the scores."""
-    q = scores.groupBy(*by).agg(F.array_distinct(F.percentile("score", F.array(*[F.lit(i / (candidates - 1)) for i in range(candidates)]))).alias("q"), F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    bucket = scores.join(F.broadcast(q), by).withColumn("b", F.size(F.filter("q", lambda t: t <= F.col("score"))))
-    c = bucket.groupBy(*by, "b").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    cand = q.select(*by, "pos", "neg", F.posexplode("q").alias("i", "t")).withColumn("b", F.col("i") + 1).join(c, [*by, "b"], "left").na.fill(0, ["p", "n"])
-    w = Window.partitionBy(*by).orderBy(F.desc("b"))
-    cand = cand.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
+    """The threshold of best F1 under a false-positive budget, or of the lowest false-positive rate where none holds it; the least on ties, among quantiles of the scores.
+    Candidates join the distinct scores as rows without labels, and one running sum from the best score down counts what each would flag."""
+    g = scores.groupBy(*by, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+    asked = scans.quantiles(scores, by, ["score"], candidates - 1).select(*by, F.col("value").alias("score"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked"))
+    g = g.withColumn("asked", F.lit(0)).unionByName(asked).groupBy(*by, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    cand = cumulated(g, by, {"p": "tp", "n": "fp"}).where("asked = 1").drop("p", "n")
+    cand = cand.join(scores.groupBy(*by).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), by)
     f1 = F.round(ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos")), 9)
     cand = cand.withColumn("f1", f1).withColumn("fpr", ratio(F.col("fp"), F.col("neg")))
     holds = F.col("fpr") <= max_fpr
-    rank = F.struct(holds.alias("holds"), F.when(holds, F.col("f1")).otherwise(-F.col("fpr")).alias("worth"), (-F.col("t")).alias("least"))
-    best = cand.groupBy(*by).agg(F.max_by(F.struct(F.col("t").alias("threshold"), "f1", "fpr"), rank).alias("x"))
+    rank = F.struct(holds.alias("holds"), F.when(holds, F.col("f1")).otherwise(-F.col("fpr")).alias("worth"), (-F.col("score")).alias("least"))
+    best = cand.groupBy(*by).agg(F.max_by(F.struct(F.col("score").alias("threshold"), "f1", "fpr"), rank).alias("x"))
     return best.select(*by, "x.*")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.stages import EXPLOIT, severity
+from packetloom.operators import scans
 from packetloom.operators.cells import HOST, SEGMENT, in_segment
 
 
@@ -104,10 +105,10 @@ def alerts(scored: DataFrame, threshold: float, min_run: int, seconds: int) -> D
 
 
 def robust_z(df: DataFrame, column: str, groups: list[str]) -> DataFrame:
-    mid = df.groupBy(*groups).agg(F.percentile(column, 0.5).alias("_mid"))
-    off = df.join(mid, groups)
-    mad = off.groupBy(*groups).agg(F.percentile(F.abs(F.col(column) - F.col("_mid")), 0.5).alias("_mad"))
-    return off.join(mad, groups).withColumn("z", (F.col(column) - F.col("_mid")) / (1.4826 * F.col("_mad") + 1e-6)).drop("_mid", "_mad")
+    """df with z: the distance from the group's median in units of its median absolute deviation."""
+    median = lambda rows, c, name: scans.quantiles(rows, groups, [c], 2, [1]).select(*groups, F.col("value").alias(name))
+    off = df.join(median(df, column, "_mid"), groups, "left").withColumn("_off", F.abs(F.col(column) - F.col("_mid")))
+    return off.join(median(off, "_off", "_mad"), groups, "left").withColumn("z", (F.col(column) - F.col("_mid")) / (1.4826 * F.col("_mad") + 1e-6)).drop("_mid", "_mad", "_off")
 
 
 def triage(scored: DataFrame, threshold: float, z: float) -> DataFrame:
@@ -182,13 +183,12 @@ def heat(paths: DataFrame) -> DataFrame:
 
 def belief_shift(df: DataFrame, columns: list[str], short: int, long: int, least: float = 0.01) -> DataFrame:
     """df with shift: the divergence of a Gaussian of recent cells from one of many cells, summed over columns; variances are `least` at least."""
-    from packetloom.operators.cells import ema
-
-    total = F.lit(0.0)
+    df, total, means = df, F.lit(0.0), []
+    for c in columns:
+        df = df.withColumn(f"_sq_{c}", F.col(c) * F.col(c))
+        means += [(x, span, f"_{m}{tag}_{c}") for span, tag in ((short, "s"), (long, "l")) for x, m in ((c, "m"), (f"_sq_{c}", "q"))]
+    df = scans.decayed(df, SEGMENT, "wid", means)
     for c in columns:
-        df = df.withColumn("_sq", F.col(c) * F.col(c))
-        for span, tag in ((short, "s"), (long, "l")):
-            df = ema(ema(df, c, span, f"_m{tag}_{c}"), "_sq", span, f"_q{tag}_{c}")
         vs, vl = (F.greatest(F.col(f"_q{t}_{c}") - F.col(f"_m{t}_{c}") * F.col(f"_m{t}_{c}"), F.lit(least)) for t in "sl")
         total = total + F.log(F.sqrt(vl) / F.sqrt(vs)) + (vs + F.pow(F.col(f"_ms_{c}") - F.col(f"_ml_{c}"), F.lit(2.0))) / (2 * vl) - 0.5
-    return df.withColumn("shift", total).drop("_sq", *[f"_{a}{t}_{c}" for c in columns for a in "mq" for t in "sl"])
+    return df.withColumn("shift", total).drop(*[f"_sq_{c}" for c in columns], *[name for _, _, name in means])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.operators import scans
 from packetloom.operators.cells import SEGMENT, in_segment
 from packetloom.operators.risk import draw
 
@@ -61,9 +62,8 @@ def surge(df: DataFrame, columns: list[str], least: float, most: float) -> DataF
 
 def episode_split(df: DataFrame, train: float, val: float) -> DataFrame:
     """Whole segments of a capture to train, val, test in order of their first cell."""
-    first = df.groupBy(*SEGMENT).agg(F.min("wid").alias("_first"))
-    place = F.row_number().over(Window.partitionBy("capture").orderBy("_first", *SEGMENT)) - 1
-    first = first.withColumn("_i", place).withColumn("_n", F.count("*").over(Window.partitionBy("capture")))
+    first = scans.ranked(df.groupBy(*SEGMENT).agg(F.min("wid").alias("_from")), ["capture"], ["_from", "src_ip", "run"], "_i")
+    first = first.join(first.groupBy("capture").agg(F.count("*").alias("_n")), "capture")
     a = F.greatest(F.bround(F.col("_n") * F.lit(train)), F.lit(1.0))
     b = F.greatest(F.least(F.bround(F.col("_n") * F.lit(train + val)), F.col("_n") - 1), F.lit(1.0))
     named = first.select(*SEGMENT, F.when(F.col("_i") < a, "train").when(F.col("_i") < b, "val").otherwise("test").alias("split_temporal"))
