@@ -331,3 +331,15 @@ def _(spark, d):
 @query("i16_ablation", base(*UP_TO_SCORES, PARTED) + f", m AS (SELECT combo, y, round(s, 6) AS score FROM (SELECT y, unnest(['direct', 'direct+markov', 'direct+rollout+markov']) AS combo, unnest([direct, (direct + markov) / 2, (direct + rollout + markov) / 3]) AS s FROM parted)) SELECT combo, round(ap, 6) AS ap, round(auc, 6) AS auc FROM {AP('combo', 'm')}")
 def _(spark, d):
     return evaluate.ablation(parted(spark, d), {"direct": ["direct"], "direct+markov": ["direct", "markov"], "direct+rollout+markov": PARTS})
+
+
+GRID = [(n, k) for n in (1, 8, 32) for k in (2, 5, 10)]
+
+
+@query("i16_rollout_grid", base(*UP_TO_SEGS, MARKOV) + ROLLOUT + ", each AS (" + " UNION ALL ".join(f"SELECT capture, src_ip, run, wid, {n}::BIGINT AS particles, {k}::BIGINT AS steps, avg(soft) AS risk_rollout, avg((hit IS NOT NULL)::INT) AS hit_share, coalesce(quantile_cont(hit, 0.5), -1) AS eta FROM roll WHERE k = {k} AND q < {n} GROUP BY ALL" for n, k in GRID)
+       + ") SELECT capture, particles, steps, count(*) AS cells, round(avg(risk_rollout), 6) + 0.0 AS risk_rollout, round(avg(hit_share), 6) + 0.0 AS hit_share, round(avg(eta), 6) + 0.0 AS eta, round(max(eta), 6) + 0.0 AS eta_max FROM each GROUP BY ALL")
+def _(spark, d):
+    """Particles and horizons of an ablation, all from one run of the largest."""
+    s = segs(spark, d)
+    out = risk.rollout_grid(s, risk.matrix(risk.transitions(s)), [1, 8, 32], [2, 5, 10], H + 1)
+    return out.groupBy("capture", "particles", "steps").agg(F.count("*").alias("cells"), F.avg("risk_rollout").alias("risk_rollout"), F.avg("hit_share").alias("hit_share"), F.avg("eta").alias("eta"), F.max("eta").alias("eta_max"))

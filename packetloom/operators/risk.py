@@ -68,31 +68,53 @@ def stage_paths(states: DataFrame, p: list[list[float]], steps: int) -> DataFram
     return states.select(*SEGMENT, "wid", F.explode(F.array(*cell)).alias("x")).select(*SEGMENT, "wid", "x.*")
 
 
-def rollout(states: DataFrame, p: list[list[float]], particles: int, steps: int) -> DataFrame:
-    """Per cell: Monte-Carlo risk, share of particles that hit, and median steps to a hit (-1 without)."""
-    cum = []
-    for row in p:
-        total, out = 0.0, []
-        for x in row:
-            total += x
-            out.append(total)
-        cum.append(out)
-    table = F.array(*[F.array(*map(F.lit, r)) for r in cum])
-    soft = F.array(*[F.lit(sum(r[j] for j in EXPLOIT)) for r in p])
-    pick = lambda row, u: F.least(F.size(F.filter(row, lambda c: c <= u)), F.lit(6))
+def walked(states: DataFrame, p: list[list[float]], particles: int, steps: int, stride: int | None = None) -> DataFrame:
+    """SEGMENT, wid, particle and the sampled stages s0 to s<steps> of each. Draws go by cell and particle * stride + step, so runs of one stride share them."""
+    ends = [[sum(row[: j + 1]) for j in range(7)] for row in p]
+    key, b, stride = [*HOST, "wid"], belief(), stride or steps + 1
+    passed = [F.array(*[F.lit(ends[i][j]) for i in range(7)]) for j in range(6)]  # by the stage before; the seventh stage is what is left
     spread = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = states.repartition(spread, *HOST, "wid").withColumn("particle", F.explode(F.sequence(F.lit(0), F.lit(particles - 1))))
-    b = belief()
-    start = F.array(*[sum(b[1 : i + 1], b[0]) for i in range(7)])
-    key = [*HOST, "wid"]
-    run = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(pick(start, draw(F.col("particle") * (steps + 1), *key)).alias("s"), F.lit(0.0).alias("soft"), F.lit(None).cast("int").alias("hit")), lambda a, k: _step(a, k, table, soft, pick, draw(F.col("particle") * (steps + 1) + k, *key)))
-    runs = cells.withColumn("r", run)
-    return runs.groupBy(*SEGMENT, "wid").agg(F.avg("r.soft").alias("risk_rollout"), F.avg(F.col("r.hit").isNotNull().cast("int")).alias("hit_share"), F.coalesce(F.percentile("r.hit", 0.5), F.lit(-1.0)).alias("eta"))
+    out = states.repartition(spread, *key).select(*SEGMENT, "wid", *[sum(b[1 : j + 1], b[0]).alias(f"_b{j}") for j in range(6)], F.explode(F.sequence(F.lit(0), F.lit(particles - 1))).alias("particle"))
+    out = out.select(*SEGMENT, "wid", "particle", *[f"_b{j}" for j in range(6)], *[draw(F.col("particle") * stride + k, *key).alias(f"_u{k}") for k in range(steps + 1)])
+    below = lambda limits, k: sum(((x <= F.col(f"_u{k}")).cast("int") for x in limits[1:]), (limits[0] <= F.col(f"_u{k}")).cast("int"))
+    out = out.withColumn("s0", below([F.col(f"_b{j}") for j in range(6)], 0))
+    for k in range(1, steps + 1):
+        out = out.withColumn(f"s{k}", below([F.element_at(x, F.col(f"s{k - 1}") + 1) for x in passed], k))
+    return out.select(*SEGMENT, "wid", "particle", *[f"s{k}" for k in range(steps + 1)])
+
+
+def summed_walks(walks: DataFrame, p: list[list[float]], particles: list[int], steps: list[int]) -> DataFrame:
+    """Per cell, number of particles and number of steps: risk, share of particles that hit, median steps to a hit (-1 without). All numbers come from one pass:
+    fewer particles are the first ones, fewer steps are the first ones, and medians follow from counts of hits by step."""
+    table = F.array(*[F.lit(sum(r[j] for j in EXPLOIT)) for r in p])
+    soft = lambda k: F.element_at(table, F.col(f"s{k}") + 1)
+    hit = F.coalesce(*[F.when(F.col(f"s{k}") >= 2, k) for k in range(1, max(steps) + 1)])
+    out = walks.select(*SEGMENT, "wid", "particle", hit.alias("_hit"), *[(F.greatest(*map(soft, range(k))) if k > 1 else soft(0)).alias(f"_soft{k}") for k in steps])
+    sums = []
+    for n in particles:
+        mine = F.col("particle") < n
+        sums += [F.sum(F.when(mine, F.col(f"_soft{k}"))).alias(f"_r{n}_{k}") for k in steps] + [F.count_if(mine & (F.col("_hit") == j)).alias(f"_n{n}_{j}") for j in range(1, max(steps) + 1)]
+    out = out.groupBy(*SEGMENT, "wid").agg(*sums)
+    for j in range(2, max(steps) + 1):  # running counts
+        out = out.withColumns({f"_n{n}_{j}": F.col(f"_n{n}_{j - 1}") + F.col(f"_n{n}_{j}") for n in particles})
+
+    def cell(n, k):
+        *ends, total = [F.col(f"_n{n}_{j}") for j in range(1, k + 1)]
+        value = lambda place: sum(((e <= place).cast("int") for e in ends), F.lit(1))
+        middle = (value(F.floor((total - 1) / F.lit(2))) + value(F.ceil((total - 1) / F.lit(2)))) / F.lit(2.0)
+        return F.struct(F.lit(n).alias("particles"), F.lit(k).alias("steps"), (F.col(f"_r{n}_{k}") / n).alias("risk_rollout"), (total / n).alias("hit_share"), F.when(total > 0, middle).otherwise(-1.0).alias("eta"))
+
+    return out.select(*SEGMENT, "wid", F.explode(F.array(*[cell(n, k) for n in particles for k in steps])).alias("x")).select(*SEGMENT, "wid", "x.*")
+
+
+def rollout(states: DataFrame, p: list[list[float]], particles: int, steps: int, stride: int | None = None) -> DataFrame:
+    """Per cell: Monte-Carlo risk, share of particles that hit, and median steps to a hit (-1 without)."""
+    return summed_walks(walked(states, p, particles, steps, stride), p, [particles], [steps]).drop("particles", "steps")
 
 
-def _step(a, k, table, soft, pick, u):
-    s = pick(F.element_at(table, a["s"] + 1), u)
-    return F.struct(s.alias("s"), F.greatest(a["soft"], F.element_at(soft, a["s"] + 1)).alias("soft"), F.coalesce(a["hit"], F.when(s >= 2, k)).alias("hit"))
+def rollout_grid(states: DataFrame, p: list[list[float]], particles: list[int], steps: list[int], stride: int | None = None) -> DataFrame:
+    """The rollout of each number of particles and steps, from one run of the largest; columns particles and steps tell which."""
+    return summed_walks(walked(states, p, max(particles), max(steps), stride), p, sorted(particles), sorted(steps))
 
 
 def alerts(scored: DataFrame, threshold: float, min_run: int, seconds: int) -> DataFrame:
@@ -130,33 +152,30 @@ def forecast_stage(states: DataFrame, p: list[list[float]], steps: int) -> DataF
     return states.select(*SEGMENT, "wid", (-best["j"]).alias("forecast_stage"))
 
 
-def _paths(states: DataFrame, p: list[list[float]], particles: int, steps: int) -> DataFrame:
-    """Cells by particle with the sampled stages (path) and the chance of exploitation before each step (soft); draws as in rollout."""
-    ends = [[sum(row[: j + 1]) for j in range(7)] for row in p]
-    table, soft = F.array(*[F.array(*map(F.lit, r)) for r in ends]), F.array(*[F.lit(sum(r[j] for j in EXPLOIT)) for r in p])
-    pick = lambda row, u: F.least(F.size(F.filter(row, lambda c: c <= u)), F.lit(6))
-    key, b = [*HOST, "wid"], belief()
-    start = F.array(*[sum(b[1 : i + 1], b[0]) for i in range(7)])
-    none = F.struct(pick(start, draw(F.col("particle") * (steps + 1), *key)).alias("s"), F.array().cast("array<int>").alias("path"), F.array().cast("array<double>").alias("soft"))
-
-    def step(a, k):
-        s = pick(F.element_at(table, a["s"] + 1), draw(F.col("particle") * (steps + 1) + k, *key))
-        return F.struct(s.alias("s"), F.concat(a["path"], F.array(s)).alias("path"), F.concat(a["soft"], F.array(F.element_at(soft, a["s"] + 1))).alias("soft"))
-
-    spread = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = states.repartition(spread, *HOST, "wid").withColumn("particle", F.explode(F.sequence(F.lit(0), F.lit(particles - 1))))
-    return cells.withColumn("r", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), none, step)).select(*SEGMENT, "wid", "particle", "r.path", "r.soft")
-
-
 def rollout_paths(states: DataFrame, p: list[list[float]], particles: int, steps: int) -> DataFrame:
     """A row for each cell, particle and step k: the sampled stage."""
-    return _paths(states, p, particles, steps).select(*SEGMENT, "wid", "particle", F.posexplode("path").alias("k", "stage")).withColumn("k", F.col("k") + 1)
+    path = F.posexplode(F.array(*[F.col(f"s{k}") for k in range(1, steps + 1)])).alias("k", "stage")
+    return walked(states, p, particles, steps).select(*SEGMENT, "wid", "particle", path).withColumn("k", F.col("k") + 1)
 
 
 def fan(states: DataFrame, p: list[list[float]], particles: int, steps: int) -> DataFrame:
-    """low, mid, high: the 10, 50 and 90 % points of the particles' chance of exploitation at each step."""
-    each = _paths(states, p, particles, steps).select(*SEGMENT, "wid", F.posexplode("soft").alias("k", "v")).withColumn("k", F.col("k") + 1)
-    return each.groupBy(*SEGMENT, "wid", "k").agg(*[F.percentile("v", q).alias(c) for q, c in ((0.1, "low"), (0.5, "mid"), (0.9, "high"))])
+    """low, mid, high: the 10, 50 and 90 % points of the particles' chance of exploitation at each step. A particle's chance is one of
+    seven, by its stage before, so points follow from counts by stage."""
+    chance = [sum(r[j] for j in EXPLOIT) for r in p]
+    order = sorted(range(7), key=lambda i: chance[i])
+    counts = [F.count_if(F.col(f"s{k}") == i).alias(f"_n{k}_{i}") for k in range(steps) for i in range(7)]
+    out = walked(states, p, particles, steps).groupBy(*SEGMENT, "wid").agg(*counts)
+    out = out.select(*SEGMENT, "wid", F.explode(F.array(*[F.struct(F.lit(k + 1).alias("k"), *[F.col(f"_n{k}_{i}").alias(f"n{i}") for i in order]) for k in range(steps)])).alias("x")).select(*SEGMENT, "wid", "x.*")
+    for a, b in zip(order, order[1:], strict=False):  # running counts
+        out = out.withColumn(f"n{b}", F.col(f"n{a}") + F.col(f"n{b}"))
+
+    def at(q):
+        place = (particles - 1) * q
+        lower, upper = int(place), int(place) + (place > int(place))
+        value = lambda x: F.element_at(F.array(*[F.lit(chance[i]) for i in order]), sum(((F.col(f"n{i}") <= x).cast("int") for i in order[:-1]), F.lit(1)))
+        return (upper - place) * value(lower) + (place - lower) * value(upper) if upper > lower else value(lower)
+
+    return out.select(*SEGMENT, "wid", "k", *[at(q).alias(c) for q, c in ((0.1, "low"), (0.5, "mid"), (0.9, "high"))])
 
 
 def signed(z: DataFrame, target: Column, threshold: float) -> DataFrame:
