@@ -43,6 +43,24 @@ def causality(df: DataFrame, column: str, pipeline: Callable[[DataFrame], DataFr
     return both.agg(F.count_if(before).alias("kept"), F.count_if(before & moved).alias("changed_before"), (F.count_if(~before & moved) > 0).alias("reacts"))
 
 
+def shared_captures(df: DataFrame, column: str, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """left, right, capture: the captures that two splits have in common."""
+    mine = {s: df.where(F.col(column) == s).select("capture") for s in splits}
+    out = None
+    for i, a in enumerate(splits):
+        for b in splits[i + 1 :]:
+            both = mine[a].intersect(mine[b]).select(F.lit(a).alias("left"), F.lit(b).alias("right"), "capture")
+            out = both if out is None else out.unionByName(both)
+    return out
+
+
+def truncation(df: DataFrame, pipeline: Callable[[DataFrame], DataFrame], outputs: list[str], cut: int) -> DataFrame:
+    """The rows (key and outputs, rounded) up to wid `cut` that the pipeline gives for all of df but not for df without what follows the cut: what its
+    outputs know of the future. Causal outputs give no rows."""
+    seen = lambda rows: rows.where(F.col("wid") <= cut).select(*SEGMENT, "wid", *[F.round(F.col(c).cast("double"), 9).alias(c) for c in outputs])
+    return seen(pipeline(df)).exceptAll(seen(pipeline(df.where(F.col("wid") <= cut))))
+
+
 def out_of_distribution(df: DataFrame, score: Callable[[DataFrame], Column], threshold: float, volumes: list[str], shifts: dict[str, float], factor: float = 5.0) -> DataFrame:
     """variant, rate, fine: alert rates on benign segments as they are, with a flash crowd (log volumes raised) and with features shifted; fine up to
     three times the original rate, 5 % at least."""

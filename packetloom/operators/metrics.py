@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.operators import scans
 from packetloom.operators.cells import in_segment
+from packetloom.sources import shared
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -41,11 +42,12 @@ def ranking(scores: DataFrame, by: list[str]) -> DataFrame:
 def thresholds(scores: DataFrame, max_fpr: float, by: list[str], candidates: int = 501) -> DataFrame:
     """The threshold of best F1 under a false-positive budget, or of the lowest false-positive rate where none holds it; the least on ties, among quantiles of the scores.
     Candidates join the distinct scores as rows without labels, and one running sum from the best score down counts what each would flag."""
-    g = scores.groupBy(*by, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
-    asked = scans.quantiles(scores, by, ["score"], candidates - 1).select(*by, F.col("value").alias("score"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked"))
-    g = g.withColumn("asked", F.lit(0)).unionByName(asked).groupBy(*by, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    g = shared.kept(scores.groupBy(*by, "score").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"), F.count("*").alias("c")), "scores")
+    totals = g.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    asked = scans.quantiles_of_counts(g.withColumnRenamed("score", "value").where("value IS NOT NULL"), by, candidates - 1).select(*by, F.col("value").alias("score"), F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked"))
+    g = g.drop("c").withColumn("asked", F.lit(0)).unionByName(asked).groupBy(*by, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("asked").alias("asked"))
     cand = cumulated(g, by, {"p": "tp", "n": "fp"}).where("asked = 1").drop("p", "n")
-    cand = cand.join(scores.groupBy(*by).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), by)
+    cand = cand.join(totals, by)
     f1 = F.round(ratio(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("pos")), 9)
     cand = cand.withColumn("f1", f1).withColumn("fpr", ratio(F.col("fp"), F.col("neg")))
     holds = F.col("fpr") <= max_fpr

@@ -103,8 +103,12 @@ def quantiles(df: DataFrame, by: list[str], columns: list[str], steps: int, whic
     Equal values are one row before they are sorted, so a value that most rows have weighs no more than others; a group may span all ranges.
     """
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select(*by, "x.*").where("value IS NOT NULL")
-    key = [*by, "column"]
-    each = ranked(long.groupBy(*key, "value").agg(F.count("*").alias("c")), key, ["value"], "start", "c")
+    return quantiles_of_counts(long.groupBy(*by, "column", "value").agg(F.count("*").alias("c")), [*by, "column"], steps, which)
+
+
+def quantiles_of_counts(counts: DataFrame, key: list[str], steps: int, which: list[int] | None = None) -> DataFrame:
+    """key, i, value: the quantiles of values that occur c times; counts has key, value, c, a row for each value."""
+    each = ranked(counts.select(*key, "value", "c"), key, ["value"], "start", "c")
     total = each.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.sum("c").alias("n"))
     same = F.lit(True)
     for k in key:
