@@ -27,3 +27,19 @@ def sessions(flows: DataFrame, gap_s: int, late: str = "1 hour") -> DataFrame:
     w = F.session_window("event_time", f"{gap_s} seconds")
     out = timed(flows, late).groupBy(w.alias("w"), "capture", "src_ip", "dst_ip").agg(F.count("*").alias("n"), F.max("event_time").alias("_last"))
     return out.select("capture", "src_ip", "dst_ip", F.unix_micros("w.start").alias("start_us"), F.unix_micros("_last").alias("last_us"), "n")
+
+
+def entropies(flows: DataFrame, seconds: int, value: str, late: str = "1 hour") -> DataFrame:
+    """Distinct values and Shannon entropy (base 2) of each window and host, exactly: one aggregation counts each value, a second one that follows it adds up."""
+    width = f"{seconds} seconds"
+    counts = timed(flows, late).groupBy(F.window("event_time", width).alias("w"), "capture", "src_ip", value).agg(F.count("*").alias("c"))
+    n = F.sum("c")
+    out = counts.groupBy(F.window("w", width).alias("v"), "capture", "src_ip").agg(F.count("*").alias("n_distinct"), (F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n).alias("entropy"))
+    return out.select("capture", "src_ip", F.floor(F.unix_micros("v.start") / (seconds * 1_000_000)).cast("long").alias("wid"), "n_distinct", "entropy")
+
+
+def drained(stream: DataFrame, name: str, path: str, checkpoint: str) -> DataFrame:
+    """What a stream gives for all that its source has, appended to Parquet files at path; run again with the same checkpoint, it goes on."""
+    spark = stream.sparkSession
+    stream.writeStream.queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
