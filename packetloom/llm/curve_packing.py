@@ -20,13 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import as_bytes, of, ranked, record, slices, stash, table
+from .util import as_bytes, of, ranked, record, slices, stash, table, worker_cache
 
 END = 2
 BITS, DIMS, BUCKETS = 10, 3, 256
 #: Each ends a run of letters or digits whatever follows, so what stands before it is tokenised alike alone.
 MARKS = b".,!;:?*#%&$|)"
-_MEMO: dict[str, tuple] = {}
 
 
 class Words:
@@ -93,9 +92,10 @@ def normal(letter: str) -> str:
 
 def words_of(path: str) -> Words:
     """One for each Python worker: tasks share what it has learned."""
-    if path not in _MEMO:
-        _MEMO[path] = Words(path)
-    return _MEMO[path]
+    held = worker_cache("packing")
+    if path not in held:
+        held[path] = Words(path)
+    return held[path]
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:

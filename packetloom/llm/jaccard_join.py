@@ -39,6 +39,7 @@ U = np.uint64
 WORDS, NUM, DEN = 5, 3, 4
 SKETCH_BITS, CHUNKS = 22, 16
 BUCKETS, PIVOTS = 256, 4
+BATCH_ROWS = 2000  # texts that go to Python at a time
 MULTIPLIER = U(0x9E3779B97F4A7C15)
 
 
@@ -82,7 +83,7 @@ def profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             kind = batch.column("doc_id").type
             sets = [shingles(t, memo) for t in batch.column("text").to_pylist()]
             every = np.concatenate(sets)
-            counts += np.bincount((every >> U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+            np.add.at(counts, (every >> U(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
             h = [np.bincount((s & U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype("<u4").tobytes() if len(s) else None for s in sets]
             cid = pa.array([name(s) if len(s) else None for s in sets], pa.int64())
             yield record(doc_id=batch.column("doc_id"), fp=batch.column("fp"), n=pa.array([len(s) for s in sets], pa.int64()), cid=cid, h=pa.array(h, pa.binary()), chunk=pa.nulls(len(sets), pa.int32()), counts=pa.nulls(len(sets), pa.binary()))
@@ -91,7 +92,7 @@ def profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             yield record(doc_id=none(kind), fp=none(pa.int64()), n=none(pa.int64()), cid=none(pa.int64()), h=none(pa.binary()), chunk=pa.array(range(CHUNKS), pa.int32()), counts=[np.minimum(x, 65535).astype("<u2").tobytes() for x in np.split(counts, CHUNKS)])
 
     schema = f"{of(docs, 'doc_id')}, fp long, n long, cid long, h binary, chunk int, counts binary"
-    made = stash(docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(rows, schema), "jaccard-profiles")
+    made = stash(docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(rows, schema), "jaccard-profiles", BATCH_ROWS)
     sketch = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint32)
     for chunk, counts in summed(made.where("chunk IS NOT NULL").select("chunk", "counts"), "chunk", "counts", "<u2", "<u4").items():
         sketch[chunk] = counts
@@ -132,7 +133,7 @@ def regions(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
     several = each.withColumn("_a", F.min("cid").over(cell)).withColumn("_b", F.max("cid").over(cell)).withColumn("_n", least)
     several = several.where("_a < _b AND (7 * pos <= n OR 3 * (n + _n) <= 7 * (n - pos))").select("cell", "cid", "n", "pos").distinct()
     several = several.withColumn("_k", F.count("*").over(cell)).withColumn("_x", F.bit_xor(F.xxhash64("cid")).over(cell)).where("_k > 1")
-    out = stash(several.groupBy(F.xxhash64("_x", "_k").alias("region"), "cid").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "jaccard-regions")
+    out = stash(several.groupBy(F.xxhash64("_x", "_k").alias("region"), "cid").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "jaccard-regions", BATCH_ROWS)
     held.destroy()
     return out
 
@@ -168,7 +169,7 @@ def sets_of(docs: DataFrame, cids: DataFrame, profile: DataFrame) -> DataFrame:
             yield record(cid=pa.array([c for c, _ in made], pa.int64()), s=pa.array([s for _, s in made], pa.list_(pa.int64())))
 
     texts = docs.select("text", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(size)).alias("at"))
-    out = stash(texts.mapInArrow(rows, "cid long, s array<long>").groupBy("cid").agg(F.first("s").alias("s")), "jaccard-sets")
+    out = stash(texts.mapInArrow(rows, "cid long, s array<long>").groupBy("cid").agg(F.first("s").alias("s")), "jaccard-sets", BATCH_ROWS)
     held.destroy()
     return out
 

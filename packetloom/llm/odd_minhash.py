@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jaccard_join import U, components, joined, mixed, name, sets_of, shingles, sized, split
+from .jaccard_join import BATCH_ROWS, U, components, joined, mixed, name, sets_of, shingles, sized, split
 from .util import of, record, slices, stash, table, word_hashes
 
 LEAST = 85
@@ -98,7 +98,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             yield record(doc_id=batch.column("doc_id"), fp=batch.column("fp"), n=pa.array(n, pa.int64()), cid=pa.array(cid, pa.int64()), keys=pa.array(keys, pa.list_(pa.int64())), odd=pa.array(odd, pa.binary()))
 
     schema = f"{of(docs, 'doc_id')}, fp long, n long, cid long, keys array<long>, odd binary"
-    return stash(docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(rows, schema), "minhash-profiles")
+    return stash(docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(rows, schema), "minhash-profiles", BATCH_ROWS)
 
 
 def regions(classes: DataFrame) -> DataFrame:

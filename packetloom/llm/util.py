@@ -13,8 +13,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CLEANUP, BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
 _HELD: dict[str, str] = {}
+_KEPT: dict[str, dict] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,15 +44,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{_HELD[app]}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to shared storage and reads it again: cuts the lineage and survives lost executors. The write's shuffle files go once it has ended."""
+def stash(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Writes df to shared storage and reads it again: cuts the lineage and survives lost executors. The write's shuffle files go once it has ended.
+    batch: rows that go to Python at a time, fewer where rows are texts."""
     spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    path, confs = scratch(spark, name), {CLEANUP: "true"} | ({BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k) for k in confs}
     try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -129,7 +134,16 @@ class Memo(dict):
         return value
 
 
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps from one task to the next, for one owner at a time: another owner's goes, so that workers don't grow."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+    return _KEPT[owner]
+
+
 def word_hashes() -> Memo:
+    worker_cache("hashes")
     return Memo(xxhash.xxh64_intdigest)
 
 
