@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packetloom.functions.stages import TACTICS, status, tactic
-from packetloom.operators import calibrate, cells, evaluate, integrity, metrics, models, reports, risk
-from packetloom.operators.registry import DRAW, H, KEYS, MARKOV, METHODS, ROLLOUT, SEGW, THRESHOLD, UP_TO_SCORES, UP_TO_SEGS, UP_TO_TARGETS, W, FLOWS, base, flows, query, r6, scored, segs, targets
-from packetloom.operators.registry_reports import SPLIT, split
-from packetloom.sources import files, normalize
+from packetloom.operators import bundle, calibrate, cells, evaluate, integrity, metrics, models, reports, risk
+from packetloom.operators.registry import DRAW, H, KEYS, GAP, MARKOV, METHODS, ROLLOUT, SEGW, THRESHOLD, UP_TO_SCORES, UP_TO_SEGS, UP_TO_TARGETS, W, FLOWS, base, flows, query, r6, scored, segs, targets
+from packetloom.operators.registry_reports import SPLIT, TRIAGE, split, training_rows
+from packetloom.sources import files, normalize, shared
 
 PARTS = ["direct", "rollout", "markov"]
 PARTED = f"parted AS (SELECT *, y_future AS y, floor(risk * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS direct, floor((0.3::DOUBLE * y_future + 0.7::DOUBLE * {DRAW.format(r='1')}) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS rollout, floor({DRAW.format(r='2')} * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS markov FROM scored)"
@@ -219,7 +219,7 @@ def _(spark, d):
 
 @query("g6_stage_horizons")
 def _(spark, d):
-    s = split(spark, d).withColumn("x", F.array(*[F.col(c).cast("double") for c in ("log_bytes", "log_pkts", "syn_ratio", "rst_ratio", "cnt_1", "cnt_2", "cnt_3", "cnt_4", "cnt_5", "cnt_6")]))
+    s = training_rows(spark, d)
     for k in (1, 2, 3, 5, 7, 10):
         s = cells.future_stage(s, k)
     out = models.stage_horizons(s.where("split_temporal = 'train'"), s.where("split_temporal = 'test'"), "x", [1, 2, 3, 5, 7, 10])
@@ -343,3 +343,37 @@ def _(spark, d):
     s = segs(spark, d)
     out = risk.rollout_grid(s, risk.matrix(risk.transitions(s)), [1, 8, 32], [2, 5, 10], H + 1)
     return out.groupBy("capture", "particles", "steps").agg(F.count("*").alias("cells"), F.avg("risk_rollout").alias("risk_rollout"), F.avg("hit_share").alias("hit_share"), F.avg("eta").alias("eta"), F.max("eta").alias("eta_max"))
+
+
+@query("k1_alert_table", base(*UP_TO_SCORES) + f""", o AS (SELECT *, CASE WHEN stage >= 2 THEN stage ELSE 2 END AS fs, wid % 7 - 1 AS eta, row_number() OVER {SEGW}) AS pos FROM scored), i AS (SELECT *, pos - row_number() OVER {SEGW}) AS island FROM o WHERE risk >= 0.3),
+r AS (SELECT capture, src_ip, run, min(wid) AS a, max(wid) AS b, count(*) AS n, max(risk) AS peak, arg_min(fs, wid) AS fs, arg_min(eta, wid) AS eta, arg_min(stage, wid) AS st, arg_min(phase, wid) AS phase FROM i GROUP BY capture, src_ip, run, island HAVING count(*) >= 2)
+SELECT printf('A%04d', row_number() OVER (ORDER BY capture, src_ip, run, a)) AS alert_id, capture, src_ip, run, a * {W} AS start, (b + 1) * {W} AS "end", round(n * {W} / 60.0, 6) + 0.0 AS duration_min, round(peak, 6) + 0.0 AS peak_risk, CASE WHEN peak >= 0.9 THEN 'CRITICAL' WHEN peak >= 0.75 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, fs::BIGINT AS forecast_stage,
+ v.tactic || ' (' || v.id || ')' AS tactic, v.techniques AS techniques, CASE WHEN eta > 0 THEN round(eta * {W} / 60.0, 6) + 0.0 END AS eta_min, st::BIGINT AS observed_stage_at_start, r.phase AS true_phase_at_start FROM r JOIN (VALUES {_TACTICS}) v(i, tactic, id, techniques) ON v.i = r.fs""")
+def _(spark, d):
+    s = scored(spark, d).withColumn("forecast_stage", F.when(F.col("stage") >= 2, F.col("stage")).otherwise(2)).withColumn("eta", F.col("wid") % 7 - 1).withColumn("stage_now", F.col("stage"))
+    return risk.alert_table(s, 0.3, 2, W)
+
+
+@query("k4_triage_ranking", base(*UP_TO_SCORES) + TRIAGE + """, q AS (SELECT capture, src_ip, run, r, o, max_risk, CASE WHEN r AND o THEN 'risk + anomaly' WHEN r THEN 'risk' WHEN o THEN 'anomaly' ELSE '-' END AS channel FROM z)
+SELECT capture, src_ip, run, channel, round(max_risk, 6) + 0.0 AS max_risk FROM q ORDER BY r DESC, max_risk DESC, capture, src_ip, run LIMIT 10""")
+def _(spark, d):
+    """The ten segments that analysts see first; no two have the same risk."""
+    t = risk.triage(scored(spark, d).withColumn("surprise", F.abs(F.col("risk") - 0.25)), 0.45, 1.0)
+    return risk.triage_ranking(t, 10).select("capture", "src_ip", "run", "channel", "max_risk")
+
+
+@query("g17_scaled_surprise", base(*UP_TO_SEGS) + f""", q AS (SELECT quantile_cont(log_bytes, 0.75) - quantile_cont(log_bytes, 0.25) AS sb, quantile_cont(syn_ratio, 0.75) - quantile_cont(syn_ratio, 0.25) AS ss, stddev_pop(log_bytes) AS db, stddev_pop(syn_ratio) AS ds FROM segs), n AS (SELECT *, row_number() OVER {SEGW}) - 1 AS pos FROM segs),
+e AS (SELECT capture, src_ip, run, wid, pos, log_bytes, syn_ratio, {ema_sql('log_bytes', 3, 'mb')}, {ema_sql('syn_ratio', 3, 'ms')} FROM n), l AS (SELECT *, coalesce(lag(mb) OVER {SEGW}), log_bytes) AS pb, coalesce(lag(ms) OVER {SEGW}), syn_ratio) AS ps FROM e)
+SELECT capture, src_ip, run, wid, round((pow((log_bytes - pb) / CASE WHEN sb > 1e-6 THEN sb WHEN db > 1e-6 THEN db ELSE 1 END, 2) + pow((syn_ratio - ps) / CASE WHEN ss > 1e-6 THEN ss WHEN ds > 1e-6 THEN ds ELSE 1 END, 2)) / 2, 5) + 0.0 AS surprise FROM l, q""")
+def _(spark, d):
+    s = segs(spark, d).select(*KEYS, *[F.col(c).cast("double").alias(c) for c in ("log_bytes", "syn_ratio")])
+    return risk.scaled_surprise(s, ["log_bytes", "syn_ratio"], cells.scaler_table(s, ["log_bytes", "syn_ratio"]), 3).select(*KEYS, F.round("surprise", 5).alias("surprise"))
+
+
+@query("k1_bundle_alerts")
+def _(spark, d):
+    """Trained on the fixture's flows, stored, loaded, and applied to the same flows without labels: the alerts of the forecast."""
+    path, f = shared.folder(spark, "bundle"), flows(spark, d)
+    bundle.save(bundle.train(f, seconds=W, gap=GAP, horizon=5, particles=8, max_fpr=0.2), spark, path)
+    b = bundle.load(spark, path)
+    return bundle.alerts(b, bundle.forecast(b, f.drop("stage", "raw_stage", "label")))

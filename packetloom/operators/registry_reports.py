@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.operators import cells, models, reports, risk, sequences
-from packetloom.operators.registry import DENSE, FLOWS, H, KEYS, METHODS, PURGE, SEGW, UP_TO_SCORES, UP_TO_SEGS, UP_TO_TARGETS, W, base, dense, flows, methods, query, scored, segs, targets
-from packetloom.sources import files, normalize
+from packetloom.operators import bundle, cells, models, reports, risk, sequences
+from packetloom.operators.registry import DENSE, FLOWS, GAP, H, KEYS, METHODS, PURGE, SEGW, UP_TO_SCORES, UP_TO_SEGS, UP_TO_TARGETS, W, base, dense, flows, methods, query, scored, segs, targets
+from packetloom.sources import files, normalize, shared
 from packetloom.streaming import cells as live
 
 TRIAGE = """, s AS (SELECT capture, src_ip, run, max((stage > 0)::INT) AS infected, max(risk) AS max_risk, avg(abs(risk - 0.25)) AS mean_surprise FROM scored GROUP BY ALL), m AS (SELECT *, quantile_cont(mean_surprise, 0.5) OVER (PARTITION BY capture) AS mid FROM s),
@@ -97,12 +97,16 @@ def _(spark, d):
 
 #: Kind, stacked cells and options beside the operator's defaults.
 FORECASTERS = {"g2_logistic": ("logistic", 1, {"C": 0.5}), "g3_logistic_stacked": ("logistic", 8, {"C": 0.1}), "g4_boosted_stacked": ("boosted", 8, {}), "g5_forest_stacked": ("forest", 8, {})}
-INPUTS = ["log_bytes", "log_pkts", "syn_ratio", "rst_ratio", "small_flow_frac", "udp_frac", "cnt_1", "cnt_2", "cnt_3", "cnt_4", "cnt_5", "cnt_6"]
+def training_rows(spark, d):
+    """All features of a cell with burst and trend, scaled: 117 inputs, none of them made from labels."""
+    return bundle.training_table(flows(spark, d), bundle.SETTINGS | {"seconds": W, "gap": GAP, "horizon": H, "purge": PURGE})[0]
+
+
 for _name, (_kind, _steps, _options) in FORECASTERS.items():
     @query(_name)
     def _(spark, d, kind=_kind, steps=_steps, options=_options):
-        s = split(spark, d).withColumn("x", F.array(*[F.col(c).cast("double") for c in INPUTS]))
-        s = sequences.context(s, "x", steps).select(*KEYS, "split_temporal", "y_future", F.flatten("context").alias("x"))
+        s = training_rows(spark, d)
+        s = shared.kept(sequences.context(s, "x", steps).select(*KEYS, "split_temporal", "y_future", F.flatten("context").alias("x")), "stacked") if steps > 1 else s
         model = models.fit(files.of_split(s, "train"), "x", "y_future", kind, **options)
         return models.score(model, files.of_split(s, "test"), "x").select(*KEYS, "y_future", "score")
 

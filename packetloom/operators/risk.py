@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.functions.stages import EXPLOIT, severity
+from packetloom.functions.stages import EXPLOIT, severity, tactic
 from packetloom.operators import scans
 from packetloom.operators.cells import HOST, SEGMENT, in_segment
 
@@ -54,10 +54,10 @@ def belief() -> list[Column]:
     return [(F.col(f"cnt_{i}") + 0.5) / (n + 3.5) for i in range(7)]
 
 
-def with_risk(states: DataFrame, p: list[list[float]], steps: int) -> DataFrame:
-    """risk_markov: the belief's chance of first passage."""
+def with_risk(states: DataFrame, p: list[list[float]], steps: int, beliefs: list[Column] | None = None) -> DataFrame:
+    """risk_markov: the belief's chance of first passage. beliefs: a column for each stage, else shares of labels."""
     chance = first_passage(p, steps)
-    return states.withColumn("risk_markov", sum((b * F.lit(c) for b, c in zip(belief(), chance, strict=True)), F.lit(0.0)))
+    return states.withColumn("risk_markov", sum((b * F.lit(c) for b, c in zip(beliefs or belief(), chance, strict=True)), F.lit(0.0)))
 
 
 def stage_paths(states: DataFrame, p: list[list[float]], steps: int) -> DataFrame:
@@ -68,10 +68,10 @@ def stage_paths(states: DataFrame, p: list[list[float]], steps: int) -> DataFram
     return states.select(*SEGMENT, "wid", F.explode(F.array(*cell)).alias("x")).select(*SEGMENT, "wid", "x.*")
 
 
-def walked(states: DataFrame, p: list[list[float]], particles: int, steps: int, stride: int | None = None) -> DataFrame:
+def walked(states: DataFrame, p: list[list[float]], particles: int, steps: int, stride: int | None = None, beliefs: list[Column] | None = None) -> DataFrame:
     """SEGMENT, wid, particle and the sampled stages s0 to s<steps> of each. Draws go by cell and particle * stride + step, so runs of one stride share them."""
     ends = [[sum(row[: j + 1]) for j in range(7)] for row in p]
-    key, b, stride = [*HOST, "wid"], belief(), stride or steps + 1
+    key, b, stride = [*HOST, "wid"], beliefs or belief(), stride or steps + 1
     passed = [F.array(*[F.lit(ends[i][j]) for i in range(7)]) for j in range(6)]  # by the stage before; the seventh stage is what is left
     spread = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = states.repartition(spread, *key).select(*SEGMENT, "wid", *[sum(b[1 : j + 1], b[0]).alias(f"_b{j}") for j in range(6)], F.explode(F.sequence(F.lit(0), F.lit(particles - 1))).alias("particle"))
@@ -107,9 +107,9 @@ def summed_walks(walks: DataFrame, p: list[list[float]], particles: list[int], s
     return out.select(*SEGMENT, "wid", F.explode(F.array(*[cell(n, k) for n in particles for k in steps])).alias("x")).select(*SEGMENT, "wid", "x.*")
 
 
-def rollout(states: DataFrame, p: list[list[float]], particles: int, steps: int, stride: int | None = None) -> DataFrame:
+def rollout(states: DataFrame, p: list[list[float]], particles: int, steps: int, stride: int | None = None, beliefs: list[Column] | None = None) -> DataFrame:
     """Per cell: Monte-Carlo risk, share of particles that hit, and median steps to a hit (-1 without)."""
-    return summed_walks(walked(states, p, particles, steps, stride), p, [particles], [steps]).drop("particles", "steps")
+    return summed_walks(walked(states, p, particles, steps, stride, beliefs), p, [particles], [steps]).drop("particles", "steps")
 
 
 def rollout_grid(states: DataFrame, p: list[list[float]], particles: list[int], steps: list[int], stride: int | None = None) -> DataFrame:
@@ -126,6 +126,29 @@ def alerts(scored: DataFrame, threshold: float, min_run: int, seconds: int) -> D
     return runs.select(*SEGMENT, (F.col("first_wid") * seconds).alias("start"), ((F.col("last_wid") + 1) * seconds).alias("end"), "cells", "peak", "first_stage", severity(F.col("peak")).alias("severity"))
 
 
+def alert_table(scored: DataFrame, threshold: float, min_run: int, seconds: int) -> DataFrame:
+    """Alerts as analysts read them: a number in order of their segment and begin, duration, stage and tactic that the first cell forecasts, minutes to go,
+    the stage that it shows and the true phase. Columns risk, forecast_stage, eta, stage_now, phase."""
+    w = in_segment()
+    on = scored.withColumn("_pos", F.row_number().over(w)).where(F.col("risk") >= threshold)
+    on = on.withColumn("_run", F.col("_pos") - F.row_number().over(w))
+    at = lambda c: F.min_by(c, "wid").alias(c)
+    runs = on.groupBy(*SEGMENT, "_run").agg(F.min("wid").alias("_first"), F.max("wid").alias("_last"), F.count("*").alias("cells"), F.max("risk").alias("peak_risk"), *map(at, ("forecast_stage", "eta", "stage_now", "phase"))).where(F.col("cells") >= min_run).drop("_run")
+    numbered = scans.ranked(runs, [], [*SEGMENT, "_first"], "_i")
+    told, minutes = tactic(F.col("forecast_stage")), seconds / 60
+    return numbered.select(
+        F.format_string("A%04d", F.col("_i") + 1).alias("alert_id"), *SEGMENT, (F.col("_first") * seconds).alias("start"), ((F.col("_last") + 1) * seconds).alias("end"), (F.col("cells") * minutes).alias("duration_min"), "peak_risk", severity(F.col("peak_risk")).alias("severity"),
+        "forecast_stage", F.concat(told["tactic"], F.lit(" ("), told["id"], F.lit(")")).alias("tactic"), told["techniques"].alias("techniques"), F.when(F.col("eta") > 0, F.col("eta") * minutes).alias("eta_min"), F.col("stage_now").alias("observed_stage_at_start"), F.col("phase").alias("true_phase_at_start"))
+
+
+def triage_ranking(table: DataFrame, k: int | None = None) -> DataFrame:
+    """Triage rows in the order that analysts take them, with the channel that flags them: risk, anomaly, both, or none. k: the first k."""
+    channel = F.when(F.col("by_risk") & F.col("by_anomaly"), "risk + anomaly").when(F.col("by_risk"), "risk").when(F.col("by_anomaly"), "anomaly").otherwise("-")
+    order = [F.desc("by_risk"), F.desc("max_risk"), F.desc("z"), *SEGMENT]
+    out = table.withColumn("channel", channel).orderBy(*order)
+    return out if k is None else out.limit(k)
+
+
 def robust_z(df: DataFrame, column: str, groups: list[str]) -> DataFrame:
     """df with z: the distance from the group's median in units of its median absolute deviation."""
     median = lambda rows, c, name: scans.quantiles(rows, groups, [c], 2, [1]).select(*groups, F.col("value").alias(name))
@@ -144,9 +167,9 @@ def alert(risk: Column, threshold: float) -> Column:
     return risk >= threshold
 
 
-def forecast_stage(states: DataFrame, p: list[list[float]], steps: int) -> DataFrame:
+def forecast_stage(states: DataFrame, p: list[list[float]], steps: int, beliefs: list[Column] | None = None) -> DataFrame:
     """The exploitation stage with most probability over the steps to come; the lowest on ties."""
-    powers, b = propagated(p, steps), belief()
+    powers, b = propagated(p, steps), beliefs or belief()
     mass = {j: F.round(sum((b[i] * F.lit(sum(m[i][j] for m in powers)) for i in range(7)), F.lit(0.0)), 9) for j in EXPLOIT}
     best = F.array_max(F.array(*[F.struct(v.alias("v"), F.lit(-j).alias("j")) for j, v in mass.items()]))
     return states.select(*SEGMENT, "wid", (-best["j"]).alias("forecast_stage"))
@@ -211,3 +234,11 @@ def belief_shift(df: DataFrame, columns: list[str], short: int, long: int, least
         vs, vl = (F.greatest(F.col(f"_q{t}_{c}") - F.col(f"_m{t}_{c}") * F.col(f"_m{t}_{c}"), F.lit(least)) for t in "sl")
         total = total + F.log(F.sqrt(vl) / F.sqrt(vs)) + (vs + F.pow(F.col(f"_ms_{c}") - F.col(f"_ml_{c}"), F.lit(2.0))) / (2 * vl) - 0.5
     return df.withColumn("shift", total).drop(*[f"_sq_{c}" for c in columns], *[name for _, _, name in means])
+
+
+def scaled_surprise(df: DataFrame, columns: list[str], params: DataFrame, span: int) -> DataFrame:
+    """df with surprise: the mean over columns of the squared distance from the short mean one cell before, in units of each column's scale (params: column, center, scale)."""
+    scale = {r["column"]: r["scale"] for r in params.collect()}  # a row for each column
+    out = scans.decayed(df, SEGMENT, "wid", [(c, span, f"_m_{c}") for c in columns], before=True)
+    error = sum((F.pow((F.col(c) - F.coalesce(f"__m_{c}", F.col(c))) / F.lit(scale[c]), F.lit(2.0)) for c in columns), F.lit(0.0)) / len(columns)
+    return out.withColumn("surprise", error).drop(*[f"{p}m_{c}" for c in columns for p in ("_", "__")])

@@ -79,22 +79,22 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, weight:
     Ranges of (key, order) are sorted and written with their rows' places; each (key, range) has one row of totals.
     """
     by = [*keys, *order]
-    sorted_ = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
-    placed = shared.kept(sorted_, "ranked").withColumn("_range", F.shiftright("_at", 33))
+    sorted_ = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_rk_at", F.monotonically_increasing_id())
+    placed = shared.kept(sorted_, "ranked").withColumn("_rk_range", F.shiftright("_rk_at", 33))
     own = [F.col(k) for k in keys]
-    totals = placed.groupBy(*own, "_range").agg(F.min("_at").alias("_first"), (F.sum(weight) if weight else F.count("*")).alias("_w"))
-    up = Window.partitionBy(*own).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), "_first", F.coalesce(F.sum("_w").over(up), F.lit(0)).alias("_before"))
-    same = F.col("_range") == F.col("_r")
+    totals = placed.groupBy(*own, "_rk_range").agg(F.min("_rk_at").alias("_rk_first"), (F.sum(weight) if weight else F.count("*")).alias("_rk_w"))
+    up = Window.partitionBy(*own).orderBy("_rk_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[F.col(k).alias(f"_rk_k{i}") for i, k in enumerate(keys)], F.col("_rk_range").alias("_rk_r"), "_rk_first", F.coalesce(F.sum("_rk_w").over(up), F.lit(0)).alias("_rk_before"))
+    same = F.col("_rk_range") == F.col("_rk_r")
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"_rk_k{i}"))
     out = placed.join(totals, same)
     if weight:
-        here = Window.partitionBy("_range", *own).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-        place = F.col("_before") + F.coalesce(F.sum(weight).over(here), F.lit(0))
+        here = Window.partitionBy("_rk_range", *own).orderBy("_rk_at").rowsBetween(Window.unboundedPreceding, -1)
+        place = F.col("_rk_before") + F.coalesce(F.sum(weight).over(here), F.lit(0))
     else:
-        place = F.col("_before") + F.col("_at") - F.col("_first")
-    return out.withColumn(name, place).drop("_at", "_range", "_r", "_first", "_before", *[f"_k{i}" for i in range(len(keys))])
+        place = F.col("_rk_before") + F.col("_rk_at") - F.col("_rk_first")
+    return out.withColumn(name, place).drop("_rk_at", "_rk_range", "_rk_r", "_rk_first", "_rk_before", *[f"_rk_k{i}" for i in range(len(keys))])
 
 
 def quantiles(df: DataFrame, by: list[str], columns: list[str], steps: int, which: list[int] | None = None) -> DataFrame:
