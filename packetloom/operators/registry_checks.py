@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.stages import TACTICS, status, tactic
 from packetloom.operators import bundle, calibrate, cells, evaluate, integrity, metrics, models, reports, risk
-from packetloom.operators.registry import DRAW, H, KEYS, GAP, MARKOV, METHODS, ROLLOUT, SEGW, THRESHOLD, UP_TO_SCORES, UP_TO_SEGS, UP_TO_TARGETS, W, FLOWS, base, flows, query, r6, scored, segs, targets
+from packetloom.operators.registry import DRAW, GAP, H, KEYS, MARKOV, METHODS, PURGE, ROLLOUT, SEGW, THRESHOLD, UP_TO_SCORES, UP_TO_SEGS, UP_TO_TARGETS, W, FLOWS, base, flows, query, r6, scored, segs, targets
 from packetloom.operators.registry_reports import SPLIT, TRIAGE, split, training_rows
 from packetloom.sources import files, normalize, shared
 
@@ -214,7 +214,9 @@ def _(spark, d):
 @query("j2_schedule_probe")
 def _(spark, d):
     s = split(spark, d).select(*KEYS, "split_temporal", "y_future")
-    return integrity.schedule_probe(s.where("split_temporal = 'train'"), s.where("split_temporal = 'test'"), W, 0.9)
+    known = cells.temporal_split(scored(spark, d), 0.7, 0.15, PURGE).where("split_temporal = 'test'").select(F.lit("risk").alias("method"), F.col("y_future").alias("y"), F.col("risk").alias("score"))
+    model = metrics.ranking(known, ["method"]).first()
+    return integrity.schedule_probe(s.where("split_temporal = 'train'"), s.where("split_temporal = 'test'"), W, model["ap"] if model and model["ap"] is not None else 0.0)
 
 
 @query("g6_stage_horizons")
