@@ -93,10 +93,10 @@ def profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     schema = f"{of(docs, 'doc_id')}, fp long, n long, cid long, h binary, chunk int, counts binary"
     made = stash(docs.select("doc_id", "text", F.xxhash64("text").alias("fp")).mapInArrow(rows, schema), "jaccard-profiles", BATCH_ROWS)
-    sketch = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint32)
-    for chunk, counts in summed(made.where("chunk IS NOT NULL").select("chunk", "counts"), "chunk", "counts", "<u2", "<u4").items():
+    sketch = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint16)
+    for chunk, counts in summed(made.where("chunk IS NOT NULL").select("chunk", "counts"), "chunk", "counts", "<u2", "<u4", "<u2").items():
         sketch[chunk] = counts
-    return made.where("chunk IS NULL").select("doc_id", "fp", "n", "cid", "h"), np.minimum(sketch.ravel(), 65535).astype(np.uint16)
+    return made.where("chunk IS NULL").select("doc_id", "fp", "n", "cid", "h"), sketch.ravel()
 
 
 def prefix(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:

@@ -94,23 +94,25 @@ def groups(batches, key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def summed(parts: DataFrame, key: str, values: str, kind: str, wide: str) -> dict[int, np.ndarray]:
-    """Sums (of numpy type wide) of arrays (binary, of type kind) by key, in two levels so that no group holds all parts. Only the sums come to the driver."""
+def summed(parts: DataFrame, key: str, values: str, kind: str, wide: str, last: str | None = None) -> dict[int, np.ndarray]:
+    """Sums (of numpy type wide) of arrays (binary, of type kind) by key, in two levels so that no group holds all parts. Only the sums come to the driver,
+    as type `last` (whole numbers, no more than it holds) if that is given."""
 
-    def adder(given):
+    def adder(given, out=None):
         def add(k, pdf):
             import pandas as pd
 
             total = np.frombuffer(pdf[values].iloc[0], given).astype(wide)
             for x in pdf[values].iloc[1:]:
                 total += np.frombuffer(x, given)
+            total = np.minimum(total, np.iinfo(out).max).astype(out) if out else total
             return pd.DataFrame({key: [k[0]], values: [total.tobytes()]})
 
         return add
 
     schema = f"{key} int, {values} binary"
     some = parts.groupBy(key, F.floor(F.spark_partition_id() / F.lit(256)).alias("_part")).applyInPandas(adder(kind), schema)
-    return {r[key]: np.frombuffer(r[values], wide) for r in some.groupBy(key).applyInPandas(adder(wide), schema).collect()}
+    return {r[key]: np.frombuffer(r[values], last or wide) for r in some.groupBy(key).applyInPandas(adder(wide, last), schema).collect()}
 
 
 def fresh(name: str, df: DataFrame) -> str:
