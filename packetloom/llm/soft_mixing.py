@@ -6,9 +6,11 @@ p_id, distributed projected gradient finds nonnegative rates r_i whose expected
 sum_i r_i n_i p_id match the targets in least squares: each step sums K numbers over all documents, and a
 rate is a closed expression of the K residuals of each step. Totals are weighted by 1/S_d (S_d: the
 domain's expected tokens before mixing) and rates by n_i, where a step of length one is safe. The budget is the
-least at which no domain must shrink and no rate is below one, so no document is thinned out; rates become whole
-copies, the fraction by a hash of the document. Before that scale, rates stay between `least` and `most`: a domain too rare
-for its target gets `most` copies of its documents and falls short, which `totals` shows.
+least at which no domain must shrink; a common scale of at most `lift` then brings the least rate to one, so that documents are
+thinned out only where the exact solution asks for rates below 1 / `lift` of the scale. Rates become whole copies, the
+fraction by a hash of the document, at least `fewest` of each. Nothing else bounds rates by default. Two options leave the
+exact solution on purpose: `most`, before the scale, stops a domain too rare for its target at so many copies, and `fewest`
+= 1 keeps every document. `totals` shows what is met.
 
 Null and empty texts have no tokens; they get a posterior (the classifier's intercept) and a rate like any
 other. Null domains or ids are not learned from. A labelled domain without a target (or with nought) has its own tokens before
@@ -43,8 +45,8 @@ def vectorised(docs: DataFrame, buckets: int) -> DataFrame:
 class Mixer:
     """A fitted classifier with the residuals that make rates."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float], max_labelled: int = 2000, buckets: int = 1024, steps: int = 25, tolerance: float = 1e-3, least: float = 0.5, most: float = 64.0, key: Column | None = None):
-        self.buckets, self.model, self.domains, self.residuals, self.scale, self.least, self.most = buckets, None, [], [], 1.0, least, most
+    def __init__(self, docs: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float], max_labelled: int = 2000, buckets: int = 1024, steps: int = 100, tolerance: float = 1e-3, most: float | None = None, lift: float = 2.0, key: Column | None = None):
+        self.buckets, self.model, self.domains, self.residuals, self.scale, self.most, self.lift = buckets, None, [], [], 1.0, most, lift
         own = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
         learn = docs.select("doc_id", "text", F.col(domain).alias("_domain")).where("_domain IS NOT NULL").join(F.broadcast(own), "doc_id")
         learn = stash(learn, "mix-sample")
@@ -72,7 +74,8 @@ class Mixer:
             return F.lit(1.0)
         steps = F.array(*[F.array(*map(F.lit, r)) for r in self.residuals])
         dot = lambda g: F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        return F.aggregate(steps, F.lit(1.0), lambda r, g: F.least(F.lit(self.most), F.greatest(F.lit(self.least), r - dot(g)))) * F.lit(self.scale)
+        top = (lambda r: r) if self.most is None else lambda r: F.least(F.lit(float(self.most)), r)
+        return F.aggregate(steps, F.lit(1.0), lambda r, g: top(F.greatest(F.lit(0.0), r - dot(g)))) * F.lit(self.scale)
 
     def _totals(self, held: DataFrame) -> list[float]:
         sums = held.agg(*[F.sum(F.col("_r") * F.col("_n") * F.col("_p")[k]).alias(f"s{k}") for k in range(len(self.domains))]).first()
@@ -93,8 +96,8 @@ class Mixer:
                 break
             self.residuals.append(gap)
         least = held.agg(F.min(self.rate())).first()[0]
-        if least and least < 1:
-            self.scale = 1 / least
+        if least is not None and least < 1:
+            self.scale = min(self.lift, 1 / least) if least else self.lift
             self.targets = [t * self.scale for t in self.targets]
 
 
@@ -103,24 +106,24 @@ class Mixer:
         return list(zip(self.domains, self._totals(self.held.withColumn("_r", self.rate())), getattr(self, "targets", self.before if self.domains else []), strict=False)) if self.residuals else []
 
 
-def copies(rate: Column, key: Column) -> Column:
+def copies(rate: Column, key: Column, fewest: int = 0) -> Column:
     part = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return (F.floor(rate) + (part < rate - F.floor(rate)).cast("long")).cast("int")
+    return F.greatest(F.lit(fewest), F.floor(rate) + (part < rate - F.floor(rate)).cast("long")).cast("int")
 
 
-def rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, **options) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, fewest: int = 0, **options) -> DataFrame:
     """doc_id, n_tokens, posterior (map of domain to chance), rate, copies for each row of docs."""
     mixer = Mixer(docs, labels, domain, targets or TARGETS, key=F.xxhash64("doc_id", "text"), **options)
     out = mixer.held.withColumn("rate", mixer.rate())
     names = F.array(*map(F.lit, mixer.domains)).cast("array<string>")
-    return out.select("doc_id", F.col("_n").alias("n_tokens"), F.map_from_arrays(names, "_p").alias("posterior"), "rate", copies(F.col("rate"), F.col("_key")).alias("copies"))
+    return out.select("doc_id", F.col("_n").alias("n_tokens"), F.map_from_arrays(names, "_p").alias("posterior"), "rate", copies(F.col("rate"), F.col("_key"), fewest).alias("copies"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, fewest: int = 0, **options) -> DataFrame:
     """docs, each row as often as its rate says."""
     mixer = Mixer(docs, labels, domain, targets or TARGETS, **options)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")  # its columns' names can't clash
-    out = mixer.posteriors(own).withColumn("_copies", copies(mixer.rate(), F.xxhash64("_row.doc_id", "text")))
+    out = mixer.posteriors(own).withColumn("_copies", copies(mixer.rate(), F.xxhash64("_row.doc_id", "text"), fewest))
     return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 

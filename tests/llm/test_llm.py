@@ -363,10 +363,45 @@ def test_mixing_totals(spark):
         assert total[:3] / total[:3].sum() == pytest.approx([0.4, 0.3, 0.3], abs=slack)
     assert made.min() >= 1 and rate @ (n * p[:, 3]) == pytest.approx((n * p[:, 3]).sum() * (rate @ (n * p[:, 0])) / (n * p[:, 0]).sum(), rel=0.1)
     assert soft_mixing.mix(d, lab, targets={"en": 0.4, "de": 0.3, "fr": 0.3}).where("lang = 'xx'").select("doc_id").distinct().count() == 20
-    few = soft_mixing.rates(d, lab, targets={"en": 0.01, "fr": 0.99}, most=4.0).collect()
+    few = soft_mixing.rates(d, lab, targets={"en": 0.01, "fr": 0.99}, most=4.0, fewest=1).collect()
     assert max(r["rate"] for r in few) <= 8.0 and min(r["copies"] for r in few) >= 1
 
 
+def projected(n, p, targets, steps=100, tolerance=1e-3):
+    """Projected gradient of the weighted least squares as a plain loop over all documents."""
+    before = n @ p
+    goal = max(s / w for s, w in zip(before, targets) if w) * np.array(targets)
+    goal = np.where(np.array(targets) > 0, goal, before)
+    rate = np.ones(len(n))
+    for _ in range(steps):
+        gap = ((rate * n) @ p - goal) / before
+        if np.abs(gap).max() <= tolerance:
+            break
+        rate = np.maximum(0.0, rate - p @ gap)
+    return rate * (min(2.0, 1 / max(rate.min(), 1e-12)) if rate.min() < 1 else 1.0), goal
+
+
+@pytest.mark.parametrize("targets", [[0.5, 0.3, 0.2], [0.02, 0.08, 0.9], [0.98, 0.01, 0.01]])
+def test_mixing_rates_by_brute_force(spark, targets):
+    """No box binds by default: rates are those of the loop, also far above 64, and meet the targets."""
+    rng = np.random.default_rng(9)
+    names = ["de", "en", "fr"]
+    pools = [[f"{d}{i}" for i in range(30)] + ["shared", "both", "all"] for d in names]
+    rows = [(i, " ".join(rng.choice(pools[k], rng.integers(5, 60))), names[k]) for i, k in enumerate([0] * 150 + [1] * 100 + [2] * 3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
+    got = soft_mixing.rates(d, lab, targets=dict(zip(names, targets))).collect()
+    n = np.array([float(r["n_tokens"]) for r in got])
+    p = np.array([[r["posterior"][x] for x in names] for r in got])
+    want, goal = projected(n, p, targets)
+    rate = np.array([r["rate"] for r in got])
+    assert rate == pytest.approx(want, rel=1e-6, abs=1e-9)
+    total = (rate * n) @ p
+    assert total / total.sum() == pytest.approx(goal / goal.sum(), abs=0.005)
+    if targets[2] == 0.9:
+        assert rate.max() > 64
+
+
 def test_votes_by_brute_force(spark):
     """Scores as a plain loop over all labelled vectors gives them."""
     rng = np.random.default_rng(6)
