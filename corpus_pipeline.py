@@ -24,8 +24,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the rates of their domains say; none is dropped."""
-    return soft_mixing.mix(docs, table(spark, sf_dir, "labels"))
+    """Documents as often as the rates of their domains say; at least once, and before the common scale at most 64 times."""
+    return soft_mixing.mix(docs, table(spark, sf_dir, "labels"), most=64, fewest=1)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
