@@ -2,11 +2,13 @@
 
 Base kinds (email, ip, card, phone) come from fixed patterns and always stay. The method adds spans of the kinds
 `secret`, `id` (personal numbers) and `address` (mail addresses in disguise): candidates are tokens that a wide pattern finds (key = value pairs, long
-mixed tokens, obfuscated addresses, digit groups) outside base spans. Six labelers, three regexes, two
-gazetteers and one context rule, vote yes, no or nothing on each. The counts of the vote patterns (at most 3^6 rows)
+mixed tokens, obfuscated addresses, digit groups) outside base spans. Nine labelers vote yes, no or nothing on each: shapes of
+the value (how often letters and digits change inside a part, parts that read as words and numbers, digests and
+identifiers without a name, dates and versions), gazetteers of names and prefixes, and the text before the token (a secret's
+name, a harmless one, a path or link). The counts of the vote patterns (at most 3^9 rows)
 feed expectation-maximisation, which estimates each labeler's reliability and the chance of each pattern;
 with these chances as weights a naive Bayes classifier over binned span features (length, digits, case mix,
-entropy) is trained, and a candidate is a span when votes and classifier together give at least `accept`.
+entropy, changes) is trained, and a candidate is a span when votes and classifier together give at least `accept`.
 
 Null and empty texts have no spans; repeated rows and null ids are rows like others. Whole texts are scanned once per kind whose needed character occurs in
 them. Columns besides doc_id and text are ignored; a row comes out for each row. Without any candidate
@@ -33,9 +35,11 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 FORMED = r"(?:\G|(?<![A-Za-z0-9_]))(?:[A-Za-z_]{3,24}\x20?[=:]\x20?[\x22']?[A-Za-z0-9+/_.-]{6,}+[\x22']?|[A-Za-z0-9._-]{2,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z]{2,12}|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]))"
 MIXED = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+"
 #: Gazetteers.
-SECRET_NAMES = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "auth", "private_key", "credential"]
-SECRET_PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "sk_live_", "AIza", "eyJ"]
+SECRET_NAMES = ["password", "passwd", "passphrase", "pwd", "secret", "client_secret", "token", "access_token", "refresh_token", "id_token", "bearer", "session_id", "cookie",
+                "api_key", "apikey", "access_key", "secret_key", "private_key", "signing_key", "encryption_key", "auth", "auth_key", "authorization", "credential", "credentials", "otp", "iban", "passport", "ssn"]
+SECRET_PREFIXES = ["AKIA", "ASIA", "AIza", "ya29.", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "xapp-", "sk_live_", "rk_live_", "sk_test_", "sk-", "pk_live_", "SG.", "npm_", "pypi-", "dop_v1_", "hf_", "eyJ"]
 CONTEXT = r"(?i)(?:password|secret|token|key|login|credential|contact|mail|reach|ssn|account)\W*$"
+HARMLESS = r"(?i)(?:(?:commit|revision|version|release|model|build|branch|file|image|digest|checksum|sha[0-9]*|md5|uuid|guid|article|order|part|serial|see|https?|doi|isbn)\W*|[A-Za-z0-9][/.:]|//)$"
 
 
 def matches(text: Column, pattern: str, needs: Column) -> Column:
@@ -85,35 +89,58 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-LABELERS = ["assigned", "mixed", "named", "prefixed", "context", "formed"]
+LABELERS = ["assigned", "mixed", "worded", "named", "prefixed", "context", "digest", "dated", "formed"]
 NUMBER, DISGUISED = r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", r"[\[(](?:at|AT)[\])]"
+#: A part of a harmless token: a word with a number or without, a number with a unit, a short name with both.
+PART = r"^(?:(?:[A-Z]{0,2}[a-z]+|[A-Z]+)[0-9]*|[0-9]+[A-Za-z]{0,3}|[A-Za-z]{1,3}[0-9]+[A-Za-z]{0,2})?$"
+DIGEST = r"^(?:[0-9a-f]{7,12}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12})$"
+DATED = r"(?:^|[^0-9])(?:19|20)[0-9]{2}[-_/.]?(?:0[1-9]|1[0-2])(?:[-_/.]?(?:0[1-9]|[12][0-9]|3[01]))?(?:[^0-9]|$)|(?:^|[-_/.])[vV]?[0-9]+[._][0-9]+(?:[-_/.]|$)|[-_/.][vV][0-9]{1,3}(?:[-_/.]|$)"
+
+
+def changes(t: Column) -> Column:
+    """How often letters and digits change over inside the parts of t."""
+    return F.regexp_count(t, F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"))
+
+
+def bare(t: Column) -> Column:
+    """A candidate without its name and quotes."""
+    return F.regexp_replace(t, r"^[A-Za-z_]{3,24}\x20?[=:]\x20?|[\x22']", "")
 
 
 def votes(t: Column, before: Column) -> dict[str, Column]:
     """1: personal or secret, 0: not, -1: nothing to say."""
-    low, value = F.lower(t), F.regexp_replace(t, r"^[A-Za-z_]{3,24}\x20?[=:]\x20?", "")
+    low, value = F.lower(t), bare(t)
     name = F.trim(F.regexp_extract(low, r"^([a-z_]{3,24})\x20?[=:]", 1))
-    share = F.length(F.regexp_replace(value, "[^0-9]", "")) / F.greatest(F.length(value), F.lit(1))
+    own = t.rlike(NUMBER) | t.rlike(DISGUISED)
+    secret = name.isin(SECRET_NAMES) | F.exists(F.array(*map(F.lit, SECRET_NAMES)), lambda s: F.endswith(name, F.concat(F.lit("_"), s)))
+    known = F.exists(F.array(*map(F.lit, SECRET_PREFIXES)), lambda p: F.startswith(value, p))
+    told = before.rlike(CONTEXT)
+    digest = value.rlike(DIGEST) & ~secret & ~told & ~known  # its mix is its format
+    worded = F.forall(F.split(value, "[^A-Za-z0-9]+"), lambda x: x.rlike(PART))
     return {
-        "assigned": F.when(t.rlike(r"[=:]\x20?[\x22']?[A-Za-z0-9+/_.-]{8,}"), 1).when(t.rlike(r"[=:]"), 0).otherwise(-1),
-        "mixed": F.when((F.length(value) >= 12) & share.between(0.1, 0.9), 1).when((share == 0) & ~t.rlike(DISGUISED), 0).otherwise(-1),
-        "named": F.when(name.isin(SECRET_NAMES), 1).when(name != "", 0).otherwise(-1),
-        "prefixed": F.when(F.exists(F.array(*map(F.lit, SECRET_PREFIXES)), lambda p: F.startswith(value, p)), 1).otherwise(-1),
-        "context": F.when(before.rlike(CONTEXT), 1).otherwise(-1),
-        "formed": F.when(t.rlike(r"^(?:000|666|9..)-|-00-|-0000$") & t.rlike(NUMBER), 0).when(t.rlike(NUMBER) | t.rlike(DISGUISED), 1).otherwise(-1),
+        "assigned": F.when(own, -1).when(t.rlike(r"[=:]") & ((F.length(value) < 8) | value.rlike("^(?:[0-9]+|//.*)$")), 0).when(t.rlike(r"[=:]") & ~worded, 1).otherwise(-1),
+        "mixed": F.when(own | digest, -1).when((F.length(value) >= 12) & (changes(value) >= F.greatest(F.lit(4.0), F.length(value) / 8)), 1).when(changes(value) <= 2, 0).otherwise(-1),
+        "worded": F.when(own | known, -1).when(worded, 0).otherwise(-1),
+        "named": F.when(secret, 1).when(name != "", 0).otherwise(-1),
+        "prefixed": F.when(known, 1).otherwise(-1),
+        "context": F.when(told, 1).when((name == "") & before.rlike(HARMLESS), 0).otherwise(-1),
+        "digest": F.when(digest, 0).otherwise(-1),
+        "dated": F.when(value.rlike(DATED) & ~known & ~own, 0).otherwise(-1),
+        "formed": F.when(t.rlike(r"^(?:000|666|9..)-|-00-|-0000$") & t.rlike(NUMBER), 0).when(own, 1).otherwise(-1),
     }
 
 
 def features(t: Column) -> dict[str, Column]:
-    """Binned features for the span classifier."""
-    n = F.length(t)
+    """Binned features of the value for the span classifier; names are the labelers' matter."""
+    t = bare(t)
+    n = F.greatest(F.length(t), F.lit(1))
     distinct = F.size(F.array_distinct(F.split(t, ""))) / n
     return {
         "size": F.least(F.floor(F.log2(n)), F.lit(7)).cast("int"),
         "digit": F.floor(4 * F.length(F.regexp_replace(t, "[^0-9]", "")) / n).cast("int"),
         "upper": F.floor(4 * F.length(F.regexp_replace(t, "[^A-Z]", "")) / n).cast("int"),
         "spread": F.floor(4 * distinct).cast("int"),
-        "assign": t.rlike("[=:]").cast("int"),
+        "change": F.least(F.floor(16 * changes(t) / n), F.lit(7)).cast("int"),
     }
 
 
@@ -125,7 +152,7 @@ def expect(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tup
     prior, tables = 0.5, []
     for _ in range(rounds):
         tables = []
-        for j in range(len(LABELERS)):
+        for j in range(len(patterns[0][0]) if patterns else len(LABELERS)):
             each = [[8.0, 2.0], [2.0, 8.0]]
             for (p, n), y in zip(patterns, yes, strict=True):
                 if p[j] >= 0:
@@ -137,15 +164,19 @@ def expect(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tup
     return prior, tables
 
 
-def log_odds(found: DataFrame, prior: float, tables: list) -> tuple[Column, DataFrame]:
-    """The votes' log odds, and the classifier's table: feature, value, odds (bounded by the bins)."""
+def log_odds(prior: float, tables: list) -> Column:
+    """The log odds that a candidate's votes give it."""
     vote = F.lit(math.log(prior / (1 - prior)))
     for name, (no, yes) in zip(LABELERS, tables, strict=True):
         vote = vote + F.element_at(F.array(*[F.lit(math.log(y / n)) for n, y in zip(no, yes, strict=True)]), F.col(name) + 2)
+    return vote
+
+
+def binned(found: DataFrame, vote: Column) -> DataFrame:
+    """The classifier's table, weighted by the votes' chances: feature, value, yes, no (bounded by the bins)."""
     weight = 1 / (1 + F.exp(-vote))
     bins = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in found.columns if c.startswith("f_")]
-    table_ = found.select(weight.alias("w"), F.explode(F.array(*bins)).alias("b")).groupBy("b.feature", "b.value").agg(F.sum("w").alias("yes"), F.sum(1 - F.col("w")).alias("no"))
-    return vote, table_
+    return found.select(weight.alias("w"), F.explode(F.array(*bins)).alias("b")).groupBy("b.feature", "b.value").agg(F.sum("w").alias("yes"), F.sum(1 - F.col("w")).alias("no"))
 
 
 def find(docs: DataFrame, accept: float = 0.5) -> DataFrame:
@@ -160,18 +191,22 @@ def find(docs: DataFrame, accept: float = 0.5) -> DataFrame:
     apart = F.filter("wide", lambda m: ~F.exists(taken, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
     found = rows.select("row", F.explode(apart).alias("m")).select("row", "m.*")
     kind = F.when(F.col("t").rlike(NUMBER), "id").when(F.col("t").rlike(DISGUISED), "address").otherwise("secret")
-    found = stash(found.select("row", "s", "e", kind.alias("kind"), *[v.alias(k) for k, v in votes(F.col("t"), F.col("before")).items()], *[v.alias(f"f_{k}") for k, v in features(F.col("t")).items()]), "pii-votes")
-    patterns = [(tuple(r[k] for k in LABELERS), r["n"]) for r in found.groupBy(*LABELERS).agg(F.count("*").alias("n")).collect()]
-    if not patterns:
+    # kinds with a form of their own have reliabilities of their own, and no look of a secret
+    found = stash(found.select("row", "s", "e", kind.alias("kind"), (kind != "secret").alias("own"), *[v.alias(k) for k, v in votes(F.col("t"), F.col("before")).items()], *[v.alias(f"f_{k}") for k, v in features(F.col("t")).items()]), "pii-votes")
+    patterns = {True: [], False: []}
+    for r in found.groupBy("own", *LABELERS).agg(F.count("*").alias("n")).collect():
+        patterns[r["own"]].append((tuple(r[k] for k in LABELERS), r["n"]))
+    if not any(patterns.values()):
         return rows.select("doc_id", *base, F.array().cast("array<struct<kind:string,s:int,e:int>>").alias("extra"))
-    prior, tables = expect(sorted(patterns))
-    vote, bins = log_odds(found, prior, tables)
+    by_form = log_odds(*expect(sorted(patterns[True])))
+    vote = log_odds(*expect(sorted(patterns[False])))
+    bins = binned(found.where("NOT own"), vote)
     held = bins.collect()
     all_yes, all_no = sum(r["yes"] for r in held) / 5, sum(r["no"] for r in held) / 5
     odds = {(r["feature"], r["value"]): math.log((r["yes"] + 1) / (all_yes + 8)) - math.log((r["no"] + 1) / (all_no + 8)) for r in held}
     lean = sum((F.coalesce(F.element_at(F.create_map(*[F.lit(x) for (f, v), o in sorted(odds.items()) if f == name for x in (v, o)]), F.col(name)), F.lit(0.0)) for name in sorted({f for f, _ in odds})), F.lit(0.0))
     # the classifier has the votes' word as a prior; a labeler that says nothing leaves it to the features
-    judged = found.where(1 / (1 + F.exp(-(vote + lean) / 2)) >= accept)
+    judged = found.where(1 / (1 + F.exp(-F.when(F.col("own"), by_form).otherwise((vote + lean) / 2))) >= accept)
     extra = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "s", "e"))).alias("extra"))
     out = rows.join(extra, "row", "left")
     return out.select("doc_id", *base, F.coalesce("extra", F.array().cast("array<struct<kind:string,s:int,e:int>>")).alias("extra"))
