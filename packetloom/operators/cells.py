@@ -39,8 +39,8 @@ INTERNAL = r"^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"
 
 
 def full(flows: DataFrame, seconds: int, keys: list[str] | None = None) -> DataFrame:
-    """Every feature of a cell: sums, means and variances in one aggregate; distinct counts and entropies of ports, hosts and flag masks from counts
-    per (cell, value); beacon and scan shape. The parts are joined on the cell key, by which all are partitioned already."""
+    """Every feature of a cell: sums, means and variances in one aggregate; distinct counts and entropies of ports, hosts and flag masks together from counts
+    per (cell, kind, value); beacon and scan shape. The parts are joined on the cell key, by which all are partitioned already."""
     keys = keys or KEYS
     packets, inside = F.col("fwd_pkts") + F.col("bwd_pkts"), F.col("src_ip").rlike(INTERNAL) & F.col("dst_ip").rlike(INTERNAL)
     mask = sum((F.when(F.col(f) > 0, 1 << i).otherwise(0) for i, f in enumerate(("syn", "ack", "fin", "rst", "psh", "urg"))), F.lit(0))
@@ -59,9 +59,11 @@ def full(flows: DataFrame, seconds: int, keys: list[str] | None = None) -> DataF
         *[(F.sum(c) / p).alias(name) for c, name in (("payload_small_pkts", "payload_small_frac"), ("frag_pkts", "frag_frac"), ("df_pkts", "df_frac"))],
         *[(F.count(c) == 0).cast("int").alias(f"{name}_missing") for name, c in (("ttl", "ttl_mean"), ("payload", "payload_mean"), ("frag", "frag_pkts"), ("iat_max", "iat_max"))], *[F.count_if(F.col("stage") == i).alias(f"cnt_{i}") for i in range(7)],
     )
-    ent = lambda value, count, name: entropy(own, seconds, value, keys).select(*keys, *([F.log1p(F.col("n_distinct").cast("double")).alias(count)] if count else []), *([F.col("entropy").alias(name)] if name else []))
-    for part in (ent("src_ip", "n_src_ips", None) if "src_ip" not in keys else None, ent("dst_ip", "n_dst_ips", "dst_ip_entropy"), ent("dst_port", "n_dst_ports", "dst_port_entropy"), ent("mask", None, "flag_bitmask_entropy"), beacon(flows, seconds, keys), scan_shape(flows, seconds, keys)):
-        base = base if part is None else base.join(part, keys, "left")
+    values = {"dst_ip": ("n_dst_ips", "dst_ip_entropy"), "dst_port": ("n_dst_ports", "dst_port_entropy"), "mask": (None, "flag_bitmask_entropy")} | ({} if "src_ip" in keys else {"src_ip": ("n_src_ips", None)})
+    told = entropies(own, seconds, list(values), keys)
+    told = told.select(*keys, *[F.log1p(F.col(f"{v}_n").cast("double")).alias(n) for v, (n, _) in values.items() if n], *[F.col(f"{v}_entropy").alias(e) for v, (_, e) in values.items() if e])
+    for part in (told, beacon(flows, seconds, keys), scan_shape(flows, seconds, keys)):
+        base = base.join(part, keys, "left")
     if "n_src_ips" not in base.columns:
         base = base.withColumn("n_src_ips", F.log1p(F.lit(1.0)))
     return base.na.fill(0.0)
@@ -75,6 +77,17 @@ def entropy(flows: DataFrame, seconds: int, value: str, keys: list[str] | None =
     return c.groupBy(*keys).agg(F.count("*").alias("n_distinct"), (F.log2(n) - F.sum(F.col("c") * F.log2("c")) / n).alias("entropy"))
 
 
+def entropies(flows: DataFrame, seconds: int, values: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Per cell and for each of values: <value>_n and <value>_entropy as `entropy` gives them, from one read of the flows and counts per
+    (cell, which value, value) that combine before the shuffle."""
+    keys = keys or KEYS
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(v).cast("string").alias("value")) for i, v in enumerate(values)]))
+    c = windowed(flows, seconds).select(*keys, each.alias("x")).groupBy(*keys, "x.kind", "x.value").agg(F.count("*").alias("c"))
+    of = lambda i, x: F.sum(F.when(F.col("kind") == i, x))
+    bits = lambda i: F.log2(of(i, F.col("c"))) - of(i, F.col("c") * F.log2("c")) / of(i, F.col("c"))
+    return c.groupBy(*keys).agg(*[x for i, v in enumerate(values) for x in (F.count_if(F.col("kind") == i).alias(f"{v}_n"), bits(i).alias(f"{v}_entropy"))])
+
+
 def beacon(flows: DataFrame, seconds: int, keys: list[str] | None = None) -> DataFrame:
     """Per cell: the most regular conversation by gaps over half a second (three at least). A conversation's windows are blocks of their own."""
     talk = ["capture", "src_ip", "dst_ip", "dst_port"]

@@ -61,6 +61,11 @@ def truncation(df: DataFrame, pipeline: Callable[[DataFrame], DataFrame], output
     return seen(pipeline(df)).exceptAll(seen(pipeline(df.where(F.col("wid") <= cut))))
 
 
+def least_shifts(params: DataFrame, k: int = 3) -> dict[str, float]:
+    """The k columns of least scale (ties by name), each with a push far outside its range. params: one row for each column (column, scale)."""
+    return {r["column"]: 20 * r["scale"] + 1 for r in params.orderBy("scale", "column").limit(k).collect()}
+
+
 def out_of_distribution(df: DataFrame, score: Callable[[DataFrame], Column], threshold: float, volumes: list[str], shifts: dict[str, float], factor: float = 5.0) -> DataFrame:
     """variant, rate, fine: alert rates on benign segments as they are, with a flash crowd (log volumes raised) and with features shifted; fine up to
     three times the original rate, 5 % at least."""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.operators import cells, integrity, moments, sequences  # noqa: F401
-from packetloom.operators.registry import FEATURE_NAMES, FEATURES, FLOWS, GAP, H, SEGW, UP_TO_TARGETS, W, base, flows, query, r6, segs, targets
+from packetloom.operators import cells, integrity, moments, reports, sequences  # noqa: F401
+from packetloom.operators.registry import FEATURE_NAMES, FEATURES, FLOWS, GAP, H, KEYS, SEGW, UP_TO_SEGS, UP_TO_TARGETS, W, base, flows, full_sql, query, r6, segs, targets
 from packetloom.operators.registry_reports import SPLIT, split
 from packetloom.sources import shared
 
@@ -60,3 +60,31 @@ def _(spark, d):
         part = integrity.truncation(s, pipeline, outputs, cut).select(F.lit(name).alias("output"), *cells.SEGMENT, "wid")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+_COVERED = " UNION ALL ".join(f"SELECT capture, '{a}' AS attribute, count(*) FILTER (WHERE {flag or 0} = 0) AS cells_carried, round(avg(({flag or 0} = 0)::INT), 6) + 0.0 AS share, round(avg({f}) FILTER (WHERE {flag or 0} = 0), 5) + 0.0 AS mean_when_carried FROM f GROUP BY capture"
+                              for a, flag, f in reports.ATTRIBUTES)
+
+
+@query("j8_attribute_coverage", f"WITH f AS ({full_sql('capture, src_ip, wid')}) {_COVERED}")
+def _(spark, d):
+    out = reports.attribute_coverage(cells.full(flows(spark, d), W), ["capture"])
+    return out.withColumn("mean_when_carried", F.round("mean_when_carried", 5) + 0.0)
+
+
+_SCALED = ["log_bytes", "log_pkts", "n_flows", "syn_ratio", "rst_ratio", "retrans_rate", "udp_frac"]
+_SCALES = " UNION ALL ".join(f"SELECT '{c}' AS c, CASE WHEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) > 1e-6 THEN quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) WHEN stddev_pop({c}) > 1e-6 THEN stddev_pop({c}) ELSE 1 END AS scale FROM x" for c in _SCALED)
+_PUSHED = ", ".join(f"{c} + coalesce((SELECT 20 * scale + 1 FROM low WHERE c = '{c}'), 0) AS {c}" for c in _SCALED)
+_CROWD = ", ".join(f"{c} + ln(5.0::DOUBLE) AS {c}" if c in ("log_bytes", "log_pkts") else c for c in _SCALED)
+
+
+@query("j7_least_scales", base(*UP_TO_SEGS) + f""", x AS (SELECT s.capture, s.src_ip, s.run, s.stage, {', '.join(f'coalesce(c.{c}, 0)::DOUBLE AS {c}' for c in _SCALED)} FROM segs s LEFT JOIN cells c USING (capture, src_ip, wid)), scales AS ({_SCALES}), low AS (SELECT * FROM scales ORDER BY round(scale, 9), c LIMIT 3),
+b AS (SELECT * FROM (SELECT *, max(stage) OVER (PARTITION BY capture, src_ip, run) AS worst FROM x) WHERE worst = 0), v AS (SELECT 'original' AS variant, {', '.join(_SCALED)} FROM b UNION ALL SELECT 'flash_crowd', {_CROWD} FROM b UNION ALL SELECT 'shifted', {_PUSHED} FROM b),
+r AS (SELECT variant, avg((1 / (1 + exp(-round(0.4::DOUBLE * log_bytes - 4 + syn_ratio + 0.02::DOUBLE * rst_ratio + 0.02::DOUBLE * udp_frac, 9))) >= 0.5)::INT) AS rate FROM v GROUP BY ALL)
+SELECT variant, round(rate, 6) + 0.0 AS rate, (rate <= greatest(3 * (SELECT rate FROM r WHERE variant = 'original'), 0.05))::BIGINT AS fine FROM r""")
+def _(spark, d):
+    """The features whose scale is least are found in the scaler's table, not named."""
+    s = segs(spark, d).select(*KEYS, "stage", *[F.col(c).cast("double").alias(c) for c in _SCALED])
+    shifts = integrity.least_shifts(cells.scaler_table(s, _SCALED).withColumn("scale", F.round("scale", 9)))
+    score = lambda x: 1 / (1 + F.exp(-F.round(0.4 * F.col("log_bytes") - 4 + F.col("syn_ratio") + 0.02 * F.col("rst_ratio") + 0.02 * F.col("udp_frac"), 9)))
+    return integrity.out_of_distribution(s, score, 0.5, ["log_bytes", "log_pkts"], shifts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.cells import SEGMENT, in_segment
@@ -87,3 +87,17 @@ def with_hosts(alerts: DataFrame, df: DataFrame) -> DataFrame:
     """alerts with the capture and host of their segment (a number)."""
     hosts = df.groupBy("segment").agg(F.first("capture").alias("capture"), F.first("src_ip").alias("src_ip"))
     return alerts.join(hosts, "segment", "left")
+
+
+#: Each packet-level attribute with the flag of its absence (none: there or null) and the feature that it feeds.
+ATTRIBUTES = [("ttl", "ttl_missing", "ttl_mean"), ("payload_sizes", "payload_missing", "log_payload_mean"), ("ip_fragment_flags", "frag_missing", "frag_frac"), ("iat_max", "iat_max_missing", "log_iat_max"), ("port_sweep_shape", None, "scan_seq_frac")]
+
+
+def attribute_coverage(full: DataFrame, by: list[str]) -> DataFrame:
+    """by, attribute, cells_carried, share, mean_when_carried (null where none is): one aggregate over the cells, whatever the number of attributes."""
+    def told(name: str, flag: str | None, feature: str) -> Column:
+        has = F.col(feature).isNotNull() & (F.lit(True) if flag is None else F.col(flag) == 0)
+        return F.struct(F.lit(name).alias("attribute"), F.count_if(has).alias("cells_carried"), F.avg(has.cast("double")).alias("share"), F.avg(F.when(has, F.col(feature))).alias("mean_when_carried"))
+
+    held = full.groupBy(*by).agg(*[told(*a).alias(a[0]) for a in ATTRIBUTES])
+    return held.select(*by, F.explode(F.array(*[a[0] for a in ATTRIBUTES])).alias("x")).select(*by, "x.*")
