@@ -35,7 +35,7 @@ def causality(df: DataFrame, column: str, pipeline: Callable[[DataFrame], DataFr
     """One row: cells up to wid `cut`, how many of their outputs change when later inputs do, and whether later outputs react."""
     key = [*SEGMENT, "wid"]
     changed = pipeline(df.withColumn(column, F.col(column) + F.when(F.col("wid") > cut, 1.0).otherwise(0.0)))
-    both = pipeline(df).select(*key, *[F.col(c).alias(f"{c}_a") for c in outputs]).join(changed.select(*key, *[F.col(c).alias(f"{c}_b") for c in outputs]), key)
+    both = pipeline(df).select(*key, *[F.col(c).alias(f"{c}_a") for c in outputs]).join(changed.select(*key, *[F.col(c).alias(f"{c}_b") for c in outputs]).hint("merge"), key)
     moved = F.lit(False)
     for c in outputs:
         moved = moved | ~F.round(f"{c}_a", 9).eqNullSafe(F.round(f"{c}_b", 9))
@@ -44,14 +44,11 @@ def causality(df: DataFrame, column: str, pipeline: Callable[[DataFrame], DataFr
 
 
 def shared_captures(df: DataFrame, column: str, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
-    """left, right, capture: the captures that two splits have in common."""
-    mine = {s: df.where(F.col(column) == s).select("capture") for s in splits}
-    out = None
-    for i, a in enumerate(splits):
-        for b in splits[i + 1 :]:
-            both = mine[a].intersect(mine[b]).select(F.lit(a).alias("left"), F.lit(b).alias("right"), "capture")
-            out = both if out is None else out.unionByName(both)
-    return out
+    """left, right, capture: the captures that two splits have in common. df is read once, to a row for each capture."""
+    held = df.where(F.col(column).isin(*splits)).groupBy("capture").agg(F.collect_set(column).alias("_held"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for i, a in enumerate(splits) for b in splits[i + 1 :]])
+    both = lambda p: F.array_contains(F.col("_held"), p["left"]) & F.array_contains(F.col("_held"), p["right"])
+    return held.select("capture", F.explode(F.filter(pairs, both)).alias("p")).select("p.left", "p.right", "capture")
 
 
 def truncation(df: DataFrame, pipeline: Callable[[DataFrame], DataFrame], outputs: list[str], cut: int) -> DataFrame:

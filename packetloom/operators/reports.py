@@ -59,7 +59,7 @@ def schedule(df: DataFrame, seconds: int) -> DataFrame:
     turn = (F.hour(t) + F.minute(t) / 60) * (2 * math.pi / 24)
     ends = df.groupBy("capture").agg(F.min("wid").alias("_lo"), F.max("wid").alias("_hi"))
     span = F.greatest((F.col("_hi") - F.col("_lo")) * seconds, F.lit(1))
-    return df.join(ends, "capture").withColumns({"hour_sin": F.sin(turn), "hour_cos": F.cos(turn), "weekday": F.weekday(t), "elapsed": (F.col("wid") - F.col("_lo")) * seconds / span}).drop("_lo", "_hi")
+    return df.join(F.broadcast(ends), "capture").withColumns({"hour_sin": F.sin(turn), "hour_cos": F.cos(turn), "weekday": F.weekday(t), "elapsed": (F.col("wid") - F.col("_lo")) * seconds / span}).drop("_lo", "_hi")
 
 
 def split_overlaps(df: DataFrame, split: str) -> DataFrame:
@@ -86,7 +86,7 @@ def focus_segment(targets: DataFrame) -> DataFrame:
 def with_hosts(alerts: DataFrame, df: DataFrame) -> DataFrame:
     """alerts with the capture and host of their segment (a number)."""
     hosts = df.groupBy("segment").agg(F.first("capture").alias("capture"), F.first("src_ip").alias("src_ip"))
-    return alerts.join(hosts, "segment", "left")
+    return alerts.join(hosts.hint("merge"), "segment", "left")
 
 
 #: Each packet-level attribute with the flag of its absence (none: there or null) and the feature that it feeds.
