@@ -20,12 +20,17 @@ def active_starts(p: DataFrame, active_s: int) -> DataFrame:
     active_s after the flow's own beginning. Each packet knows the beginning that would follow it; those that follow the run's first are found by doubling."""
     run = [*KEY, "flow"]
     w = Window.partitionBy(*run).orderBy("ts")
+    sweep = Window.partitionBy(*run).orderBy(F.desc("_at"), F.col("_asked").isNotNull())
     p = p.withColumn("_t0", F.min("ts").over(Window.partitionBy(*run)))
     span = p.agg(F.max((F.col("ts") - F.col("_t0")) / active_s)).first()[0] or 0
     if span <= 1:
         return p.drop("_t0")
     times = p.select(*run, "ts").distinct()
-    nxt = times.withColumn("to", F.min("ts").over(w.rangeBetween(active_s, Window.unboundedFollowing)))
+    # times and questions (the first time at _at or later) in one order from the last: a frame that ends at each row grows by it, one that begins there is scanned anew
+    asked = times.select(*run, (F.col("ts") + active_s).cast("double").alias("_at"), F.col("ts").alias("_asked"), F.lit(None).cast("double").alias("_time"))
+    both = asked.unionByName(times.select(*run, F.col("ts").cast("double").alias("_at"), F.lit(None).cast("double").alias("_asked"), F.col("ts").alias("_time")))
+    found = F.last("_time", ignorenulls=True).over(sweep.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    nxt = both.withColumn("to", found).where("_asked IS NOT NULL").select(*run, F.col("_asked").alias("ts"), "to")
     later = times.withColumn("after", F.lead("ts").over(w)).select(*run, F.col("ts").alias("to"), "after")
     over = F.col("to") - F.col("at") > active_s  # exactly active_s later is not over it
     jump = nxt.withColumnRenamed("ts", "at").join(later, [*run, "to"], "left").select(*run, "at", F.when(over, F.col("to")).otherwise(F.col("after")).alias("to"))
