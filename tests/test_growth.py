@@ -147,3 +147,25 @@ def test_formats_try_only_what_may_fit(spark):
         each = [r[f"f{i}"] for i in range(len(normalize.FORMATS))]
         assert all(x["got"] == x["want"] for x in each), r["v"]
     assert sum(bool(out[0][f"f{i}"]["tried"]) for i in range(len(normalize.FORMATS))) == 1
+
+
+def test_few_quantiles_of_many_columns(spark):
+    """The same as from all values, for smooth, constant, sparse and short columns; few of the values are shuffled."""
+    from packetloom.operators import scans
+
+    df = spark.range(20000).selectExpr("id * 7919 % 20000 / 20000D smooth", "1.5D constant", "IF(id % 50 = 0, id / 7D, 0D) sparse", "IF(id < 3, CAST(id AS DOUBLE), NULL) short", "IF(id % 4 = 0, -1D, 1D) edge", "CAST(NULL AS DOUBLE) none")
+    rows = lambda q: sorted(map(tuple, q.select("column", "i", "value").collect()))
+    want = rows(scans.quantiles(df, [], df.columns, 4, [1, 2, 3]))
+    assert rows(scans.few_quantiles(df, df.columns, 4, [1, 2, 3])) == want and len(want) == 15
+    assert rows(scans.few_quantiles(df.limit(2), df.columns, 4, [1, 2, 3])) == rows(scans.quantiles(df.limit(2), [], df.columns, 4, [1, 2, 3]))
+
+
+def test_targets_deal_rows_once(spark):
+    """Burst and trend of all features come without a shuffle of their own after the targets."""
+    from packetloom.operators import bundle
+    from packetloom.sources import events
+
+    states = cells.targets(bundle.states_of(events.flows(spark, SMALL), 21600, 10), 10)
+    shuffles = lambda df: len(re.findall(r"Exchange hashpartitioning", executed(df)))
+    out, inputs = bundle.scaled_inputs(states, 3, 15)
+    assert shuffles(out) == shuffles(states) and len(inputs) == 117
