@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.operators import batches, bundle, cells, models, scans
+from packetloom.operators import batches, bundle, cells, models, registry, registry_reports, scans  # noqa: F401
 from packetloom.sources import shared
 
 
@@ -85,3 +85,14 @@ def test_unscaled_table_goes(spark):
     assert fs.exists(path)
     shared.gone(df)
     assert not fs.exists(path)
+
+
+@pytest.mark.parametrize("name", ["g3_logistic_stacked", "g5_forest_stacked"])
+def test_stacks_have_all_inputs(spark, monkeypatch, name):
+    """Burst and trend too, of each of the eight cells, oldest first."""
+    seen = []
+    table = spark.createDataFrame([("c", "h", 0, w, "test" if w == 9 else "train", w % 2, [float(100 * w + i) for i in range(6)]) for w in range(10)], "capture string, src_ip string, run long, wid long, split_temporal string, y_future int, x array<double>")
+    monkeypatch.setattr(registry_reports, "training_rows", lambda *_: table)
+    monkeypatch.setattr(models, "fit", lambda train, *_, **__: float(seen.extend(train.orderBy("wid").collect()) or 0))
+    registry.QUERIES[name](spark, "none")
+    assert len(seen) == 9 and seen[8]["x"] == [float(100 * w + i) for w in range(1, 9) for i in range(6)] and seen[0]["x"] == [float(i) for i in range(6)] * 8
